@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from whisperlake.plans.scratch import ship_package
+
 #: Rows that Spark hands to Python at once; texts are long, so that this bounds the memory of a worker.
 ARROW_ROWS = 512
 
@@ -18,6 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Ready the session for functions that get texts in batches."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -13,6 +13,12 @@ from whisperlake.llm.common import table
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from whisperlake.llm.pii import detect
+
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to shards, found again through the perfect hash index and read back."""
     from whisperlake.llm.binary import digests, write_tokens
@@ -27,16 +33,49 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's best window in every document that leaks it."""
+    from whisperlake.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from whisperlake.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from whisperlake.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from whisperlake.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that go, by document: how many, their positions, and the digest of these."""
+    from whisperlake.llm.spans import repeated
+
+    found = repeated(table(spark, sf_dir, "documents"))
+    places = F.concat_ws(",", F.transform("sentences", lambda k: k.cast("string")))
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_removed"), places.alias("removed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_token_index": op2_token_index,
     "op5_simhash": op5_simhash,
+    "op6_decontamination": op6_decontamination,
+    "op7_embeddings": op7_embeddings,
+    "op8_html": op8_html,
     "op9_packing": op9_packing,
+    "op10_spans": op10_spans,
 }
 
 #: SQL for DuckDB where it can express the operator; the others are tested against brute force.
