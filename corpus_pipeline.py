@@ -4,23 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from whisperlake.llm.common import table
+from whisperlake.llm.decontaminate import without_leaks
 from whisperlake.llm.packing import pack
+from whisperlake.llm.pii import redact
 from whisperlake.llm.queries import VOCABULARY
 from whisperlake.llm.simhash import keep_one
+from whisperlake.llm.toxicity import keep_clean
 from whisperlake.plans.scratch import written
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on labelled rows, predicts to be toxic go; columns and texts stay as they are."""
+    return keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: that with the smallest doc_id."""
     return keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked by its kind; every document stays."""
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' ids, packed into sequences."""
     return pack(docs, VOCABULARY)
 
 
-STAGES = [("near_dedup", near_dedup), ("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii", pii),
+    ("packing", packing),
+]
 #: A learned score and a pseudo-random grouping: no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 

@@ -27,6 +27,20 @@ def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(write_tokens(docs, VOCABULARY), docs)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from whisperlake.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from whisperlake.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from whisperlake.llm.simhash import near_duplicates
 
@@ -70,6 +84,8 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_index": op2_token_index,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
     "op7_embeddings": op7_embeddings,

@@ -166,6 +166,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose class holds a smaller doc_id; of rows that repeat one doc_id all stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """``docs`` without the rows whose class holds a smaller doc_id.
+
+    Of rows that repeat one doc_id all stay, if any of them does; rows with a null doc_id stay.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
