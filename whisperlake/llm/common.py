@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in pieces whose ``text`` is at most so many bytes, but for a longer single text."""
     for b in batches:
-        sizes = pa.compute.binary_length(b.column("text")).to_pylist()
+        sizes = pc.binary_length(b.column("text")).to_pylist()
         at = size = 0
         for k, n in enumerate(sizes):
             if size and size + n > most_bytes:
