@@ -24,7 +24,8 @@ def decode_lines(batches: DataFrame, mode: str = "permissive", column: str = "va
         F.when(at(3) == "inbound", 1).when(at(3) == "outbound", 2).cast("smallint").alias("dir"), at(4).try_cast("int").alias("size"), at(5).try_cast("decimal(20,0)").alias("inner_hash"),
         at(6).alias("raw"), empty_to_null(at(7)).alias("send"), empty_to_null(at(8)).alias("orig_node"), empty_to_null(at(9)).alias("scid_text"), at(10).alias("collector"),
     ).withColumns({"orig_timestamp": micros_to_ts("send"), "scid": F.col("scid_text").try_cast("decimal(20,0)")})
-    wide = lambda c: ~F.col(c).between(0, 18446744073709551615)
+    most = F.lit("18446744073709551615").cast("decimal(20,0)")
+    wide = lambda c: (F.col(c) < 0) | (F.col(c) > most)
     checks = {
         "fields": F.col("n") != FIELDS, "net_timestamp": F.col("net_timestamp").isNull(), "type": F.col("type").isNull(), "dir": F.col("dir").isNull(),
         "size": F.col("size").isNull() | ~F.col("size").between(0, 65535), "inner_hash": F.col("inner_hash").isNull() | wide("inner_hash"),
