@@ -125,11 +125,14 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, coarse: int = 8, rounds: i
         for a, b, t in model.pairs:
             g, h = slopes()
             sg, sh = cells(a, b, g), cells(a, b, h)
-            # depth two: a tree over a's bins, and in each of its halves one over b's
-            rows = tree(sg.sum(axis=1), sh.sum(axis=1), 2)
-            step = np.zeros_like(t)
-            for v in np.unique(rows):
-                step[rows == v] = tree(sg[rows == v].sum(axis=0), sh[rows == v].sum(axis=0), 2)
+            # depth two: the cut of a's bins whose halves gain most from a tree over b's
+            best, step = -1.0, np.zeros_like(t)
+            for cut_at in range(1, len(sg)):
+                halves = [tree(x.sum(axis=0), w.sum(axis=0), 2) for x, w in ((sg[:cut_at], sh[:cut_at]), (sg[cut_at:], sh[cut_at:]))]
+                gain = sum(float(v @ x.sum(axis=0)) for v, x in zip(halves, (sg[:cut_at], sg[cut_at:])))
+                if gain > best:
+                    best = gain
+                    step[:cut_at], step[cut_at:] = halves
             t += rate * step
             logit += rate * step[at_low[a], at_low[b]]
     return model

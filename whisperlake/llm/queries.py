@@ -95,4 +95,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL for DuckDB where it can express the operator; the others are tested against brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_embeddings": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+        ), r(x, y) AS (SELECT DISTINCT a, a FROM l UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+        c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT m.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, m.vec_id) AS component_id, coalesce(component_id, m.vec_id) = m.vec_id AS kept
+        FROM embeddings m LEFT JOIN c ON m.vec_id = c.vec_id LEFT JOIN n ON m.vec_id = n.vec_id""",
+}

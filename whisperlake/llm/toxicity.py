@@ -216,7 +216,7 @@ def infer(net: Network, table: np.ndarray, wins: np.ndarray, chunk: int = 2048)
     return out
 
 
-def fit(samples: list[tuple[str, float]], rounds: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network:
+def fit(samples: list[tuple[str, float]], rounds: int = 6, least_steps: int = 200, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network:
     """Train on (text, label); with no samples, or of one class only, the scores are near that class."""
     net, r, lexicon = Network(), np.random.default_rng(seed), Lexicon()
     if not samples:
@@ -236,8 +236,10 @@ def fit(samples: list[tuple[str, float]], rounds: int = 6, batch: int = 128, rat
 
     # both classes weigh alike: the rarer one is drawn more often
     pos, neg = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
+    # few samples make few batches, so they go round more often
+    rounds = max(rounds, -(-least_steps * batch // (2 * max(len(pos), len(neg)))))
     for turn in range(rounds):
-        best = top()[0] if turn >= 2 else None
+        best = top()[0] if turn >= rounds // 3 else None
         size = max(len(pos), len(neg))
         order = np.concatenate([r.choice(c, size) for c in (pos, neg) if len(c)])
         r.shuffle(order)
