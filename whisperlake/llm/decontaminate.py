@@ -60,15 +60,16 @@ class Items:
     def matches(self, shingles: np.ndarray) -> list[tuple[int, int, float]]:
         """(item, first shingle, similarity) of the best window, the first of equals, of each item found."""
         maybe = np.flatnonzero(self.bloom[(shingles & np.uint64(self.bloom.size - 1)).astype(np.int64)])
-        hits = maybe[np.isin(shingles[maybe], self.sorted)]
+        at = np.searchsorted(self.sorted, shingles[maybe])
+        hits = maybe[self.sorted[np.minimum(at, len(self.sorted) - 1)] == shingles[maybe]]
         if not len(hits):
             return []
-        at: dict[int, list[int]] = {}
+        places_of: dict[int, list[int]] = {}
         for p, s in zip(hits.tolist(), shingles[hits].tolist()):
             for k in self.holders[s]:
-                at.setdefault(k, []).append(p)
+                places_of.setdefault(k, []).append(p)
         out = []
-        for k, places in at.items():
+        for k, places in places_of.items():
             size = min(self.sizes[k], len(shingles))
             best = (0.0, 0)
             for lo, hi in _ranges(places, size, len(shingles)):
