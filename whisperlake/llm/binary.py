@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from whisperlake.llm.common import slices, small_batches, texts
 from whisperlake.llm.tokens import encoder
 from whisperlake.plans.scratch import shared_dir, written
 
+SHARDS_SUMMED = 1000
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("count", "<u8")])
 
 
@@ -179,15 +180,15 @@ def vocabulary_size(path: str) -> int:
 def digests(store: TokenStore, keys: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of ``keys`` from the files: start counts all ids before the document's."""
     width = store.width
-    sizes = store.shards.select("shard", (F.octet_length("ids") / width).cast("long").alias("n"))
-    # a row for each shard, of about shard_chars characters: few beside the documents
-    before = {r["shard"]: r["n"] for r in sizes.collect()}
+    sizes = store.shards.select("shard", (F.octet_length("ids") / width).cast("long").alias("n"), (F.col("shard") / SHARDS_SUMMED).cast("int").alias("block"))
+    sizes = written(sizes, "sizes")
+    # a running sum within blocks of shards, and one over the blocks: a row for each SHARDS_SUMMED shards is gathered
     total, first = 0, []
-    for shard in sorted(before):
-        first.append((shard, total))
-        total += before[shard]
-    spark = store.spark
-    bases = spark.createDataFrame(first, "shard int, base long")
+    for r in sizes.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect():
+        first.append((r["block"], total))
+        total += r["n"]
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(store.spark.createDataFrame(first, "block int, before long"), "block").select("shard", (F.col("inside") + F.col("before")).alias("base"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -199,4 +200,4 @@ def digests(store: TokenStore, keys: DataFrame) -> DataFrame:
         return pa.table({"doc_id": left.column("doc_id"), "start": pa.array(at + base), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64())})
 
     found = store.locate(keys)
-    return found.groupBy("shard").cogroup(store.shards.join(F.broadcast(bases), "shard").groupBy("shard")).applyInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.groupBy("shard").cogroup(store.shards.join(bases, "shard").groupBy("shard")).applyInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
