@@ -192,7 +192,7 @@ def lookup(t: DataFrame, m: DataFrame, messages: DataFrame, now: str, interval:
     kind = msg_type or (3 if scid is not None else 2)
     wanted = m.where((F.col("type") == kind) & (F.col("scid") == scid if scid is not None else F.col("orig_node") == node)).select("hash", "type", "size")
     until = F.lit(now).cast("timestamp")
-    rows = t.where((F.col("dir") == 1) & (F.col("net_timestamp") <= until) & (F.col("net_timestamp") > until - F.expr(f"interval {interval}"))).join(F.broadcast(wanted), "hash").join(messages, "hash")
+    rows = t.where((F.col("dir") == 1) & (F.col("net_timestamp") <= until) & (F.col("net_timestamp") > until - F.expr(f"interval {interval}"))).join(wanted, "hash").join(messages, "hash")
     out = rows.select("collector", "net_timestamp", "row_inc", "hash", "type", "size", "raw", "peer")
     if newest:
         out = out.groupBy("collector").agg(F.max_by(F.struct(*out.columns[1:]), F.struct("net_timestamp", "row_inc")).alias("x")).select("collector", "x.*")
