@@ -106,12 +106,12 @@ def _linked(groups: DataFrame, least: float, tile: int, fit_rows: int) -> DataFr
     dim = fit.shape[1]
     steps = tuple(sorted({max(1, dim // 4), max(1, dim // 2), dim}))
     n = groups.count()
-    axis = spark.createDataFrame([(lead,)], "axis array<double>")
+    axis = F.array(*map(F.lit, lead))
     top = F.aggregate("embedding", F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v)))
     scaled = F.transform("embedding", lambda v: v / top)
-    dot = F.aggregate(F.zip_with(scaled, F.col("axis"), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    dot = F.aggregate(F.zip_with(scaled, axis, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v))
-    placed = written(groups.crossJoin(F.broadcast(axis)).select("node", "copies", "embedding", (dot / norm).alias("x")), "placed")
+    placed = written(groups.select("node", "copies", "embedding", (dot / norm).alias("x")), "placed")
     tiles = max(1, -(-n // tile))
     cuts = sorted(set(placed.approxQuantile("x", [k / tiles for k in range(1, tiles)], 1 / (4 * tiles)))) if tiles > 1 else []
     number = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("x"))) if len(cuts) < 64 else _number(cuts)
