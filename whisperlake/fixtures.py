@@ -20,7 +20,7 @@ VIEWS = {
     "owned": "SELECT * FROM (VALUES ('n1',1),('n3',5),('n5',7),('n7',11)) AS o(collector, scid)",
     "channels": """SELECT o_orderkey*1099511627776+(o_custkey%1000)*65536+o_orderkey%2 AS scid, concat('c',o_custkey) AS node_one,
         concat('c',o_custkey+1+o_orderkey%3) AS node_two, CAST(round(o_totalprice) AS BIGINT) AS capacity
-        FROM orders WHERE o_orderpriority='1-URGENT' AND o_orderkey%5=0""",
+        FROM orders""",
     "samples": """SELECT CAST(floor({EPOCH}) AS BIGINT) AS epoch, concat('u',user_id%7) AS uuid, 40000+user_id%50 AS local_port,
         concat('10.0.0.',user_id%20) AS remote_ip, 9735 AS remote_port FROM events WHERE event_type IN ('view','click')""",
     "packets": """SELECT event_id AS pkt_id, {EPOCH} AS ts, CASE WHEN event_type='error' THEN 41000 ELSE 40000 END+user_id%50 AS local_port,
@@ -33,7 +33,7 @@ VIEWS = {
     "membership": """SELECT concat('c',c_custkey) AS pubkey, c_custkey%12 AS level_0, c_custkey%4 AS level_1, c_custkey%2 AS level_2 FROM customer""",
     "chan_views": """SELECT concat('n',l_suppkey%5) AS collector, l_orderkey AS scid, CASE WHEN l_linestatus='O' THEN 1 ELSE 2 END AS direction,
         CAST(floor({SHIP}/86400) AS BIGINT) AS last_update, CAST(round(l_discount*1000) AS BIGINT) AS fees_base, CAST(round(l_tax*1000) AS BIGINT) AS fees_ppm,
-        CAST(l_quantity AS BIGINT) AS cltv, l_linenumber FROM lineitem WHERE l_orderkey%3=0""",
+        CAST(l_quantity AS BIGINT) AS cltv, l_linenumber FROM lineitem""",
     "node_views": """SELECT concat('n',k.c) AS collector, concat('c',c_custkey) AS pubkey, CASE WHEN (c_custkey+k.c)%6>0 THEN 1000+(c_custkey*7+k.c*3)%50 END AS last_update,
         CASE WHEN (c_custkey+k.c)%6>0 THEN concat('a',c_custkey%5,'-',(c_custkey*k.c)%3) END AS alias
         FROM customer, (SELECT * FROM (VALUES (0),(1),(2),(3),(4)) AS t(c)) AS k WHERE (c_custkey*3+k.c)%4>0""",
