@@ -471,6 +471,21 @@ def test_spans(spark, small, data, odd, empty):
     assert spans.repeated(empty).count() == 0 and spans.remove(empty).count() == 0
 
 
+def test_spans_cover_the_tail(spark):
+    """A copy loses every sentence, tail and short texts too; unlike text around it stays."""
+    r = random.Random(12)
+    said = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)) + "."
+    passage = [said(n) for n in (12, 9, 15, 7, 4, 3)]
+    texts = {1: " ".join([said(8), *passage, said(30)]), 2: " ".join([said(6), *passage, said(5)]), 3: " ".join([*passage[1:], said(25)]), 4: " ".join(passage), 5: "short one here. and two.", 6: "Short one here. And two.", 7: "short one here."}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    rows = {x.doc_id: x for x in spans.remove(docs).collect()}
+    want = {1: [], 2: [1, 2, 3, 4, 5, 6], 3: [0, 1, 2, 3, 4], 4: [0, 1, 2, 3, 4, 5], 5: [], 6: [0, 1], 7: []}
+    assert {i: x.removed for i, x in rows.items()} == want
+    for i, x in rows.items():
+        parts = [p for p in re.split(r"(?<=[.!?])\s+", texts[i]) if p]
+        assert x.clean_text.strip() == " ".join(p for k, p in enumerate(parts) if k not in want[i]).strip()
+
+
 def test_word_hashes():
     a, b = WordHashes("Éa b c, d. E f"), WordHashes("zzz B C d e")
     assert len(a) == 6 and (a.words[1:5] == b.words[1:5]).all() and a.char_starts.tolist() == [0, 3, 5, 8, 11, 13]

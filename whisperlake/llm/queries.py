@@ -74,11 +74,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences that go, by document: how many, their positions, and the digest of these."""
-    from whisperlake.llm.spans import repeated
+    from whisperlake.llm.spans import remove
 
-    found = repeated(table(spark, sf_dir, "documents"))
-    places = F.concat_ws(",", F.transform("sentences", lambda k: k.cast("string")))
-    return found.select("doc_id", F.size("sentences").cast("long").alias("n_removed"), places.alias("removed"))
+    found = remove(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("removed") > 0)
+    places = F.concat_ws(",", F.transform("removed", lambda k: k.cast("string")))
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), places.alias("removed"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

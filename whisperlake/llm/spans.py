@@ -1,9 +1,9 @@
 """Sentence-span de-duplication: every run of several consecutive sentences is hashed and joined globally.
 
-Sentences end after ., ! or ? before white space, and at line breaks. A span is the shortest run from its first sentence
-on that has at least ``least_words`` words, so that a passage is caught wherever it stands and however its sentences are
-cut at the edges. A sentence goes when any span over it repeats one that occurs earlier: earlier by doc_id, then by
-position in the document.
+Sentences end after ., ! or ? before white space, and at line breaks. Spans are the shortest runs of at least
+``least_words`` words that begin or that end with a sentence: the former cover a repeated passage up to its last such
+run, the latter what is left of its tail. A whole text of fewer words is one span. A sentence goes when any span over it
+repeats one that occurs earlier: earlier by doc_id, then by position in the document.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from whisperlake.llm.common import small_batches, texts
 from whisperlake.llm.wordhash import WordHashes, sentence_bounds
@@ -31,10 +31,17 @@ def spans_of(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.nd
     # words of sentence k are first[k] .. first[k + 1] - 1
     starts = np.array([a for a, _ in bounds])
     first = np.append(np.searchsorted(words.char_starts, starts), len(words))
-    last_word = first[:-1] + least_words
-    end = np.searchsorted(first, last_word, side="left") - 1  # the sentence that reaches the count
-    some = np.flatnonzero((last_word <= first[-1]) & (np.diff(first) > 0))
-    return some, end[some], words.span_hash(first[some], first[end[some] + 1])
+    some = np.flatnonzero(np.diff(first) > 0)
+    if len(words) < least_words:
+        a, z = np.array([0]), np.array([len(bounds) - 1])
+    else:
+        ahead = some[first[some] + least_words <= len(words)]
+        behind = some[first[some + 1] >= least_words]
+        # the sentences that reach the count
+        last = np.searchsorted(first, first[ahead] + least_words, side="left") - 1
+        begin = np.searchsorted(first, first[behind + 1] - least_words, side="right") - 1
+        a, z = np.unique(np.stack([np.append(ahead, begin), np.append(last, behind)]), axis=1)
+    return a, z, words.span_hash(first[a], first[z + 1])
 
 
 def span_table(docs: DataFrame, least_words: int) -> DataFrame:
@@ -55,8 +62,7 @@ def span_table(docs: DataFrame, least_words: int) -> DataFrame:
 def repeated(docs: DataFrame, least_words: int = 20) -> DataFrame:
     """(doc_id, sentences): positions, ascending, of the sentences that a non-first repeated span covers.
 
-    Only documents with such sentences have a row. Null and empty texts and those with fewer than ``least_words`` words
-    have no spans; rows that repeat a doc_id count as one document's, so their equal positions do not repeat each other;
+    Only documents with such sentences have a row. Null and empty texts and those without words have no spans; rows that repeat a doc_id count as one document's, so their equal positions do not repeat each other;
     a null doc_id is left out; an empty table gives no rows; columns other than doc_id and text are not read.
     """
     spans = written(span_table(docs, least_words), "spans")
@@ -69,20 +75,25 @@ def repeated(docs: DataFrame, least_words: int = 20) -> DataFrame:
 
 def remove(docs: DataFrame, least_words: int = 20) -> DataFrame:
     """Every row of ``docs`` with ``clean_text`` and ``removed``, the array of positions that went (empty if none)."""
-    found = repeated(docs, least_words)
-
-    @F.pandas_udf("string")
-    def clean(text, gone):
-        out = []
-        for t, g in zip(text, gone):
-            t = t or ""
-            if g is not None and len(g):
-                bounds, drop = sentence_bounds(t), set(g.tolist())
-                t = "".join(t[a : (bounds[k + 1][0] if k + 1 < len(bounds) else len(t))] for k, (a, _) in enumerate(bounds) if k not in drop)
-            out.append(t)
-        return pd.Series(out)
+    found = repeated(docs, least_words).withColumnRenamed("sentences", "removed")
+    joined = docs.join(found, "doc_id", "left")
+    names = [*joined.columns[:-1], "clean_text", "removed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean, went = [], []
+            for t, gone in zip(b.column("text").to_pylist(), b.column("removed").to_pylist()):
+                t, drop, left = t or "", set(gone or ()), []
+                if drop:
+                    bounds = sentence_bounds(t)
+                    ends = [a for a, _ in bounds[1:]] + [len(t)]
+                    left = [k for k in range(len(bounds)) if k in drop]
+                    t = "".join(t[a:z] for k, ((a, _), z) in enumerate(zip(bounds, ends)) if k not in drop)
+                clean.append(t)
+                went.append(left)
+            own = [b.column(c) for c in b.schema.names if c != "removed"]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(clean, pa.string()), pa.array(went, pa.list_(pa.int32()))], names)
 
     small_batches(docs.sparkSession)
-    return docs.join(found.withColumnRenamed("sentences", "removed"), "doc_id", "left").withColumn("clean_text", clean("text", "removed")).withColumn(
-        "removed", F.coalesce("removed", F.expr("cast(array() as array<int>)"))
-    )
+    kinds = StructType([*joined.schema.fields[:-1], StructField("clean_text", StringType()), StructField("removed", ArrayType(IntegerType()))])
+    return joined.mapInArrow(run, kinds)
