@@ -439,6 +439,26 @@ def test_html_query(spark, data):
     assert html.extract(odd.limit(0)).count() == 0
 
 
+def test_html_repeats_are_global(spark):
+    """Pages of a large host against one suffix array over all of it; two pages of 900 share a notice."""
+    r = random.Random(4)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    few, many, mixed = words(11), words(14), words(12)
+    rows = []
+    for k in range(900):
+        body = [f"<p>{words(9)}</p>", f"<div>{many}</div>" if k % 3 else "", f"<div>{few}</div>" if k in (5, 877) else "", f"<p>{mixed}</p>" if k == 400 else ""]
+        rows.append((k // 2 if 600 <= k < 610 else None if k > 890 else k, "http://big.example/" + str(k), "<body>" + "".join(body)))
+    rows += [(2000, "http://big.example/m", f"<article><p>own words {mixed} end</p></article>"), (2001, "http://other.example/", f"<p>{few}</p>"), (2002, "http://other.example/", None)]
+    got = {x.url + str(x.page_id): x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {}
+    for host in ("big", "other"):
+        own = [x for x in rows if f"//{host}." in x[1]]
+        ids = [("row", k) if i is None else i for k, (i, _, _) in enumerate(own)]
+        want |= {u + str(i): t for (i, u, _), t in zip(own, html.main_texts([html.blocks(h or "") for _, _, h in own], ids))}
+    assert got == want
+    assert few not in got["http://big.example/55"] + got["http://big.example/877877"] and few in got["http://other.example/2001"] and mixed not in got["http://big.example/400400"]
+
+
 # 10
 
 
