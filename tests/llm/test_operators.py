@@ -249,6 +249,17 @@ def test_inference_is_the_network():
     assert np.allclose(toxicity.Scorer(net)(texts), toxicity.sigmoid(np.array(want)), atol=1e-5)
 
 
+def test_every_window_is_scored():
+    """A text's score is that of its worst run of WINDOW words, wherever it begins."""
+    net, r = toxicity.Network(), random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+    scorer = toxicity.Scorer(net)
+    alone = scorer([" ".join(words[k : k + toxicity.WINDOW]) for k in range(len(words) - toxicity.WINDOW + 1)])
+    assert len(set(alone)) > 100
+    for k in range(0, 60, 7):
+        assert np.isclose(scorer([" ".join(words[k:])])[0], alone[k:].max(), atol=1e-6)
+
+
 def held_out(rows, truth):
     rows = [r for r in rows if r.held_out and r.doc_id in truth]
     right = sum(r.predicted == truth[r.doc_id] for r in rows)

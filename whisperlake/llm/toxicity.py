@@ -1,9 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A step's input is the sum of a hashed word vector and the mean of hashed vectors of the word's leading and trailing characters,
-in runs of three to six. A text is scored in overlapping windows of WINDOW words, STRIDE words apart, and its score
-is that of its worst window. Training picks windows too: of a toxic text the window that the network finds worst, of a
-clean one a random window or the worst.
+in runs of three to six. A text is scored in all its windows of WINDOW words, STRIDE words apart, and its score is that of
+its worst window. Training picks from windows TRAIN_STRIDE words apart: of a toxic text the window that the network finds
+worst, of a clean one a random window or the worst.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from whisperlake.llm.common import crc_fold, small_batches, texts
 
-WINDOW, STRIDE, WORDS, GRAMS, PER_WORD = 32, 24, 1 << 14, 1 << 13, 6
+WINDOW, STRIDE, TRAIN_STRIDE, WORDS, GRAMS, PER_WORD = 32, 1, 24, 1 << 14, 1 << 13, 6
 E, H = 16, 8
 WORD = re.compile(r"\w+")
 
@@ -34,10 +34,10 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def windows(n: int) -> np.ndarray:
+def windows(n: int, stride: int = STRIDE) -> np.ndarray:
     """First words of the windows of a text of n words; a text without words has one, empty."""
     last = max(0, n - WINDOW)
-    return np.append(np.arange(0, last, STRIDE), last)
+    return np.append(np.arange(0, last, stride), last)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -147,11 +147,13 @@ class Lexicon(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def cut(rows: np.ndarray) -> np.ndarray:
+def pad(rows: np.ndarray) -> np.ndarray:
+    return rows if len(rows) >= WINDOW else np.concatenate([rows, np.zeros(WINDOW - len(rows), np.int64)])
+
+
+def cut(rows: np.ndarray, stride: int = STRIDE) -> np.ndarray:
     """The windows of one text, padded with 0: (windows, WINDOW)."""
-    starts = windows(len(rows))
-    padded = rows if len(rows) >= WINDOW else np.concatenate([rows, np.zeros(WINDOW - len(rows), np.int64)])
-    return padded[starts[:, None] + np.arange(WINDOW)]
+    return pad(rows)[windows(len(rows), stride)[:, None] + np.arange(WINDOW)]
 
 
 def inference_table(gates: np.ndarray) -> np.ndarray:
@@ -221,7 +223,7 @@ def fit(samples: list[tuple[str, float]], rounds: int = 6, least_steps: int = 20
     net, r, lexicon = Network(), np.random.default_rng(seed), Lexicon()
     if not samples:
         return net
-    wins = [cut(lexicon(words_of(t))) for t, _ in samples]
+    wins = [cut(lexicon(words_of(t)), TRAIN_STRIDE) for t, _ in samples]
     y = np.array([v for _, v in samples], np.float32)
     first = np.concatenate([[0], np.cumsum([len(w) for w in wins])])
     every = np.concatenate(wins)
@@ -320,8 +322,7 @@ class Scorer:
         """The texts' scores."""
         if not batch:
             return np.zeros(0)
-        wins = [cut(self.lexicon(words_of(t))) for t in batch]
-        own = np.repeat(np.arange(len(batch)), [len(w) for w in wins])
+        texts_ = [self.lexicon(words_of(t)) for t in batch]
         new, n = self.lexicon, len(self.lexicon)
         if n > len(self.table):
             self.table = np.concatenate([self.table[: self.done], np.zeros((max(n, 2 * self.done) - self.done, 6 * H), np.float32)])
@@ -331,7 +332,14 @@ class Scorer:
             self.done += len(ids)
         new.ids, new.grams = [], []  # only their rows in the table are needed from here on
         top = np.full(len(batch), -np.inf)
-        np.maximum.at(top, own, infer(self.net, self.table, np.concatenate(wins)))
+        rows = [pad(x) for x in texts_]
+        starts = [windows(len(x)) for x in texts_]
+        own = np.repeat(np.arange(len(batch)), [len(x) for x in starts])
+        flat, edge = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        first = np.concatenate([x + a for x, a in zip(starts, edge)])
+        for k in range(0, len(first), 1 << 15):  # a long text has too many windows to hold at once
+            at = slice(k, k + (1 << 15))
+            np.maximum.at(top, own[at], infer(self.net, self.table, flat[first[at, None] + np.arange(WINDOW)]))
         if n > self.most:
             self._clear()
         return sigmoid(np.clip(self.net.scale[0] * top + self.net.scale[1], -30, 30))
