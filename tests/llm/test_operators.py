@@ -110,6 +110,25 @@ def test_pii_best_is_best():
         assert f.best(words, set()) == [(pii.LABELS[k], i, j) for k, i, j in top if k]
 
 
+def test_pii_regions():
+    """Every trigger has its two words on either side, and the field finds in regions what it finds in whole texts."""
+    r = random.Random(8)
+    trigger = re.compile(r"[0-9@]|[(\[](at|dot)[)\]]|password|passwd|token|secret|api_?key", re.I)
+    for _ in range(500):
+        text = " ".join(r.choice(["ab", "cd.", "12", "(at)", "[dot]", "a@b", "password=xyz", "Secret:", "foo.org"] + ["word"] * 9) for _ in range(r.randint(1, 25)))
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        hit = [k for k, (a, z) in enumerate(words) if trigger.search(text[a:z])]
+        want = {words[j] for k in hit for j in range(max(0, k - 2), min(len(words), k + 3))}
+        got = [w for region in pii.regions(text) for w in region]
+        assert set(got) == want and len(got) == len(want), text
+    f = pii.field()
+    for text in ("see password=swordfish there", "the secret: correcthorse of", "ask 3 jane (at) foo.org now"):
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        whole = [(k, words[i][0], words[j - 1][1]) for k, i, j in f.best([text[a:z] for a, z in words], set())]
+        assert pii.added_spans(text, [], f) == whole
+    assert pii.added_spans("see password=swordfish there", [], f) == [("secret", 4, 22)]
+
+
 def test_pii_query(spark, odd, empty, small, data):
     rows = {r.doc_id: r for r in QUERIES["op1_pii"](spark, data).collect()}
     assert set(rows) == set(small)
