@@ -226,6 +226,21 @@ def test_packing(spark, small, data, odd, empty):
     assert packing.pack(odd, VOCABULARY).count() > len(ODD) and packing.pack(empty, VOCABULARY).count() == 0
 
 
+def test_packed_sequences_hold_the_ids(spark, odd):
+    e = Encoder(VOCABULARY)
+    want = {i: [*e._raw([t or ""])[0], 0] for i, t in ODD}
+    found = defaultdict(list)
+    for s in packing.sequences(odd.where("doc_id <> 7"), VOCABULARY).collect():
+        ids = np.frombuffer(s.ids, packing.id_type(VOCABULARY, 0)).tolist()
+        assert len(ids) == 1024 and not any(ids[s.used :])
+        assert s.used == sum(p["length"] for p in s.pieces)
+        for p in s.pieces:
+            found[p["doc_id"]].append((p["start"], ids[p["offset"] : p["offset"] + p["length"]]))
+    assert set(found) == {i for i in want if i not in (7, None)}
+    for i, parts in found.items():
+        assert [k for _, ids in sorted(parts) for k in ids] == want[i]
+
+
 # 3 and 4
 
 
