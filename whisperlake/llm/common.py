@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from whisperlake.plans.scratch import ship_package
 
-#: Rows that Spark hands to Python at once; texts are long, so that this bounds the memory of a worker.
-ARROW_ROWS = 512
+#: What Spark hands to Python at once; texts are long, so that the bytes bound the memory of a worker, whatever the rows.
+ARROW_ROWS, ARROW_BYTES = 2048, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Ready the session for functions that get texts in batches."""
+    """Ready the session for functions that get texts in batches; the two settings stay, as plans are made lazily."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for b in (s for batch in batches for s in slices([batch])):
-            ids, counts = encode(b.column("text").to_pylist())
+            ids, counts = encode(b.column("text"))
             cols: tuple[list, ...] = ([], [], [], [], [])
             at = 0
             for doc, n in zip(b.column("doc_id").to_pylist(), counts.tolist()):
