@@ -1,6 +1,6 @@
 """Token ids in binary shards, with a minimal perfect hash index from document keys to shard offsets.
 
-A shard is one row of a Parquet data set: (shard, ids BINARY), the ids of a range of documents in ascending doc_id order,
+A shard is one row of a Parquet data set: (shard, ids BINARY), the ids of consecutive documents in ascending doc_id order,
 little-endian, 2 bytes each where the vocabulary allows it and 4 otherwise. The index is a second data set with one row
 for each bucket of hashed keys: displacement seeds, and for each slot a stored fingerprint of its key, the shard, and the
 offset and number of ids there. A lookup hashes a key, goes to its bucket, reads one seed and one slot, compares the
@@ -21,8 +21,9 @@ from whisperlake.llm.common import slices, small_batches, texts
 from whisperlake.llm.tokens import encoder
 from whisperlake.plans.scratch import shared_dir, written
 
-SHARDS_SUMMED = 1000
-SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("count", "<u8")])
+#: A shard's number is that of its range of keys, then its place in the range in so many bits.
+PLACE_BITS = 20
+SLOT = np.dtype([("print", "<u4"), ("shard", "<u8"), ("start", "<u8"), ("count", "<u8")])
 
 
 def mix(keys: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
@@ -84,7 +85,7 @@ class TokenStore:
 
     @property
     def shards(self) -> DataFrame:
-        return self.spark.read.schema("shard int, ids binary").parquet(f"{self.path}/ids")
+        return self.spark.read.schema("shard long, ids binary").parquet(f"{self.path}/ids")
 
     @property
     def index(self) -> DataFrame:
@@ -101,51 +102,65 @@ class TokenStore:
             else:
                 slots, at = np.zeros(0, SLOT), np.full(len(own), -1)
             own, s = own[at >= 0], slots[at[at >= 0]]
-            return pa.table({"doc_id": own, "shard": s["shard"].astype(np.int32), "offset": s["start"].astype(np.int64), "count": s["count"].astype(np.int64)})
+            return pa.table({"doc_id": own, "shard": s["shard"].astype(np.int64), "offset": s["start"].astype(np.int64), "count": s["count"].astype(np.int64)})
 
         asked = keys.select("doc_id").where("doc_id is not null").distinct().withColumn("bucket", _bucket(self.buckets))
-        return asked.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInArrow(run, "doc_id long, shard int, offset long, count long")
+        return asked.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInArrow(run, "doc_id long, shard long, offset long, count long")
 
 
 def _bucket(buckets: int):
     return F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, shard_chars: int = 8_000_000, bucket_keys: int = 20_000, end_id: int = 0) -> TokenStore:
+def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, range_bytes: int = 32_000_000, shard_ids: int = 2_000_000, bucket_keys: int = 20_000, end_id: int = 0) -> TokenStore:
     """Encode every text (null: empty) with the end id and write shards and index.
 
     Rows with one doc_id are stored one after the other, by text, and the index has their ids as one entry: the key's
-    whole run. A null doc_id sorts first and is stored, but has no entry. An empty table gives an empty store. A shard
-    takes about ``shard_chars`` characters; many rows of one doc_id stay in one shard, as a range of keys can't be cut.
+    whole run. A null doc_id sorts first and is stored, but has no entry. An empty table gives an empty store. A task
+    writes a range of keys of about ``range_bytes`` of text, as shards of about ``shard_ids`` ids or one longer text; rows
+    that repeat a doc_id stay in one shard, so that their run is one slice.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/tokens-{spark.sparkContext.applicationId}-{id(docs)}-{np.random.default_rng().integers(1 << 62)}"
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.countDistinct("doc_id").alias("n")).first()
-    shards, buckets = max(1, round((size["b"] or 0) / shard_chars)), max(1, -(-size["n"] // bucket_keys))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n")).first()
+    ranges, buckets = max(1, round((size["b"] or 0) / range_bytes)), max(1, -(-size["n"] // bucket_keys))
     small_batches(spark)
     width = 2 if vocabulary_size(vocabulary) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId() << PLACE_BITS
         encode, parts, docs_, counts_ = encoder(vocabulary), [], [], []
+
+        def full() -> pa.RecordBatch:
+            one = lambda x, kind: pa.array([x], kind)
+            return pa.RecordBatch.from_arrays([one(shard, pa.int64()), one(b"".join(parts), pa.binary()), one(docs_, pa.list_(pa.int64())), one(np.concatenate(counts_), pa.list_(pa.int64()))], ["shard", "ids", "docs", "counts"])
+
         for b in (s for batch in batches for s in slices([batch])):
-            ids, counts = encode(b.column("text").to_pylist())
-            ends = np.cumsum(counts)
-            parts.append(np.insert(ids, ends, end_id).astype(f"<u{width}").tobytes())
-            docs_.extend(b.column("doc_id").to_pylist())
-            counts_.append(counts + 1)
+            ids, counts = encode(b.column("text"))
+            keys, ends = b.column("doc_id").to_pylist(), np.cumsum(counts)
+            raw = np.insert(ids, ends, end_id).astype(f"<u{width}")
+            counts, ends = counts + 1, ends + np.arange(1, len(counts) + 1)
+            big = sum(map(len, parts)) >= width * shard_ids
+            # rows of the last key go with it, and the first new key begins a new shard
+            at = next((k for k, key in enumerate(keys) if key != docs_[-1]), len(keys)) if big else 0
+            for lo, hi in ((0, at), (at, len(keys))):
+                if big and lo == at < hi:
+                    yield full()
+                    shard, parts, docs_, counts_, big = shard + 1, [], [], [], False
+                if lo < hi:
+                    parts.append(raw[int(ends[lo - 1]) if lo else 0 : int(ends[hi - 1])].tobytes())
+                    docs_ += keys[lo:hi]
+                    counts_.append(counts[lo:hi])
         if docs_:
-            one = lambda x, kind: pa.array([x], kind)
-            counts = np.concatenate(counts_).tolist()
-            yield pa.RecordBatch.from_arrays([one(shard, pa.int32()), one(b"".join(parts), pa.binary()), one(docs_, pa.list_(pa.int64())), one(counts, pa.list_(pa.int64()))], ["shard", "ids", "docs", "counts"])
+            yield full()
 
-    ordered = texts(docs).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(run, "shard int, ids binary, docs array<long>, counts array<long>")
-    # one file for a shard; the keys' places are metadata beside the ids and are read without them
+    ordered = texts(docs).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    encoded = ordered.mapInArrow(run, "shard long, ids binary, docs array<long>, counts array<long>")
+    # one file for a range; the keys' places are metadata beside the ids and are read without them
     encoded.write.option("compression", "zstd").parquet(f"{path}/ids")
-    places = spark.read.schema("shard int, docs array<long>, counts array<long>").parquet(f"{path}/ids")
+    places = spark.read.schema("shard long, docs array<long>, counts array<long>").parquet(f"{path}/ids")
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +169,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, shar
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 starts = (np.cumsum(counts) - counts)[first]
                 some = keys[first] != np.iinfo(np.int64).min
-                cols = keys[first][some], np.full(some.sum(), shard, np.int32), starts[some], np.add.reduceat(counts, first)[some]
+                cols = keys[first][some], np.full(some.sum(), shard, np.int64), starts[some], np.add.reduceat(counts, first)[some]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "shard", "offset", "count"])
 
     def index(table: pa.Table) -> pa.Table:
@@ -166,7 +181,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, shar
             slots[name][at] = table.column(column).to_numpy()
         return pa.table({"bucket": table.column("bucket")[:1], "seeds": pa.array([seeds.tobytes()], pa.binary()), "slots": pa.array([slots.tobytes()], pa.binary())})
 
-    entries = places.mapInArrow(flat, "doc_id long, shard int, offset long, count long").withColumn("bucket", _bucket(buckets))
+    entries = places.mapInArrow(flat, "doc_id long, shard long, offset long, count long").withColumn("bucket", _bucket(buckets))
     entries.groupBy("bucket").applyInArrow(index, "bucket long, seeds binary, slots binary").write.parquet(f"{path}/index")
     return TokenStore(spark, path, buckets, width)
 
@@ -180,15 +195,15 @@ def vocabulary_size(path: str) -> int:
 def digests(store: TokenStore, keys: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of ``keys`` from the files: start counts all ids before the document's."""
     width = store.width
-    sizes = store.shards.select("shard", (F.octet_length("ids") / width).cast("long").alias("n"), (F.col("shard") / SHARDS_SUMMED).cast("int").alias("block"))
+    sizes = store.shards.select("shard", (F.octet_length("ids") / width).cast("long").alias("n"), F.shiftright("shard", PLACE_BITS).alias("block"))
     sizes = written(sizes, "sizes")
-    # a running sum within blocks of shards, and one over the blocks: a row for each SHARDS_SUMMED shards is gathered
+    # a running sum within ranges, and one over the ranges: a row for each range is gathered
     total, first = 0, []
     for r in sizes.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect():
         first.append((r["block"], total))
         total += r["n"]
     inside = F.sum("n").over(Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(store.spark.createDataFrame(first, "block int, before long"), "block").select("shard", (F.col("inside") + F.col("before")).alias("base"))
+    bases = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(store.spark.createDataFrame(first, "block long, before long"), "block").select("shard", (F.col("inside") + F.col("before")).alias("base"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
