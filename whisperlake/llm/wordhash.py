@@ -73,6 +73,16 @@ class WordHashes:
         lead = (self.bytes & 0xC0) != 0x80
         return (np.cumsum(lead) - lead)[self.starts]
 
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words with one zero byte after each, and where each begins and ends there."""
+        sizes = self.ends - self.starts
+        to = np.cumsum(sizes + 1) - 1
+        out = np.zeros(int(to[-1]) + 1 if len(to) else 0, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[to] = False
+        out[inside] = self.bytes[self.bytes != 0]
+        return out.tobytes(), to - sizes, to
+
     def span_hash(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes, as signed longs, of the runs of words first..end-1."""
         return _runs(self.words, first, end).view(np.int64)
