@@ -1,9 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A step's input is the sum of a hashed word vector and the mean of hashed vectors of the word's leading and trailing characters,
-in runs of three to six. A text is scored in all its windows of WINDOW words, STRIDE words apart, and its score is that of
-its worst window. Training picks from windows TRAIN_STRIDE words apart: of a toxic text the window that the network finds
-worst, of a clean one a random window or the worst.
+A step's input is the sum of a hashed word vector and the mean of hashed vectors of all runs of three and four bytes of the
+word, its edges marked. The network reads a text in segments of SEGMENT words, both ways. Attention pools the states of
+every window of WINDOW words (stride 1), and the text's score is that of its worst window. Segments overlap by all but
+PER words, so that each window lies in exactly one and shares its states with the windows beside it. Training picks
+segments and a window in each: of a toxic text the one that the network finds worst, of a clean one any or the worst.
 """
 
 from __future__ import annotations
@@ -13,37 +14,53 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from whisperlake.llm.common import crc_fold, small_batches, texts
 
-WINDOW, STRIDE, TRAIN_STRIDE, WORDS, GRAMS, PER_WORD = 32, 1, 24, 1 << 14, 1 << 13, 6
+WINDOW, SEGMENT = 32, 64
+PER = SEGMENT - WINDOW + 1  # windows that begin in a segment
+WORDS, GRAMS = 1 << 14, 1 << 14
 E, H = 16, 8
 WORD = re.compile(r"\w+")
 
 
-def grams(raw: bytes) -> list[int]:
-    """Hashes of a word's first three to six bytes and last three and four, its edges marked."""
-    first, last, crc = b"<" + raw, raw + b">", zlib.crc32
-    return [1 + crc(x) % (GRAMS - 1) for x in (first[:4], first[:5], first[:6], first[:7], last[-4:], last[-5:])]
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of three and four bytes of each word, its edges marked, one word after the other; and their numbers."""
+    flat = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    own = np.repeat(np.arange(len(words)), sizes)
+    parts, owners = [], []
+    for n in (3, 4):
+        m = max(0, len(flat) - n + 1)
+        inside = own[:m] == own[n - 1 :][:m]
+        h = np.full(m, n, np.uint32)
+        for k in range(n):
+            h = h * np.uint32(0x01000193) ^ flat[k : k + m]
+        h ^= h >> np.uint32(15)
+        parts.append((h * np.uint32(0x2C1B3C6D) >> np.uint32(8))[inside] % np.uint32(GRAMS))
+        owners.append(own[:m][inside])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(parts)[order].astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def windows(n: int, stride: int = STRIDE) -> np.ndarray:
-    """First words of the windows of a text of n words; a text without words has one, empty."""
-    last = max(0, n - WINDOW)
-    return np.append(np.arange(0, last, stride), last)
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their places ``at``, 0..n-1."""
+    return np.stack([np.bincount(at, v, n) for v in np.ascontiguousarray(values.T)], axis=1).astype(np.float32)
+
+
 class Network:
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
@@ -54,9 +71,13 @@ class Network:
         self.p |= {"a": draw(2 * H, H), "ab": np.zeros(H, np.float32), "v": draw(H), "o": draw(2 * H), "ob": np.zeros(1, np.float32)}
         self.scale = (1.0, 0.0)  # of the worst window's logit, fitted last
 
-    def vectors(self, ids: np.ndarray, grams_: np.ndarray) -> np.ndarray:
-        mask = grams_ > 0
-        return self.p["word"][ids] + (self.p["gram"][grams_] * mask[..., None]).sum(axis=1) / np.maximum(1, mask.sum(axis=1))[:, None]
+    def vectors(self, ids: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Inputs of words: their hashed ids, and their runs one after the other with the number of each."""
+        out, some = self.p["word"][ids], np.flatnonzero(counts)
+        if len(some):
+            first = np.cumsum(counts) - counts
+            out[some] += np.add.reduceat(self.p["gram"][flat], first[some], axis=0) / counts[some, None]
+        return out
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """States (windows, steps, H) from gate inputs x (windows, steps, 3H) of one direction; padding keeps the state."""
@@ -77,23 +98,24 @@ class Network:
     def gates(self, vectors: np.ndarray) -> np.ndarray:
         return np.concatenate([vectors @ self.p["wf"] + self.p["cf"], vectors @ self.p["wb"] + self.p["cb"]], axis=1)
 
-    def logits(self, gates: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def logits(self, gates: np.ndarray, mask: np.ndarray, window: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Of segments, ``mask`` telling words from padding, and for each the words of the window that is pooled."""
         steps: dict = {"f": [], "b": []}
         s = np.concatenate([self._run(gates[..., : 3 * H], mask, "f", steps["f"] if keep is not None else None), self._run(gates[..., 3 * H :], mask, "b", steps["b"] if keep is not None else None)], axis=2)
         a = np.tanh(s @ self.p["a"] + self.p["ab"])
-        e = np.where(mask, a @ self.p["v"], -1e4)
-        e = np.exp(e - e.max(axis=1, keepdims=True)) * mask
+        e = np.where(window, a @ self.p["v"], -1e4)
+        e = np.exp(e - e.max(axis=1, keepdims=True)) * window
         w = e / np.maximum(e.sum(axis=1, keepdims=True), 1e-9)
         c = (s * w[..., None]).sum(axis=1)
         if keep is not None:
             keep |= {"steps": steps, "s": s, "a": a, "w": w, "c": c}
         return c @ self.p["o"] + self.p["ob"][0]
 
-    def gradients(self, vec: np.ndarray, at: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Mean logistic loss's gradients, by parameter and by row of vec, for windows of rows ``at`` of vec."""
+    def gradients(self, vec: np.ndarray, at: np.ndarray, mask: np.ndarray, window: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Mean logistic loss's gradients, by parameter and by row of vec, for segments of rows ``at`` of vec."""
         k: dict = {}
         gates = self.gates(vec)[at]
-        d = ((sigmoid(self.logits(gates, mask, k)) - y) / len(y)).astype(np.float32)
+        d = ((sigmoid(self.logits(gates, mask, window, k)) - y) / len(y)).astype(np.float32)
         p, g = self.p, {}
         g["ob"], g["o"] = d.sum(keepdims=True), d @ k["c"]
         dc = d[:, None] * p["o"]
@@ -119,8 +141,7 @@ class Network:
                 dgate[:, t, 3 * H * n_ : 3 * H * (n_ + 1)] = np.concatenate([dz, dr, dn], axis=1)
                 dh = np.where(m, dh * z, dh) + dg @ u.T
             g[f"u{d_}"] = gu
-        rows = np.zeros((len(vec), 6 * H), np.float32)
-        np.add.at(rows, at.ravel(), dgate.reshape(-1, 6 * H))
+        rows = summed(at.ravel(), dgate.reshape(-1, 6 * H), len(vec))
         dvec = np.zeros_like(vec)
         for n_, d_ in enumerate("fb"):
             part = rows[:, 3 * H * n_ : 3 * H * (n_ + 1)]
@@ -130,30 +151,34 @@ class Network:
 
 
 class Lexicon(dict):
-    """Words met so far, by row: hashed word ids and character runs, row 0 being padding."""
+    """Words met so far, by row, row 0 being padding; ``new`` holds those whose inputs are still to be made."""
 
     def __init__(self):
         super().__init__({"": 0})
-        self.ids, self.grams = [0], [[0] * PER_WORD]
+        self.new: list[bytes] = [b""]
 
     def __missing__(self, w: str) -> int:
         self[w] = k = len(self)
-        raw = w.encode("utf-8", "replace")
-        self.ids.append(1 + zlib.crc32(raw) % (WORDS - 1))
-        self.grams.append(grams(raw))
+        self.new.append(w.encode("utf-8", "replace"))
         return k
 
     def __call__(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-
-def pad(rows: np.ndarray) -> np.ndarray:
-    return rows if len(rows) >= WINDOW else np.concatenate([rows, np.zeros(WINDOW - len(rows), np.int64)])
+    def inputs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashed id, runs and number of runs of each new word; padding has none. Then no word is new."""
+        ids = np.array([1 + zlib.crc32(w) % (WORDS - 1) if w else 0 for w in self.new])
+        flat, counts = grams(self.new)
+        self.new = []
+        return ids, flat, counts
 
 
-def cut(rows: np.ndarray, stride: int = STRIDE) -> np.ndarray:
-    """The windows of one text, padded with 0: (windows, WINDOW)."""
-    return pad(rows)[windows(len(rows), stride)[:, None] + np.arange(WINDOW)]
+def segments(rows: np.ndarray) -> np.ndarray:
+    """The segments of one text's words, padded with 0: (segments, SEGMENT). A text without words has one, empty."""
+    last = max(0, len(rows) - WINDOW)
+    first = np.arange(0, last + 1, PER)
+    padded = np.append(rows, np.zeros(first[-1] + SEGMENT - len(rows), np.int64)) if first[-1] + SEGMENT > len(rows) else rows
+    return padded[first[:, None] + np.arange(SEGMENT)]
 
 
 def inference_table(gates: np.ndarray) -> np.ndarray:
@@ -164,24 +189,28 @@ def inference_table(gates: np.ndarray) -> np.ndarray:
     return out
 
 
-def infer(net: Network, table: np.ndarray, wins: np.ndarray, chunk: int = 2048) -> np.ndarray:
-    """Logits of windows, both directions in one pass, steps first."""
+def infer(net: Network, table: np.ndarray, segs: np.ndarray, chunk: int = 1024) -> np.ndarray:
+    """Logits of all windows of segments, (segments, PER), -inf where none begins; both directions in one pass, steps first."""
     # columns z, r, n, each of H forward and H backward
     u = np.zeros((2 * H, 6 * H), np.float32)
     for k in range(3):
         u[:H, 2 * k * H : (2 * k + 1) * H] = net.p["uf"][:, k * H : (k + 1) * H] * (2 if k == 2 else 1)
         u[H:, (2 * k + 1) * H : (2 * k + 2) * H] = net.p["ub"][:, k * H : (k + 1) * H] * (2 if k == 2 else 1)
-    two, out = 2 * H, np.empty(len(wins), np.float32)
-    p = net.p
-    for at in range(0, len(wins), chunk):
-        w = np.ascontiguousarray(wins[at : at + chunk].T)
-        mask, padded = w > 0, not wins[at : at + chunk, -1].all()
-        n = w.shape[1]
-        h, states = np.zeros((n, two), np.float32), np.empty((WINDOW, n, two), np.float32)
-        for t in range(WINDOW):
+    two, p = 2 * H, net.p
+    sizes = (segs > 0).sum(axis=1)
+    out = np.full((len(segs), PER), -np.inf, np.float32)
+    order = np.argsort(sizes, kind="stable")  # short segments go together, and need fewer steps
+    for k in range(0, len(order), chunk):
+        own = order[k : k + chunk]
+        steps = max(WINDOW, int(sizes[own[-1]]))
+        w = np.ascontiguousarray(segs[own, :steps].T)
+        mask, padded = w > 0, sizes[own[0]] < steps
+        n = len(own)
+        h, states = np.zeros((n, two), np.float32), np.empty((steps, n, two), np.float32)
+        for t in range(steps):
             x, g = np.empty((n, 3, 2, H), np.float32), h @ u
             x[:, :, 0] = table[w[t], : 3 * H].reshape(n, 3, H)
-            x[:, :, 1] = table[w[WINDOW - 1 - t], 3 * H :].reshape(n, 3, H)
+            x[:, :, 1] = table[w[steps - 1 - t], 3 * H :].reshape(n, 3, H)
             x = x.reshape(n, 6 * H)
             zr = x[:, : 2 * two] + g[:, : 2 * two]
             np.negative(zr, out=zr)
@@ -200,10 +229,10 @@ def infer(net: Network, table: np.ndarray, wins: np.ndarray, chunk: int = 2048)
             new += c
             if padded:
                 new[:, :H] = np.where(mask[t][:, None], new[:, :H], h[:, :H])
-                new[:, H:] = np.where(mask[WINDOW - 1 - t][:, None], new[:, H:], h[:, H:])
+                new[:, H:] = np.where(mask[steps - 1 - t][:, None], new[:, H:], h[:, H:])
             h = new
             states[t, :, :H] = h[:, :H]
-            states[WINDOW - 1 - t, :, H:] = h[:, H:]
+            states[steps - 1 - t, :, H:] = h[:, H:]
         a = states @ (2 * p["a"])
         a += 2 * p["ab"]
         np.negative(a, out=a)
@@ -211,10 +240,17 @@ def infer(net: Network, table: np.ndarray, wins: np.ndarray, chunk: int = 2048)
         a += 1
         np.divide(2, a, out=a)
         a -= 1
-        e = np.where(mask, a @ p["v"], -1e4)
-        e = np.exp(e - e.max(axis=0)) * mask
-        e /= np.maximum(e.sum(axis=0), 1e-9)
-        out[at : at + chunk] = ((states @ p["o"]) * e).sum(axis=0) + p["ob"][0]
+        e = np.exp(np.clip(a @ p["v"], -40, 40)) * mask
+        over, under = e * (states @ p["o"]), e
+        size = 1
+        while size < WINDOW:  # sums over 1, 2, 4, .. words from each on, so that no window's sum is a difference
+            over, under = over[size:] + over[:-size], under[size:] + under[:-size]
+            size *= 2
+        logit = (over / np.maximum(under, 1e-30)).T + p["ob"][0]
+        begins = np.arange(logit.shape[1])[None, :] <= np.maximum(0, sizes[own] - WINDOW)[:, None]
+        part = np.full((n, PER), -np.inf, np.float32)
+        part[:, : logit.shape[1]] = np.where(begins, logit, -np.inf)
+        out[own] = part
     return out
 
 
@@ -223,18 +259,20 @@ def fit(samples: list[tuple[str, float]], rounds: int = 6, least_steps: int = 20
     net, r, lexicon = Network(), np.random.default_rng(seed), Lexicon()
     if not samples:
         return net
-    wins = [cut(lexicon(words_of(t)), TRAIN_STRIDE) for t, _ in samples]
+    segs = [segments(lexicon(words_of(t))) for t, _ in samples]
     y = np.array([v for _, v in samples], np.float32)
-    first = np.concatenate([[0], np.cumsum([len(w) for w in wins])])
-    every = np.concatenate(wins)
-    ids, gr = np.array(lexicon.ids), np.array(lexicon.grams)
+    first = np.concatenate([[0], np.cumsum([len(w) for w in segs])])
+    every = np.concatenate(segs)
+    ids, flat, counts = lexicon.inputs()
+    starts = np.cumsum(counts) - counts
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     tick = 0
 
     def top() -> tuple[np.ndarray, np.ndarray]:
-        v = infer(net, inference_table(net.gates(net.vectors(ids, gr))), every)
-        best = np.array([a + int(v[a:z].argmax()) for a, z in zip(first, first[1:])])
-        return best, v[best]
+        """Each text's worst window, as segment * PER + its place there, and its logit."""
+        v = infer(net, inference_table(net.gates(net.vectors(ids, flat, counts))), every)
+        best = np.array([a * PER + int(v[a:z].argmax()) for a, z in zip(first, first[1:])])
+        return best, v.ravel()[best]
 
     # both classes weigh alike: the rarer one is drawn more often
     pos, neg = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
@@ -247,19 +285,23 @@ def fit(samples: list[tuple[str, float]], rounds: int = 6, least_steps: int = 20
         r.shuffle(order)
         for k in range(0, len(order), batch):
             docs = order[k : k + batch]
-            pick = first[docs] + (r.random(len(docs)) * (first[docs + 1] - first[docs])).astype(np.int64)
+            seg = first[docs] + (r.random(len(docs)) * (first[docs + 1] - first[docs])).astype(np.int64)
+            pick = seg * PER + (r.random(len(docs)) * (1 + np.clip((every[seg] > 0).sum(axis=1) - WINDOW, 0, PER - 1))).astype(np.int64)
             if best is not None:
                 pick = np.where((y[docs] > 0) | (r.random(len(docs)) < 0.5), best[docs], pick)
-            used, at = np.unique(every[pick], return_inverse=True)
-            at = at.reshape(len(docs), WINDOW)
-            g, dvec = net.gradients(net.vectors(ids[used], gr[used]), at, every[pick] > 0, y[docs])
+            seg, begin = np.divmod(pick, PER)
+            rows = every[seg]
+            window = (rows > 0) & (np.arange(SEGMENT) >= begin[:, None]) & (np.arange(SEGMENT) < begin[:, None] + WINDOW)
+            used, at = np.unique(rows, return_inverse=True)
+            own = counts[used]
+            runs = flat[np.repeat(starts[used] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            g, dvec = net.gradients(net.vectors(ids[used], runs, own), at.reshape(rows.shape), rows > 0, window, y[docs])
             tick += 1
             step = rate * (0.5 if turn > rounds // 2 else 1.0)
             _adam(net, m, g, step, tick)
             _sparse(net.p["word"], m["word"], ids[used], dvec, step)
-            some = gr[used] > 0
-            share = np.repeat(dvec / np.maximum(1, some.sum(axis=1))[:, None], some.sum(axis=1), axis=0)
-            _sparse(net.p["gram"], m["gram"], gr[used][some], share, step)
+            if len(runs):
+                _sparse(net.p["gram"], m["gram"], runs, np.repeat(dvec / np.maximum(1, own)[:, None], own, axis=0), step)
     logit = top()[1].astype(np.float64)
     a, b = 1.0, 0.0
     for _ in range(200):  # scale the worst window's logit to the labels as they are, with a weak pull to (1, 0)
@@ -284,18 +326,20 @@ def _adam(net: Network, m: dict, grads: dict, rate: float, tick: int) -> None:
 def _sparse(table: np.ndarray, m: list, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
     """Adagrad on the rows that occur."""
     own, at = np.unique(rows, return_inverse=True)
-    g = np.zeros((len(own), table.shape[1]), np.float32)
-    np.add.at(g, at, grads)
+    g = summed(at, grads, len(own))
     m[1][own] += g * g
     table[own] -= 5 * rate * g / (np.sqrt(m[1][own]) + 1e-7)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Network:
-    """Fit on at most ``per_class`` rows of each label outside the held-out fold, those whose ids have the least hashes."""
+    """Fit on at most ``per_class`` rows of each label outside the held-out fold, those whose ids have the least hashes.
+
+    Of rows that repeat a doc_id the least text is taken, so that the driver gets a row for each sampled label at most.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("double").alias("label")).where(F.col("label").isNotNull() & (crc_fold() != 0))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("label > 0").orderBy(*order).limit(per_class).unionByName(known.where("label <= 0").orderBy(*order).limit(per_class))
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "label", "text").collect()
+    rows = texts(docs).join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id", "label").collect()
     net = fit([(r["text"], r["label"]) for r in rows])
     # the sample evens out the classes; the scale's constant is put back by their shares
     seen = {True: 0, False: 0}
@@ -322,24 +366,18 @@ class Scorer:
         """The texts' scores."""
         if not batch:
             return np.zeros(0)
-        texts_ = [self.lexicon(words_of(t)) for t in batch]
-        new, n = self.lexicon, len(self.lexicon)
+        segs = [segments(self.lexicon(words_of(t))) for t in batch]
+        n = len(self.lexicon)
         if n > len(self.table):
             self.table = np.concatenate([self.table[: self.done], np.zeros((max(n, 2 * self.done) - self.done, 6 * H), np.float32)])
-        for k in range(0, len(new.ids), 8192):
-            ids, gr = np.array(new.ids[k : k + 8192]), np.array(new.grams[k : k + 8192])
-            self.table[self.done : self.done + len(ids)] = inference_table(self.net.gates(self.net.vectors(ids, gr)))
-            self.done += len(ids)
-        new.ids, new.grams = [], []  # only their rows in the table are needed from here on
+        if self.lexicon.new:
+            self.table[self.done : n] = inference_table(self.net.gates(self.net.vectors(*self.lexicon.inputs())))
+            self.done = n
         top = np.full(len(batch), -np.inf)
-        rows = [pad(x) for x in texts_]
-        starts = [windows(len(x)) for x in texts_]
-        own = np.repeat(np.arange(len(batch)), [len(x) for x in starts])
-        flat, edge = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
-        first = np.concatenate([x + a for x, a in zip(starts, edge)])
-        for k in range(0, len(first), 1 << 15):  # a long text has too many windows to hold at once
-            at = slice(k, k + (1 << 15))
-            np.maximum.at(top, own[at], infer(self.net, self.table, flat[first[at, None] + np.arange(WINDOW)]))
+        own = np.repeat(np.arange(len(batch)), [len(x) for x in segs])
+        every = np.concatenate(segs)
+        for k in range(0, len(every), 1 << 15):  # a long text has too many segments to hold all of their windows at once
+            np.maximum.at(top, own[k : k + (1 << 15)], infer(self.net, self.table, every[k : k + (1 << 15)]).max(axis=1))
         if n > self.most:
             self._clear()
         return sigmoid(np.clip(self.net.scale[0] * top + self.net.scale[1], -30, 30))
@@ -363,7 +401,19 @@ def score(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted toxic: those of which any row is."""
-    bad = score(docs, train(docs, labels)).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose text is predicted toxic.
+
+    Each row is judged by its own text, where it stands: nothing is shuffled, and null or repeated doc_ids make no
+    difference. A null text counts as empty; columns and texts stay as they are; an empty table gives no rows.
+    """
+    net = train(docs, labels)
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(net)
+        for t in batches:
+            yield pd.Series(np.round(scorer(t.tolist()), 6))
+
+    small_batches(docs.sparkSession)
+    return docs.where(scores(F.coalesce(F.col("text"), F.lit(""))) < least)
