@@ -151,11 +151,12 @@ def _vectors(docs: DataFrame, *more: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
     """Fit on at most ``fit_rows`` labelled rows outside the held-out fold, those whose ids have the least hashes.
 
-    Rows with a null label or id are passed over. Without any labelled row every score is one half.
+    Rows with a null label or id are passed over; of rows that repeat a doc_id the least features are taken, so that the
+    driver gets a row for each sampled label at most. Without any labelled row every score is one half.
     """
     known = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where(F.col("label").isNotNull() & (crc_fold() != 0))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_rows)
-    rows = _vectors(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label").orderBy("doc_id", "label", "x").collect()
+    rows = _vectors(docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id"), "label").groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id", "label", "x").collect()
     if not rows:
         return Model([np.empty(0)] * len(FEATURES), [np.empty(0)] * len(FEATURES), 0.0, [np.zeros(1)] * len(FEATURES), [])
     return fit(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]))
