@@ -189,9 +189,14 @@ def age_days(first_seen: Column | str, now: int) -> Column:
     return F.floor((F.lit(now) - _col(first_seen)) / 86400).cast("long")
 
 
+def address_dedupe(addresses: Column | str) -> Column:
+    """Each address once, in the order of first sight."""
+    return F.array_distinct(_col(addresses))
+
+
 def endpoint_preference(addresses: Column | str) -> Column:
     """Clearnet before tor, each in the given order."""
-    a = F.array_distinct(_col(addresses))
+    a = address_dedupe(addresses)
     return F.concat(F.filter(a, lambda x: ~is_tor(x)), F.filter(a, lambda x: is_tor(x)))
 
 

@@ -54,7 +54,7 @@ TEXT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 ts = TEXT.format
 day = lambda c: f"strftime({c}, '%Y-%m-%d')"
 delay = lambda a, b: f"(epoch_us({a})-epoch_us({b}))/1e6"
-HOUR = "date_trunc('hour', net_timestamp)"
+HOUR, DAY = "date_trunc('hour', net_timestamp)", "date_trunc('day', net_timestamp)"
 pcts = lambda c: ", ".join(f"round(quantile_cont({c}, {p}) + 1e-8, 6) AS {n}" for n, p in propagation.PROBS.items())
 P = [*propagation.PROBS]
 
@@ -151,35 +151,64 @@ _g = lambda v, key="hash", per=False: rollups.propagation_rollup(v.timings, v.me
 for _key, _per, _id in (("hash", False, "c2a_propagation_global"), ("hash", True, "c2b_propagation_collector"), ("inner_hash", False, "c3a_inner_global"), ("inner_hash", True, "c3b_inner_collector")):
     _c = ", collector" if _per else ""
     query(_id, f"WITH a AS (SELECT date_trunc('hour', net_timestamp) AS b, t.{_key}, type{_c}, count(*) AS receipts, min(net_timestamp) AS f FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN (1,2,3) GROUP BY ALL) SELECT {ts('b')} AS bucket, {_key}, CAST(type AS BIGINT) AS type{_c}, receipts, {ts('f')} AS first_seen FROM a")(
-        lambda v, k=_key, p=_per: longs(said(_g(v, k, p).drop("offsets", "orig_timestamp"), "bucket", "first_seen")))
-query("c4_message_rate_10m")(lambda v: rollups.message_rate_rollup(v.timings, v.metadata).select("bucket", "type", "receipts", F.hll_sketch_estimate("outer_hll").alias("outer"), F.hll_sketch_estimate("inner_hll").alias("inner")))
+        lambda v, k=_key, p=_per: longs(said(_g(v, k, p).drop("times", "orig_timestamp"), "bucket", "first_seen")))
+query("c4_message_rate_10m", f"WITH a AS ({RATE.format(w='10 MINUTE')}) SELECT {ts('b')} AS bucket, CAST(type AS BIGINT) AS type, receipts, o AS outer, i AS inner FROM a".replace("AS outer", 'AS "outer"').replace("AS inner", 'AS "inner"'))(
+    lambda v: longs(said(rollups.message_rate_rollup(v.timings, v.metadata).select("bucket", "type", "receipts", F.hll_sketch_estimate("outer_hll").alias("outer"), F.hll_sketch_estimate("inner_hll").alias("inner")), "bucket")))
 query("c4_exact", f"WITH a AS ({RATE.format(w='10 MINUTE')}) SELECT {ts('b')} AS bucket, CAST(type AS BIGINT) AS type, receipts, o AS distinct_outer, i AS distinct_inner FROM a")(
     lambda v: longs(said(rollups.exact_rollup(v.timings, v.metadata, "10 minutes", "type"), "bucket")))
 for _id, _e, _ty, _keys in (("c5_exact", "orig_node", "(2)", "m.orig_node"), ("c6_exact", "scid", "(1,3)", "m.scid, CAST(m.type AS BIGINT) AS type")):
     query(_id, f"SELECT {ts(HOUR)} AS bucket, {_keys}, count(*) AS receipts, count(DISTINCT t.hash) AS distinct_outer, count(DISTINCT t.inner_hash) AS distinct_inner FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN {_ty} AND m.{_e} IS NOT NULL GROUP BY ALL")(
         lambda v, e=_e: longs(said(rollups.exact_rollup(v.timings, v.metadata, "1 hour", *([e] if e == "orig_node" else [e, "type"]), types=(2,) if e == "orig_node" else (1, 3)), "bucket")))
 _act = lambda v, e: rollups.activity_rollup(v.timings, v.metadata, e)
-query("c5_orig_node_activity")(lambda v: _act(v, "orig_node").select("bucket", "orig_node", "receipts", F.hll_sketch_estimate("outer_hll").alias("outer")))
-query("c6_scid_activity")(lambda v: _act(v, "scid").select("bucket", "scid", "type", "receipts", F.hll_sketch_estimate("outer_hll").alias("outer")))
+# receipts of one entity kind, with the hours, days and half days they fall in
+_ACT = "ac AS (SELECT t.*, m.type, m.{e} FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN {ty} AND m.{e} IS NOT NULL)"
+_NODE, _SCID = _ACT.format(e="orig_node", ty="(2)"), _ACT.format(e="scid", ty="(1,3)")
+_SUMS = 'count(*) AS receipts, count(DISTINCT hash) AS "outer", count(DISTINCT inner_hash) AS "inner"'
+query("c5_orig_node_activity", f"WITH {_NODE} SELECT {ts(HOUR)} AS bucket, orig_node, count(*) AS receipts, count(DISTINCT hash) AS \"outer\" FROM ac GROUP BY 1,2")(
+    lambda v: said(_act(v, "orig_node").select("bucket", "orig_node", "receipts", F.hll_sketch_estimate("outer_hll").alias("outer")), "bucket"))
+query("c6_scid_activity", f"WITH {_SCID} SELECT {ts(HOUR)} AS bucket, scid, CAST(type AS BIGINT) AS type, count(*) AS receipts, count(DISTINCT hash) AS \"outer\" FROM ac GROUP BY 1,2,3")(
+    lambda v: longs(said(_act(v, "scid").select("bucket", "scid", "type", "receipts", F.hll_sketch_estimate("outer_hll").alias("outer")), "bucket")))
 query("c7_outbound_origin", f"WITH a AS (SELECT date_trunc('hour', net_timestamp) AS b, t.hash, collector, type, min(net_timestamp) AS f FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=2 AND m.type IN (1,2,3) GROUP BY ALL) SELECT {ts('b')} AS bucket, hash, collector, CAST(type AS BIGINT) AS type, {ts('f')} AS first_sent FROM a")(
     lambda v: longs(said(rollups.outbound_origin_rollup(v.timings, v.metadata), "bucket", "first_sent")))
-query("t0_ca_stats")(lambda v: rollups.ca_stats(propagation=_g(v), rate=rollups.message_rate_rollup(v.timings, v.metadata), node=_act(v, "orig_node"), scid=_act(v, "scid"), peers=rollups.peer_count_rollup(v.timings)))
-query("t1_outer_propagation")(lambda v: rollups.propagation_from_sketch(_g(v), 2))
-query("t2_inner_propagation")(lambda v: rollups.propagation_from_sketch(_g(v, "inner_hash"), 2, "inner_hash"))
-query("t3_outbound_origin_propagation")(lambda v: rollups.outbound_propagation(rollups.outbound_origin_rollup(v.timings, v.metadata), _g(v)))
-query("t4_collector_comparison")(lambda v: rollups.collector_comparison(_g(v, per=True), 2))
-query("t4s_comparison_summary")(lambda v: rollups.comparison_summary(rollups.collector_comparison(_g(v, per=True), 2)))
+_IN = "inb AS (SELECT t.*, m.type, m.orig_node, m.scid, date_trunc('hour', net_timestamp) AS hour, time_bucket(INTERVAL 10 MINUTE, net_timestamp) AS ten FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN (1,2,3))"
+_STATS = {
+    "propagation": "SELECT DISTINCT hour AS b, hash, type FROM inb", "rate": "SELECT DISTINCT ten AS b, type FROM inb",
+    "node": "SELECT DISTINCT hour AS b, orig_node FROM inb WHERE type=2 AND orig_node IS NOT NULL", "scid": "SELECT DISTINCT hour AS b, scid, type FROM inb WHERE type IN (1,3) AND scid IS NOT NULL",
+    "peers": "SELECT DISTINCT time_bucket(INTERVAL 10 MINUTE, net_timestamp) AS b, collector FROM timings WHERE dir=1",
+}
+query("t0_ca_stats", f"WITH {_IN} " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, {ts('min(b)')} AS first_bucket, {ts('max(b)')} AS last_bucket FROM ({q})".replace("AS rows", 'AS "rows"') for n, q in _STATS.items()))(
+    lambda v: said(rollups.ca_stats(propagation=_g(v), rate=rollups.message_rate_rollup(v.timings, v.metadata), node=_act(v, "orig_node"), scid=_act(v, "scid"), peers=rollups.peer_count_rollup(v.timings)), "first_bucket", "last_bucket"))
+# A sketch holds its first 200 values as they are, so on tables with fewer receipts of a message its quantiles are exact
+def _near(keys: str, prefix: str, probs: tuple[float, ...]) -> str:
+    q = ", ".join(f"greatest(0, round((quantile_disc(epoch_us(net_timestamp), {p}) - epoch_us(min(net_timestamp)))/1e6, 6)) AS {prefix}p{round(100 * p):02d}" for p in probs)
+    return f"SELECT {keys}, type, count(*) AS {prefix}receipts, min(net_timestamp) AS {prefix}first_seen, {q} FROM (SELECT *, min(hour) OVER (PARTITION BY {keys}) AS fb FROM inb) WHERE hour <= fb + INTERVAL 1 HOUR GROUP BY {keys}, type"
+query("t1_outer_propagation", f"WITH {_IN}, a AS ({_near('hash', '', tuple(propagation.PROBS.values()))}) SELECT hash, CAST(type AS BIGINT) AS type, receipts, {ts('first_seen')} AS first_seen, p05, p25, p50, p75, p95 FROM a WHERE receipts >= 2")(
+    lambda v: longs(said(r6(rollups.propagation_from_sketch(_g(v), 2), "p05", "p25", "p50", "p75", "p95"), "first_seen")))
+query("t2_inner_propagation", f"WITH {_IN}, a AS ({_near('inner_hash', '', tuple(propagation.PROBS.values()))}) SELECT inner_hash, CAST(type AS BIGINT) AS type, receipts, {ts('first_seen')} AS first_seen, p05, p25, p50, p75, p95 FROM a WHERE receipts >= 2")(
+    lambda v: longs(said(r6(rollups.propagation_from_sketch(_g(v, "inner_hash"), 2, "inner_hash"), "p05", "p25", "p50", "p75", "p95"), "first_seen")))
+query("t3_outbound_origin_propagation", f"WITH {_IN}, t0 AS (SELECT t.hash, m.type, min(net_timestamp) AS t0 FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=2 AND m.type IN (1,2,3) GROUP BY 1,2), c AS (SELECT hash, hour, count(*) AS n, min(net_timestamp) AS f FROM inb GROUP BY 1,2) SELECT t0.hash, CAST(type AS BIGINT) AS type, {ts('t0')} AS t0, CAST(sum(n) AS BIGINT) AS receipts, round(min({delay('f', 't0')}),6) AS first_delay FROM t0 JOIN c ON t0.hash=c.hash WHERE f>=t0 AND f<=t0+INTERVAL 1 HOUR GROUP BY t0.hash, type, t0.t0")(
+    lambda v: longs(said(r6(rollups.outbound_propagation(rollups.outbound_origin_rollup(v.timings, v.metadata), _g(v)), "first_delay"), "t0")))
+_Q3 = (0.25, 0.5, 0.75)
+_T4 = f"{_IN}, al AS ({_near('hash', 'all_', _Q3)}), ow AS ({_near('hash, collector', 'one_', _Q3)}), cm AS (SELECT ow.hash, collector, al.type, one_receipts, one_first_seen, one_p25, one_p50, one_p75, all_receipts, all_first_seen, all_p25, all_p50, all_p75 FROM ow JOIN al ON ow.hash=al.hash WHERE all_receipts >= 2)"
+query("t4_collector_comparison", f"WITH {_T4} SELECT * REPLACE (CAST(type AS BIGINT) AS type, {ts('one_first_seen')} AS one_first_seen, {ts('all_first_seen')} AS all_first_seen), round(one_p50-all_p50,6) AS diff_p50, CASE WHEN all_p50<>0 THEN round(one_p50/all_p50,6) END AS ratio_p50 FROM cm")(
+    lambda v: longs(said(r6(rollups.collector_comparison(_g(v, per=True), 2), *(f"{a}_p{n}" for a in ("one", "all") for n in (25, 50, 75)), "diff_p50", "ratio_p50"), "one_first_seen", "all_first_seen")))
+query("t4s_comparison_summary", f"WITH {_T4}, d AS (SELECT *, one_p50-all_p50 AS diff_p50, CASE WHEN all_p50<>0 THEN one_p50/all_p50 END AS ratio_p50 FROM cm) SELECT collector, " + ", ".join(f"round(quantile_cont({c},0.5),4) AS {c}" for c in (*(f"{a}_p{n}" for a in ("one", "all") for n in (25, 50, 75)), "diff_p50", "ratio_p50")) + ", count(*) AS messages FROM d GROUP BY 1")(
+    lambda v: rollups.comparison_summary(rollups.collector_comparison(_g(v, per=True), 2)))
 for _id, _key in (("t5_publication_delay_outer", "hash"), ("t6_publication_delay_inner", "inner_hash")):
     query(_id, f"WITH a AS (SELECT t.{_key}, type, min(net_timestamp) AS f, min(orig_timestamp) AS o FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN (2,3) GROUP BY 1,2) SELECT {_key}, CAST(type AS BIGINT) AS type, round({delay('f', 'o')},6) AS delay FROM a WHERE f>=o")(
         lambda v, k=_key: longs(r6(rollups.publication_delay(_g(v, k), k), "delay")))
-query("t7_message_rate_6h")(lambda v: rollups.message_rate_6h(rollups.message_rate_rollup(v.timings, v.metadata)))
-query("t8_peer_count")(lambda v: rollups.peer_count_from_rollup(rollups.peer_count_rollup(v.timings)))
-query("t9_top_nodes")(lambda v: rollups.activity_totals(_act(v, "orig_node"), "orig_node"))
-query("t9b_daily_nodes")(lambda v: rollups.activity_totals(_act(v, "orig_node"), "orig_node", width="1 day"))
-query("t9c_daily_scids")(lambda v: rollups.activity_totals(_act(v, "scid"), "scid", width="1 day"))
-query("t10_top_scids")(lambda v: rollups.activity_totals(_act(v, "scid"), "scid", "type", width="12 hours"))
-query("t10b_top_n_series")(lambda v: rollups.top_n_series(rollups.activity_totals(_act(v, "scid"), "scid", "type", width="12 hours")))
-query("t11a_outer_inner_ratio")(lambda v: rollups.outer_inner_ratio(rollups.activity_totals(_act(v, "scid"), "scid", width="1 day")))
+query("t7_message_rate_6h", f"WITH {_IN} SELECT {ts('time_bucket(INTERVAL 6 HOUR, net_timestamp)')} AS bucket6, CAST(type AS BIGINT) AS type, round(count(*)/6.0,6) AS receipts_per_hour, count(DISTINCT hash) AS unique_outer, count(DISTINCT inner_hash) AS unique_inner FROM inb GROUP BY time_bucket(INTERVAL 6 HOUR, net_timestamp), type")(
+    lambda v: longs(said(r6(rollups.message_rate_6h(rollups.message_rate_rollup(v.timings, v.metadata)), "receipts_per_hour"), "bucket6")))
+query("t8_peer_count", f"WITH {PC} SELECT {ts('h')} AS hour, collector, peers FROM ph")(lambda v: said(rollups.peer_count_from_rollup(rollups.peer_count_rollup(v.timings)), "hour"))
+query("t9_top_nodes", f"WITH {_NODE} SELECT orig_node, {_SUMS} FROM ac GROUP BY 1")(lambda v: rollups.activity_totals(_act(v, "orig_node"), "orig_node"))
+query("t9b_daily_nodes", f"WITH {_NODE} SELECT {ts(DAY)} AS bucket, orig_node, {_SUMS} FROM ac GROUP BY 1,2")(lambda v: said(rollups.activity_totals(_act(v, "orig_node"), "orig_node", width="1 day"), "bucket"))
+query("t9c_daily_scids", f"WITH {_SCID} SELECT {ts(DAY)} AS bucket, scid, {_SUMS} FROM ac GROUP BY 1,2")(lambda v: said(rollups.activity_totals(_act(v, "scid"), "scid", width="1 day"), "bucket"))
+_T10 = f"{_SCID}, se AS (SELECT {ts('time_bucket(INTERVAL 12 HOUR, net_timestamp)')} AS bucket, scid, CAST(type AS BIGINT) AS type, {_SUMS} FROM ac GROUP BY 1,2,3)"
+query("t10_top_scids", f"WITH {_T10} SELECT * FROM se")(lambda v: longs(said(rollups.activity_totals(_act(v, "scid"), "scid", "type", width="12 hours"), "bucket")))
+query("t10b_top_n_series", f"WITH {_T10}, rk AS (SELECT type, scid, row_number() OVER (PARTITION BY type ORDER BY sum(receipts) DESC, scid) AS k FROM se GROUP BY 1,2) SELECT se.* FROM se JOIN rk ON se.type=rk.type AND se.scid=rk.scid WHERE k<=10")(
+    lambda v: longs(said(rollups.top_n_series(rollups.activity_totals(_act(v, "scid"), "scid", "type", width="12 hours")), "bucket")))
+query("t11a_outer_inner_ratio", f"WITH {_SCID}, dd AS (SELECT {ts(DAY)} AS bucket, scid, {_SUMS} FROM ac GROUP BY 1,2) SELECT scid, round(avg(\"outer\"/\"inner\"),6) AS mean_ratio, count(*) AS days_active FROM dd GROUP BY 1")(
+    lambda v: r6(rollups.outer_inner_ratio(rollups.activity_totals(_act(v, "scid"), "scid", width="1 day")), "mean_ratio"))
 query("t11b_scid_comparison", "SELECT m.scid, count(*) FILTER (m.type=1) AS announcements, count(*) FILTER (m.type=3) AS updates, count(*) AS total FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN (1,3) AND m.scid IS NOT NULL GROUP BY 1 HAVING count(*)>=10 ORDER BY total DESC, scid LIMIT 25")(
     lambda v: longs(rollups.scid_comparison(_act(v, "scid"))))
 _LOOK = "SELECT t.collector, t.net_timestamp, t.row_inc, t.hash, m.type, m.size, s.raw, t.peer FROM timings t JOIN metadata m ON t.hash=m.hash JOIN messages s ON t.hash=s.hash WHERE dir=1 AND m.type=3 AND m.scid=7"
@@ -205,7 +234,10 @@ query("d4_receipts_for_hash", "WITH h AS (SELECT min(hash) AS h FROM timings) SE
     lambda v: diagnostics.receipts_for_hash(v.timings, v.timings.agg(F.min("hash")).first()[0], "2000-01-01", "2100-01-01").select("row_inc", "peer"))
 query("d5_frequency_bins", "WITH n AS (SELECT orig_node, count(*) AS c FROM metadata WHERE orig_node IS NOT NULL GROUP BY 1) SELECT CAST(CASE WHEN c<=5 THEN 0 WHEN c<=10 THEN 1 WHEN c<=50 THEN 2 ELSE 3 END AS BIGINT) AS bin, count(*) AS total FROM n GROUP BY 1")(
     lambda v: longs(diagnostics.frequency_bins(legacy.entity_frequency(v.metadata, "orig_node"), [0, 5, 10, 50], "messages")))
-query("d7_recency_table")(lambda v: graph.recency_table(v.features.withColumnRenamed("first_seen", "last_update"), NOW))
+_AGES = ["hour", "day", "week", "two_weeks", "month", "three_months", "six_months", "year", "other"]
+_AGE = "CASE WHEN age<=3600 THEN 0 WHEN age<=86400 THEN 1 WHEN age<=7*86400 THEN 2 WHEN age<=14*86400 THEN 3 WHEN age<=28*86400 THEN 4 WHEN age<=84*86400 THEN 5 WHEN age<=168*86400 THEN 6 WHEN age<=336*86400 THEN 7 ELSE 8 END"
+query("d7_recency_table", f"WITH n AS (SELECT {_AGE} AS k FROM (SELECT {NOW}-first_seen AS age FROM features WHERE first_seen IS NOT NULL)), c AS (SELECT k, count(*) AS nodes FROM n GROUP BY 1) SELECT [{', '.join(repr(x) for x in _AGES)}][k+1] AS age, nodes, CAST(sum(nodes) OVER (ORDER BY k) AS BIGINT) AS running, round((SELECT sum(nodes) FILTER (k<=4) FROM c)*100.0/(SELECT sum(nodes) FROM c),6) AS pct_within_month FROM c")(
+    lambda v: r6(graph.recency_table(v.features.withColumnRenamed("first_seen", "last_update"), NOW), "pct_within_month"))
 
 # Graph
 
@@ -222,6 +254,11 @@ _CC = f"WITH RECURSIVE {_E}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT
 query("g6_connected_components")(lambda v: graph.components_of(_edges(v)))
 SQL["g6_connected_components"] = "WITH RECURSIVE " + with_views("SELECT 1 FROM channels").split("WITH ", 1)[1].rsplit(" SELECT 1", 1)[0] + ", " + _CC.split("WITH RECURSIVE ", 1)[1] + " SELECT pubkey, component, count(*) OVER (PARTITION BY component) AS size FROM cc"
 query("g7_graph_stats")(lambda v: graph.graph_stats(_edges(v)))
+SQL["g7_graph_stats"] = SQL["g6_connected_components"].rsplit(" SELECT pubkey, component", 1)[0] + ", dg AS (SELECT p, count(*) AS d FROM v GROUP BY p), cs AS (SELECT component, count(*) AS n FROM cc GROUP BY 1) SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM dg) AS nodes, round((SELECT avg(d) FROM dg),6) AS mean_degree, (SELECT min(d) FROM dg) AS min_degree, (SELECT max(d) FROM dg) AS max_degree, (SELECT quantile_cont(d,0.5) FROM dg) AS median_degree, (SELECT count(*) FROM cs) AS components, (SELECT max(n) FROM cs) AS largest"
+QUERIES["g7_graph_stats"] = lambda spark, sf_dir, plain=QUERIES["g7_graph_stats"]: r6(plain(spark, sf_dir), "mean_degree")
+query("g7_path_stats")(lambda v: r6(graph.path_stats(_edges(v), graph.build_graph(v.channels)[0].where("pubkey in ('c1', 'c500', 'c1000')"), 6), "mean_hops"))
+SQL["g7_path_stats"] = SQL["g6_connected_components"].split(", rr(x, y)", 1)[0] + ", hp(s, y, h) AS (SELECT DISTINCT x, x, 0 FROM b WHERE x IN ('c1', 'c500', 'c1000') UNION SELECT hp.s, b.y, h+1 FROM hp JOIN b ON hp.y=b.x WHERE h<6), sh AS (SELECT s, y, min(h) AS h FROM hp GROUP BY 1,2 HAVING min(h)>0) SELECT count(*) AS pairs, round(avg(h),6) AS mean_hops, CAST(max(h) AS BIGINT) AS eccentricity FROM sh"
+query("g8b_distinct_asns", "SELECT asn, count(*) AS nodes FROM features WHERE asn IS NOT NULL GROUP BY 1")(lambda v: graph.distinct_asns(v.features))
 query("g8_annotate_vertices", f"WITH {_E}, d AS (SELECT DISTINCT p AS pubkey FROM v) SELECT d.pubkey, active, CAST(floor(({NOW}-first_seen)/86400.0) AS BIGINT) AS age_days, asn, CASE WHEN f.pubkey IS NULL THEN NULL WHEN sockets IS NULL THEN 'none' WHEN sockets LIKE '%onion%' AND sockets LIKE '[%' THEN 'both' WHEN sockets LIKE '%onion%' THEN 'tor' ELSE 'clearnet' END AS net_type FROM d LEFT JOIN features f ON d.pubkey=f.pubkey")(
     lambda v: graph.annotate(graph.build_graph(v.channels)[0], v.features, NOW).select("pubkey", "active", "age_days", "asn", "net_type"))
 _M = "JOIN membership a ON a.pubkey=src JOIN membership b ON b.pubkey=dst"
@@ -233,12 +270,25 @@ query("g11_communities_wide", "SELECT pubkey, level_0, level_1, level_2 FROM mem
 query("g12_community_members", "SELECT m.level_0, m.pubkey, f.alias, f.sockets FROM membership m LEFT JOIN features f ON m.pubkey=f.pubkey")(lambda v: graph.community_members(v.membership, v.features.select("pubkey", "alias", "sockets")))
 query("g13_sampling_plan", "WITH s AS (SELECT level_0, count(*) AS size FROM membership GROUP BY 1), p AS (SELECT level_0, size, size*1.0/(SELECT sum(size) FROM s) AS p FROM s), x AS (SELECT *, 200*p AS e, sqrt(200*p*(1-p)) AS d FROM p) SELECT level_0, size, round(p,6) AS proportion, round(e,6) AS expected, round(d,6) AS stddev, CAST(CASE WHEN p>=0.08 THEN round(e-d) WHEN p>=0.02 THEN round(e) ELSE greatest(round(e+d),1) END AS BIGINT) AS connection_count FROM x")(
     lambda v: r6(graph.sampling_plan(v.membership, 200), "proportion", "expected", "stddev"))
-query("g14_assignments")(lambda v: graph.assignments(v.membership.select("level_0").distinct().withColumn("collector", F.concat(F.lit("u"), F.col("level_0").cast("string"))), graph.sampling_plan(v.membership, 200), v.membership, v.features))
+_MAP = lambda v: v.membership.select("level_0").distinct().withColumn("collector", F.concat(F.lit("u"), F.col("level_0").cast("string")))
+query("g14_assignments", "WITH s AS (SELECT level_0, count(*) AS size FROM membership GROUP BY 1), p AS (SELECT level_0, size, size*1.0/(SELECT sum(size) FROM s) AS p FROM s), x AS (SELECT *, 200*p AS e, sqrt(200*p*(1-p)) AS d FROM p), li AS (SELECT level_0, string_agg(m.pubkey, ',' ORDER BY m.pubkey) AS eligible FROM membership m JOIN features f ON m.pubkey=f.pubkey WHERE sockets IS NOT NULL GROUP BY 1) SELECT concat('u',x.level_0) AS collector, x.level_0, size, CAST(CASE WHEN p>=0.08 THEN round(e-d) WHEN p>=0.02 THEN round(e) ELSE greatest(round(e+d),1) END AS BIGINT) AS connection_count, eligible FROM x LEFT JOIN li ON x.level_0=li.level_0")(
+    lambda v: graph.assignments(_MAP(v), graph.sampling_plan(v.membership, 200), v.membership, v.features).select("collector", "level_0", "size", "connection_count", F.array_join(F.array_sort("eligible"), ",").alias("eligible")))
 query("g15_merge_nodes", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY coalesce(last_update,-1) DESC, collector) AS k FROM node_views) SELECT pubkey, CAST(last_update AS BIGINT) AS last_update, alias FROM r WHERE k=1")(
     lambda v: graph.merge_nodes(v.node_views).withColumn("last_update", F.col("last_update").cast("long")))
 query("g15_merge_directions", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY scid, direction ORDER BY last_update DESC, collector, fees_base DESC, fees_ppm DESC, cltv DESC) AS k FROM chan_views) SELECT scid, CAST(direction AS BIGINT) AS direction, last_update, fees_base, fees_ppm, cltv FROM r WHERE k=1")(
     lambda v: longs(graph.merge_directions(v.chan_views)))
-query("g16_graph_diff")(lambda v: graph.graph_diff(v.node_views, v.chan_views))
+_G16 = """nm AS (SELECT DISTINCT collector FROM node_views UNION SELECT DISTINCT collector FROM chan_views),
+    mn AS (SELECT pubkey, last_update AS mu, alias AS ma FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY coalesce(last_update,-1) DESC, collector) AS k FROM node_views) WHERE k=1),
+    nn AS (SELECT nm.collector, mu, ma, o.pubkey AS held, o.last_update AS ou, o.alias AS oa FROM mn CROSS JOIN nm LEFT JOIN node_views o ON o.pubkey=mn.pubkey AND o.collector=nm.collector),
+    md AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scid, direction ORDER BY last_update DESC, collector, fees_base DESC, fees_ppm DESC, cltv DESC) AS k FROM chan_views) WHERE k=1),
+    od AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collector, scid, direction ORDER BY last_update DESC, fees_base DESC, fees_ppm DESC, cltv DESC) AS k FROM chan_views) WHERE k=1),
+    hd AS (SELECT DISTINCT collector, scid FROM od),
+    dd AS (SELECT hd.collector, od.scid AS own, (od.fees_base, od.fees_ppm, od.cltv) = (md.fees_base, md.fees_ppm, md.cltv) AS same FROM hd JOIN md ON md.scid=hd.scid LEFT JOIN od ON od.collector=hd.collector AND od.scid=hd.scid AND od.direction=md.direction),
+    a AS (SELECT collector, count(*) AS nodes, count(*) FILTER (held IS NULL) AS missing_nodes, count(*) FILTER (mu IS NOT NULL AND ou IS NULL) AS missing_node_info, count(*) FILTER (ou IS NOT NULL AND ma IS DISTINCT FROM oa) AS stale_node_info, count(*) FILTER (ou IS NOT NULL AND ma IS NOT DISTINCT FROM oa) AS matching_node_info FROM nn GROUP BY 1),
+    b AS (SELECT collector, count(*) FILTER (own IS NULL) AS missing_directions, count(*) FILTER (own IS NOT NULL AND NOT same) AS stale_directions, count(*) FILTER (own IS NOT NULL AND same) AS matching_directions FROM dd GROUP BY 1),
+    c AS (SELECT collector, count(*) AS held FROM hd GROUP BY 1)"""
+query("g16_graph_diff", f"WITH {_G16} SELECT nm.collector, nodes, missing_nodes, missing_node_info, stale_node_info, matching_node_info, (SELECT count(DISTINCT scid) FROM md) AS channels, (SELECT count(DISTINCT scid) FROM md)-coalesce(held,0) AS missing_channels, coalesce(missing_directions,0) AS missing_directions, coalesce(stale_directions,0) AS stale_directions, coalesce(matching_directions,0) AS matching_directions FROM nm JOIN a ON a.collector=nm.collector LEFT JOIN b ON b.collector=nm.collector LEFT JOIN c ON c.collector=nm.collector")(
+    lambda v: graph.graph_diff(v.node_views, v.chan_views))
 query("g17_channel_utxo_filter", "SELECT scid, node_one, node_two, CASE WHEN u.block IS NULL THEN 'missing' WHEN spent THEN 'spent' ELSE 'kept' END AS state, CASE WHEN NOT spent THEN value END AS capacity FROM channels c LEFT JOIN utxos u ON u.block=(c.scid>>40) AND u.tx=((c.scid>>16)&16777215) AND u.vout=(c.scid&65535)")(lambda v: graph.utxo_filter(v.channels, v.utxos))
 query("g17_used_nodes", "SELECT pubkey, alias FROM features WHERE pubkey IN (SELECT node_one FROM channels UNION SELECT node_two FROM channels)")(lambda v: graph.used_nodes(v.features.select("pubkey", "alias"), v.channels))
 _IV = "iv AS (SELECT local_port, remote_ip, remote_port, uuid, min(epoch) AS f, max(epoch) AS l FROM samples GROUP BY 1,2,3,4), ga AS (SELECT p.*, iv.uuid, iv.f, greatest(iv.f-p.ts, p.ts-iv.l, 0) AS g FROM packets p LEFT JOIN iv USING (local_port, remote_ip, remote_port)), rk AS (SELECT *, row_number() OVER (PARTITION BY pkt_id ORDER BY CASE WHEN g>60 THEN 1 ELSE 0 END, CASE WHEN g>60 THEN g ELSE 0 END, f, uuid) AS k FROM ga), fl AS (SELECT * FROM rk WHERE k=1)"
@@ -247,7 +297,8 @@ query("g18_flow_attribution", f"WITH {_IV} SELECT pkt_id, uuid, coalesce(uuid IS
 query("g18_flow_totals", f"WITH {_IV} SELECT uuid, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT (local_port, remote_ip, remote_port)) AS connections, count(DISTINCT remote_ip) AS peers FROM fl WHERE uuid IS NOT NULL GROUP BY 1")(lambda v: attribution.flow_totals(_flows(v)))
 query("g18_unattributed", f"WITH {_IV} SELECT remote_ip, CAST(remote_port AS BIGINT) AS remote_port, count(*) AS packets FROM fl WHERE uuid IS NULL GROUP BY 1,2 ORDER BY packets DESC, 1, 2 LIMIT 20")(lambda v: longs(attribution.unattributed(_flows(v))))
 query("g19_unannounced", "SELECT DISTINCT p AS pubkey FROM (SELECT node_one AS p FROM channels UNION SELECT node_two FROM channels) WHERE p NOT IN (SELECT pubkey FROM features)")(lambda v: graph.lists(v.features, v.channels)["unannounced"])
-query("g20_reachable_split")(lambda v: graph.reachable_split(v.features))
+query("g20_reachable_split", "SELECT pubkey, address, CASE WHEN NOT regexp_matches(address, '^\\S+:[0-9]{1,5}$') THEN 'unparseable' WHEN address LIKE '[%' THEN 'maybe_reachable' ELSE 'unreachable' END AS kind FROM (SELECT pubkey, unnest(string_split(sockets, ',')) AS address FROM features WHERE sockets IS NOT NULL)")(
+    lambda v: graph.reachable_split(v.features))
 query("f3_scid_format", "SELECT scid, concat(scid>>40,'x',(scid>>16)&16777215,'x',scid&65535) AS text, scid AS back FROM channels")(lambda v: v.channels.select("scid", fn.scid_format("scid").alias("text"), fn.scid_parse(fn.scid_format("scid")).alias("back")))
 query("f20_explode_sockets", "SELECT pubkey, unnest(string_split(sockets, ',')) AS address FROM features WHERE sockets IS NOT NULL")(lambda v: fn.explode_sockets(v.features).select("pubkey", "address"))
 query("s14_compact_traffic", f"SELECT {ts('first_seen')} AS first_seen, m.hash, inner_hash, CAST(type AS BIGINT) AS type, CAST(size AS BIGINT) AS size, orig_node, scid FROM metadata m JOIN message_first_seen f ON m.hash=f.hash WHERE type IN (1,2,3)")(

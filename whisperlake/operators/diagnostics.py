@@ -14,18 +14,27 @@ def rows_per_day(t: DataFrame, days: int = 21) -> DataFrame:
 
 
 def archive_listing(log: DataFrame) -> DataFrame:
+    """D2."""
     return log.orderBy("range_start", "range_table")
 
 
-def first_seen_window(fs: DataFrame, start: str, end: str, limit: int = 30_000) -> DataFrame:
-    """D3: hashes first seen strictly inside the window, earliest first."""
+def first_seen_window(fs: DataFrame, start: str, end: str, limit: int | None = 30_000) -> DataFrame:
+    """D3: hashes first seen strictly inside the window, earliest first; with ``limit=None`` all of them."""
     inside = fs.where((F.col("first_seen") > F.lit(start).cast("timestamp")) & (F.col("first_seen") < F.lit(end).cast("timestamp")))
-    return inside.select(F.hex("hash").alias("hash_hex"), "first_seen").orderBy("first_seen", "hash_hex").limit(limit)
+    rows = inside.select(F.hex("hash").alias("hash_hex"), "first_seen").orderBy("first_seen", "hash_hex")
+    return rows if limit is None else rows.limit(limit)
 
 
-def receipts_for_hash(t: DataFrame, key: int, start: str, end: str, limit: int = 1000) -> DataFrame:
+def receipts_for_hash(t: DataFrame, key: int, start: str, end: str, limit: int | None = 1000) -> DataFrame:
     rows = t.where((F.col("hash") == key) & (F.col("net_timestamp") >= F.lit(start).cast("timestamp")) & (F.col("net_timestamp") < F.lit(end).cast("timestamp")))
-    return rows.orderBy("net_timestamp", "row_inc").limit(limit)
+    rows = rows.orderBy("net_timestamp", "row_inc")
+    return rows if limit is None else rows.limit(limit)
+
+
+def shares(counts: DataFrame, value: str) -> DataFrame:
+    """A table of counts with each row's share of their sum in percent, worked out anew, largest first."""
+    total = counts.agg(F.sum(value).alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("pct", F.try_divide(F.col(value) * 100.0, F.col("_total"))).drop("_total").orderBy(F.desc(value))
 
 
 def frequency_bins(counts: DataFrame, edges: list[float], value: str, weight: str | None = None, cap: bool = False) -> DataFrame:

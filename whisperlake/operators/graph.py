@@ -95,6 +95,17 @@ def hops_from(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame
     return seen
 
 
+def path_stats(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
+    """One row on the distances from the given sources to what they reach in ``most`` hops: pairs, mean and largest."""
+    far = hops_from(edges, sources, most).where("hops > 0")
+    return far.agg(F.count(F.lit(1)).alias("pairs"), F.avg("hops").alias("mean_hops"), F.max("hops").cast("long").alias("eccentricity"))
+
+
+def distinct_asns(features: DataFrame) -> DataFrame:
+    """The networks that occur, and how many nodes have each."""
+    return features.where("asn is not null").groupBy("asn").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 def annotate(vertices: DataFrame, features: DataFrame, now: int, asns: DataFrame | None = None) -> DataFrame:
     """Vertices with their scraped features; misses stay null."""
     f = features.withColumns({"net_type": net_type("sockets"), "age_days": age_days("first_seen", now)})
@@ -174,28 +185,27 @@ def own_directions(views: DataFrame) -> DataFrame:
 def graph_diff(nodes: DataFrame, directions: DataFrame) -> DataFrame:
     """Ten counters for each collector against the merged view.
 
-    An unknown node counts as missing with its info; an unknown channel as missing without its directions; a copy is stale
+    A collector has one row for a node; an unknown node counts as missing with its info; an unknown channel as missing without its directions; a copy is stale
     if it differs in anything but its time of update.
     """
     names = nodes.select("collector").unionByName(directions.select("collector")).distinct()
-    nodes = nodes.withColumn("known", F.lit(True))
-    n = merge_nodes(nodes).crossJoin(F.broadcast(names)).alias("m").join(nodes.alias("o"), ["pubkey", "collector"], "left").select("collector", F.col("m.last_update").alias("mu"), F.col("m.alias").alias("ma"), F.col("o.last_update").alias("ou"), F.col("o.alias").alias("oa"), F.col("o.known").alias("known"))
-    has, own = F.col("mu").isNotNull(), F.col("ou").isNotNull()
-    node_counts = n.groupBy("collector").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("known").isNull()).alias("missing_nodes"), F.count_if(has & ~own).alias("missing_node_info"),
-        F.count_if(has & own & ~F.col("ma").eqNullSafe(F.col("oa"))).alias("stale_node_info"), F.count_if(has & own & F.col("ma").eqNullSafe(F.col("oa"))).alias("matching_node_info"),
-    )
-    mine = own_directions(directions)
-    held = mine.select("collector", "scid").distinct().withColumn("held", F.lit(True))
-    merged = merge_directions(directions)
-    chans = merged.select("scid").distinct().crossJoin(F.broadcast(names)).join(held, ["collector", "scid"], "left")
-    chan_counts = chans.groupBy("collector").agg(F.count(F.lit(1)).alias("channels"), F.count_if(F.col("held").isNull()).alias("missing_channels"))
-    pay = lambda s: F.struct(*(F.col(f"{s}.{c}") for c in ("fees_base", "fees_ppm", "cltv")))
-    d = held.join(merged.alias("m"), "scid").join(mine.alias("o"), ["collector", "scid", "direction"], "left").select("collector", F.col("o.last_update").alias("ou"), pay("m").alias("mp"), pay("o").alias("op"))
-    got = F.col("ou").isNotNull()
-    dir_counts = d.groupBy("collector").agg(F.count_if(~got).alias("missing_directions"), F.count_if(got & (F.col("mp") != F.col("op"))).alias("stale_directions"), F.count_if(got & (F.col("mp") == F.col("op"))).alias("matching_directions"))
-    out = names.join(node_counts, "collector", "left").join(chan_counts, "collector", "left").join(dir_counts, "collector", "left")
-    return out.na.fill(0)
+    copies = nodes.join(merge_nodes(nodes).select("pubkey", F.col("alias").alias("best")), "pubkey")
+    has, same = F.col("last_update").isNotNull(), F.col("alias").eqNullSafe(F.col("best"))
+    node_counts = copies.groupBy("collector").agg(F.countDistinct("pubkey").alias("held_nodes"), F.count_if(has).alias("held_info"), F.count_if(has & ~same).alias("stale_node_info"), F.count_if(has & same).alias("matching_node_info"))
+    merged, mine = merge_directions(directions), own_directions(directions)
+    pay = F.struct("fees_base", "fees_ppm", "cltv")
+    own = mine.select("collector", "scid", "direction", pay.alias("mine")).join(merged.select("scid", "direction", pay.alias("best")), ["scid", "direction"])
+    own = own.join(merged.groupBy("scid").agg(F.count(F.lit(1)).alias("ways")), "scid")
+    # what a collector lacks is the total less what it holds, so that nothing is crossed with the collectors
+    by_channel = own.groupBy("collector", "scid").agg(F.first("ways").alias("ways"), F.count_if(F.col("mine") != F.col("best")).alias("stale"), F.count_if(F.col("mine") == F.col("best")).alias("matching"))
+    chan_counts = by_channel.groupBy("collector").agg(F.count(F.lit(1)).alias("held_channels"), F.sum(F.col("ways") - F.col("stale") - F.col("matching")).alias("missing_directions"), F.sum("stale").alias("stale_directions"), F.sum("matching").alias("matching_directions"))
+    totals = merge_nodes(nodes).agg(F.count(F.lit(1)).alias("nodes"), F.count("last_update").alias("infos")).crossJoin(merged.agg(F.countDistinct("scid").alias("channels")))
+    every = names.join(node_counts, "collector", "left").join(chan_counts, "collector", "left").na.fill(0).crossJoin(F.broadcast(totals))
+    less = lambda a, b: F.col(a) - F.col(b)
+    return every.select(
+        "collector", "nodes", less("nodes", "held_nodes").alias("missing_nodes"), less("infos", "held_info").alias("missing_node_info"), "stale_node_info", "matching_node_info",
+        "channels", less("channels", "held_channels").alias("missing_channels"), "missing_directions", "stale_directions", "matching_directions",
+    )
 
 
 def utxo_filter(channels: DataFrame, utxos: DataFrame) -> DataFrame:

@@ -1,14 +1,14 @@
 """Mergeable roll-ups (KLL and HyperLogLog sketches as binary columns) and the queries over them.
 
 Every roll-up takes batch or streaming receipts alike; a stream needs a watermark (see ``streaming``). Quantile sketches
-hold seconds since the bucket's start, not epochs, so that no precision is lost to the size of the number.
+hold whole microseconds since 1970, so that those of different hours merge and no precision is lost.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whisperlake.functions import epoch_diff
@@ -34,12 +34,10 @@ def peer_count_rollup(t: DataFrame) -> DataFrame:
 
 
 def propagation_rollup(t: DataFrame, m: DataFrame, key: str = "hash", per_collector: bool = False) -> DataFrame:
-    """Receipts, first times and a sketch of offsets for each hour and message, and collector if asked."""
+    """Receipts, first times and a sketch of times for each hour and message, and collector if asked."""
     keys = [key, "type", *(["collector"] if per_collector else [])]
-    rows = _inbound(t, m).withColumn("w", F.window("net_timestamp", "1 hour"))
-    rows = rows.withColumn("offset", epoch_diff("net_timestamp", "w.start"))
-    out = rows.groupBy("w", *keys).agg(F.count(F.lit(1)).alias("receipts"), F.min("net_timestamp").alias("first_seen"), F.min("orig_timestamp").alias("orig_timestamp"), F.kll_sketch_agg_double("offset").alias("offsets"))
-    return _flat(out)
+    out = _window(_inbound(t, m), "1 hour", *keys)
+    return _flat(out.agg(F.count(F.lit(1)).alias("receipts"), F.min("net_timestamp").alias("first_seen"), F.min("orig_timestamp").alias("orig_timestamp"), F.kll_sketch_agg_bigint(F.unix_micros("net_timestamp")).alias("times")))
 
 
 def message_rate_rollup(t: DataFrame, m: DataFrame) -> DataFrame:
@@ -89,28 +87,22 @@ def _between(ca: DataFrame, start: str | None, end: str | None) -> DataFrame:
     return ca if end is None else ca.where(F.col("bucket") < F.lit(end).cast("timestamp"))
 
 
-def _merged(ca: DataFrame, key: str, probs: tuple[float, ...], prefix: str = "") -> DataFrame:
-    """Per key: receipts, first_seen and quantiles of delay, over buckets up to an hour after the first.
+def _merged(ca: DataFrame, keys: list[str], probs: tuple[float, ...], prefix: str = "") -> DataFrame:
+    """By key: receipts, first_seen and quantiles of delay, over buckets up to an hour after the first.
 
-    Sketches of different hours cannot be shifted, so quantiles of each bucket's times are merged as weighted points: each
-    bucket gives the offsets at 21 even ranks, each with a share of the bucket's receipts.
+    The sketches of the buckets are merged, then asked. One shuffle serves the window and the grouping.
     """
-    first = ca.groupBy(key).agg(F.min("bucket").alias("first_bucket"))
-    near = ca.join(first, key).where(F.expr("bucket <= first_bucket + interval 1 hour"))
-    ranks = [k / 20 for k in range(21)]
-    points = F.explode(F.array(*(F.kll_sketch_get_quantile_double("offsets", F.lit(r)) for r in ranks)))
-    whole = near.groupBy(key).agg(F.sum("receipts").alias("receipts"), F.min("first_seen").alias("first_seen"), F.min("orig_timestamp").alias("orig_timestamp"), F.min("first_bucket").alias("fb"), F.first("type").alias("type"))
-    spots = near.select(key, "receipts", "bucket", points.alias("offset")).join(whole.select(key, "fb", F.col("first_seen").alias("fs")), key)
-    spots = spots.select(key, "receipts", (epoch_diff("bucket", "fs") + F.col("offset")).alias("delay"))
-    q = spots.groupBy(key).agg(F.percentile("delay", F.array(*map(F.lit, probs)), F.col("receipts")).alias("q"))
-    return whole.join(q, key).select(key, "type", F.col("receipts").alias(prefix + "receipts"), F.col("first_seen").alias(prefix + "first_seen"), "orig_timestamp", *(F.greatest(F.lit(0.0), F.get("q", F.lit(k))).alias(f"{prefix}p{round(p * 100):02d}") for k, p in enumerate(probs)))
+    near = ca.withColumn("fb", F.min("bucket").over(Window.partitionBy(*keys))).where(F.expr("bucket <= fb + interval 1 hour"))
+    whole = near.groupBy(*keys).agg(F.first("type").alias("type"), F.sum("receipts").alias("receipts"), F.min("first_seen").alias("first_seen"), F.kll_merge_agg_bigint("times").alias("times"))
+    delay = lambda p: F.greatest(F.lit(0.0), (F.kll_sketch_get_quantile_bigint("times", F.lit(p)) - F.unix_micros("first_seen")) / F.lit(1e6))
+    return whole.select(*keys, "type", F.col("receipts").alias(prefix + "receipts"), F.col("first_seen").alias(prefix + "first_seen"), *(delay(p).alias(f"{prefix}p{round(p * 100):02d}") for p in probs))
 
 
 def propagation_from_sketch(ca: DataFrame, cutoff: int, key: str = "hash", msg_type: int | None = None, start: str | None = None, end: str | None = None, probs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Messages with at least ``cutoff`` receipts (not peers), up to two hours by whole buckets."""
     ca = _between(ca, start, end)
     ca = ca if msg_type is None else ca.where(F.col("type") == msg_type)
-    return _merged(ca, key, probs).where(F.col("receipts") >= cutoff).drop("orig_timestamp")
+    return _merged(ca, [key], probs).where(F.col("receipts") >= cutoff)
 
 
 def outbound_propagation(ca_out: DataFrame, ca_in: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -123,12 +115,9 @@ def outbound_propagation(ca_out: DataFrame, ca_in: DataFrame, start: str | None
 def collector_comparison(ca: DataFrame, cutoff: int, collectors: list[str] | None = None) -> DataFrame:
     """T4: for each message and collector, its quantiles beside those of all collectors; ratio by zero is null."""
     probs = (0.25, 0.5, 0.75)
-    ca = ca.withColumn("one", F.concat_ws("|", "hash", "collector"))
-    every = _merged(ca, "hash", probs, "all_").where(F.col("all_receipts") >= cutoff)
-    own = _merged(ca if collectors is None else ca.where(F.col("collector").isin(collectors)), "one", probs, "one_").drop("type", "orig_timestamp")
-    own = own.join(ca.select("one", "hash", "collector").distinct(), "one").drop("one")
-    out = own.join(every.drop("orig_timestamp"), "hash")
-    return out.withColumns({"diff_p50": F.col("one_p50") - F.col("all_p50"), "ratio_p50": F.try_divide("one_p50", "all_p50")})
+    every = _merged(ca, ["hash"], probs, "all_").where(F.col("all_receipts") >= cutoff)
+    own = _merged(ca if collectors is None else ca.where(F.col("collector").isin(collectors)), ["hash", "collector"], probs, "one_").drop("type")
+    return own.join(every, "hash").withColumns({"diff_p50": F.col("one_p50") - F.col("all_p50"), "ratio_p50": F.try_divide("one_p50", "all_p50")})
 
 
 def comparison_summary(comparison: DataFrame) -> DataFrame:
@@ -166,8 +155,6 @@ def activity_totals(ca: DataFrame, *by: str, width: str | None = None) -> DataFr
 
 def top_n_series(series: DataFrame, n: int = 10) -> DataFrame:
     """Of each type, the series of the ``n`` scids with most receipts, ties by scid."""
-    from pyspark.sql import Window
-
     totals = series.groupBy("type", "scid").agg(F.sum("receipts").alias("r"))
     top = totals.withColumn("k", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("r"), "scid"))).where(F.col("k") <= n)
     return series.join(top.select("type", "scid"), ["type", "scid"], "left_semi")
