@@ -39,6 +39,67 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/quarantine")).count() == batch.where("error is not null").count()
 
 
+def test_ping_pongs_are_alike_for_one_batch_and_many(spark, tmp_path):
+    """Row numbers grow over batches, so pongs meet the pings before them however the lines were cut."""
+    import os
+    import random
+
+    r = random.Random(5)
+    lines, now = [], 1_700_000_000_000_000
+    for _ in range(120):
+        now += r.randint(1, 5_000_000)
+        word, way = r.choice([("ping", "outbound"), ("pong", "inbound"), ("ca", "inbound")])
+        lines.append(f"{now},peer{r.randint(0, 3)},{word},{way},9,1,raw{len(lines)},,,7,n1")
+    (tmp_path / "in").mkdir()
+    for k in range(6):
+        path = tmp_path / "in" / f"{k}.txt"
+        path.write_text("\n".join(";".join(lines[j : j + 5]) for j in range(20 * k, 20 * k + 20, 5)))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    found = []
+    for files_at_once in (1, 100):
+        root = str(tmp_path / str(files_at_once))
+        source = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_at_once).text(str(tmp_path / "in"))
+        ingest.ingest(source, f"{root}/out", f"{root}/cp").awaitTermination()
+        t, m = spark.read.parquet(f"{root}/out/timings"), spark.read.parquet(f"{root}/out/metadata")
+        assert t.select("row_inc").distinct().count() == len(lines)
+        assert [x.net_timestamp for x in t.orderBy("row_inc").collect()] == [x.net_timestamp for x in t.orderBy("net_timestamp").collect()]
+        found.append(sorted((x.peer, x.response_seconds) for x in legacy.ping_pong_pairs(t, m).collect()))
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
+def test_sync_that_failed_is_replaced(spark, data, tmp_path):
+    v, root = Views(spark, data), str(tmp_path / "s")
+    files.incremental_sync(v.timings, {}, root, dt.datetime(2024, 1, 10))
+    files.delete(spark, f"{root}/_sync_state")
+    files.incremental_sync(v.timings, {}, root, dt.datetime(2024, 1, 12))
+    files.incremental_sync(v.timings, {}, root, dt.datetime(2100, 1, 1))
+    t = spark.read.parquet(f"{root}/timings")
+    assert t.count() == t.select("row_inc").distinct().count() == v.timings.count()
+
+
+def test_an_unreachable_export_is_kept(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "e.parquet")
+    files.export_once(spark.range(3), path)
+
+    def fail(*_):
+        raise OSError("connection reset")
+
+    monkeypatch.setattr(files, "size_of", fail)
+    with pytest.raises(OSError, match="reset"):
+        files.export_once(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_shared_folder_is_asked_for():
+    from types import SimpleNamespace
+
+    from whisperlake.plans.scratch import shared_dir
+
+    context = SimpleNamespace(master="spark://x:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
 def test_rollup_stream_equals_batch(spark, data, tmp_path):
     v = Views(spark, data)
     t = v.timings.where("dir = 1").orderBy("net_timestamp").coalesce(1)

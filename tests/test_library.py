@@ -10,11 +10,14 @@ import duckdb
 import pandas as pd
 import pytest
 
-from whisperlake import library
+from whisperlake import jobs_library, library
 from whisperlake.fixtures import Views, with_views
 from whisperlake.operators import propagation
 
 
+assert jobs_library  # its queries are the library's
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -65,9 +68,24 @@ def test_sketches_are_close(spark):
     exact = v.timings.where("dir = 1").join(v.metadata.where("type in (1,2,3)"), "hash").groupBy("type").agg(F.countDistinct(v.timings["hash"]).alias("m"))
     for r in near.join(exact, "type").collect():
         assert abs(r["n"] - r["m"]) <= max(1, 0.03 * r["m"])
-    each = rollups.propagation_from_sketch(rollups.propagation_rollup(v.timings, v.metadata), 2)
-    for r in each.collect():
-        assert 0 <= r["p05"] <= r["p50"] <= r["p95"] <= 2 * 3600
+
+
+def test_merged_sketches_rank_errors(spark):
+    """Quantiles over two hours with thousands of receipts: the share of delays below each is near the rank asked for."""
+    from pyspark.sql import functions as F
+
+    from whisperlake.operators import rollups
+
+    t = spark.range(60_000).select((F.col("id") % 3).alias("hash"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.pmod(F.xxhash64("id"), F.lit(7_000_000_000))).alias("net_timestamp"), F.lit(1).alias("dir"), F.lit(None).cast("timestamp").alias("orig_timestamp"))
+    m = spark.createDataFrame([(k, 1, None, 5) for k in range(3)], "hash long, type int, orig_node string, scid long")
+    rows = {r["hash"]: r for r in rollups.propagation_from_sketch(rollups.propagation_rollup(t, m), 2).collect()}
+    first = t.groupBy("hash").agg(F.min("net_timestamp").alias("f"))
+    delays = t.join(first, "hash").select("hash", ((F.unix_micros("net_timestamp") - F.unix_micros("f")) / 1e6).alias("d"))
+    for k in range(3):
+        assert rows[k]["receipts"] == 20_000
+        for p in (5, 25, 50, 75, 95):
+            share = delays.where((F.col("hash") == k) & (F.col("d") <= rows[k][f"p{p:02d}"])).count() / 20_000
+            assert abs(share - p / 100) < 0.02
 
 
 def test_views_hold_every_row(spark, duck, data):

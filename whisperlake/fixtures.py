@@ -80,5 +80,7 @@ def with_views(sql: str, *more: str) -> str:
 
     add(sql)
     ctes = [f"{v} AS ({VIEWS[v].format(**_DUCK)})" for v in need] + list(more)
-    head = f"WITH {', '.join(ctes)} " if ctes else ""
+    if not ctes:
+        return sql
+    head = f"WITH {', '.join(ctes)} "
     return head + sql if not sql.lstrip().upper().startswith("WITH ") else f"WITH {', '.join(ctes)}, " + sql.lstrip()[5:]

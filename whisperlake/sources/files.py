@@ -52,13 +52,23 @@ def load_range(spark: SparkSession, root: str, end: dt.date, days: int, tables:
 
 
 def insert_if_absent(df: DataFrame, path: str, key: str | list[str]) -> None:
-    """Append the rows whose key is not there yet; of equal keys in ``df`` any one."""
+    """Append the rows whose key is not there yet; of equal keys in ``df`` any one.
+
+    Files are sorted by key, and the target is read only between the least and greatest new key, which row groups'
+    statistics prune where keys come close together; a broadcast of the new keys prunes the rest where it is small.
+    """
     keys = [key] if isinstance(key, str) else key
     spark = df.sparkSession
     new = df.dropDuplicates(keys)
     if exists(spark, path):
-        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    new.write.mode("append").parquet(path)
+        new = new.persist()
+        ends = new.agg(F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high")).first()
+        old = spark.read.parquet(path).select(*keys).where(F.col(keys[0]).between(F.lit(ends["low"]), F.lit(ends["high"])))
+        held = old.join(new.select(*keys), keys, "left_semi")
+        new.join(held, keys, "left_anti").sortWithinPartitions(*keys).write.mode("append").parquet(path)
+        new.unpersist()
+    else:
+        new.sortWithinPartitions(*keys).write.mode("append").parquet(path)
 
 
 def append_timings(df: DataFrame, path: str) -> None:
@@ -70,13 +80,19 @@ def _range(df: DataFrame, column: str, day: dt.date) -> DataFrame:
     return df.where((F.col(column) >= F.lit(day).cast("timestamp")) & (F.col(column) < F.lit(day + dt.timedelta(days=1)).cast("timestamp")))
 
 
+#: What Spark says of a file that is there and is no whole Parquet file, or of a folder without one.
+BROKEN = ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA", "Could not read footer", "is not a valid Parquet")
+
+
 def export_once(df: DataFrame, path: str, sort: str | None = None) -> tuple[str, int, int]:
     """(path, rows, bytes) of the export at ``path``; one that reads well is kept, a broken one is made anew."""
     spark = df.sparkSession
     if exists(spark, path):
         try:
             return path, spark.read.parquet(path).count(), size_of(spark, path)
-        except Exception as e:  # whatever makes it unreadable
+        except Exception as e:
+            if not any(x in str(e) for x in BROKEN):
+                raise  # the store may be out of reach, which says nothing about the file
             warnings.warn(f"{path} is made anew: {type(e).__name__}", stacklevel=2)
             delete(spark, path)
     rows = df.sortWithinPartitions(sort) if sort else df
@@ -164,7 +180,10 @@ def incremental_sync(t: DataFrame, keyed: dict[str, DataFrame], root: str, cutof
     spark, state = t.sparkSession, f"{root}/_sync_state"
     last = spark.read.parquet(state).where("table_name = 'timings'").agg(F.max("last_synced_ts")).first()[0] if exists(spark, state) else None
     rows = t.where(F.col("net_timestamp") <= F.lit(cutoff))
-    (rows if last is None else rows.where(F.col("net_timestamp") > F.lit(last))).write.mode("append").parquet(f"{root}/timings")
+    rows = rows if last is None else rows.where(F.col("net_timestamp") > F.lit(last))
+    # a run that failed before its state was written is replaced by the next one, which begins at the same time
+    since = "start" if last is None else f"{last:%Y%m%dT%H%M%S%f}"
+    rows.withColumn("since", F.lit(since)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("since").parquet(f"{root}/timings")
     for name, df in keyed.items():
         insert_if_absent(df, f"{root}/{name}", "hash")
     spark.createDataFrame([("timings", cutoff)], "table_name string, last_synced_ts timestamp").write.mode("append").parquet(state)
