@@ -49,10 +49,10 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
 
 def slot_bits(slots: DataFrame, bits: int) -> np.ndarray:
     """A table of 2**``bits`` bits in which those of ``slots`` (slot long) are set: of one size, however many rows there are."""
-    words = slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))
-    found = words.toArrow()
+    words = slots.groupBy(F.shiftright("slot", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot & 31 as int))")).alias("bits"))
+    found = words.toArrow()  # 8 bytes for each 32 bits that hold any
     out = np.zeros(1 << bits - 5, np.uint32)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint32)
     return out
 
 
