@@ -414,7 +414,14 @@ def test_simhash_odd(spark, odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in rows if r.doc_id in (4, 8)} == {4}
     assert simhash.near_duplicates(empty).count() == 0
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(odd).select("doc_id").collect()) == sorted(["1", "4", "5", "6", "7", "7", "9", "None"])
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(odd).select("doc_id").collect()) == sorted(["1", "10", "4", "5", "6", "7", "7", "9", "None"])
+
+
+def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
+    prints = {1: 0, 2: 0b111111, None: 0b111}
+    df = spark.createDataFrame([(i, p) for i, p in prints.items()], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: df)
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()} == {(1, 1), (2, 1), (None, 1)}
 
 
 # 6

@@ -5,8 +5,9 @@ least 5 of the 8 bytes. Posting lists on single bytes would hold 1/256 of all fi
 triples of positions instead. The 8 triples inside {0..3} and {4..7} suffice: of any 5 agreeing positions 3 fall into one
 half. Within a list the shared positional bytes of each pair are tallied, pairs below the guaranteed 5 go, and the rest
 are verified bit by bit. A list longer than ``most`` is split exactly: members that share the triple must agree in 2 of
-the other 5 positions, so the 10 pairs of those are lists of the second level, which leave 3 bytes free and thus hold
-2**24 fingerprints at most.
+the other 5 positions, so the 10 pairs of those make lists of the second level. Such a list that is still longer is split
+once more: 3 bits at most differ in its 3 free bytes, so one of their 4 stretches of 6 bits is alike. A list of the third
+level holds 2**18 distinct fingerprints at most.
 """
 
 from __future__ import annotations
@@ -137,14 +138,20 @@ def links(nodes: DataFrame, most: int = 2048) -> DataFrame:
     counts = keys.groupBy("key").count().where("count > 1")
     # every pair may be listed under several keys; a single row of a key has no partner and goes here
     listed = written(keys.join(counts, "key"), "lists")
-    gather = lambda df, *key: df.groupBy(*key).agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes")).where(F.size("fps") > 1)
-    second = " ".join(
-        f"when t = {k} then array({', '.join(_key(n, q) for n, q in enumerate(combinations([x for x in range(8) if x not in p], 2)))})"
-        for k, p in enumerate(TRIPLES)
-    )
-    cold = gather(listed.where(F.col("count") <= most), "key").select("fps", "nodes")
-    hot = listed.where(F.col("count") > most).select("key", "fp", "node", F.expr(f"explode(case {second} end) as more"))
-    every = cold.unionByName(gather(hot, "key", "more").select("fps", "nodes"))
+    gather = lambda df, *key: df.groupBy(*key).agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes")).where(F.size("fps") > 1).select("fps", "nodes")
+
+    def below(p: tuple[int, ...]) -> str:
+        """The second-level keys of a triple, each with the bytes that both leave free."""
+        free = [x for x in range(8) if x not in p]
+        return ", ".join(f"struct({_key(n, q)} as more, {_key(0, tuple(x for x in free if x not in q))} as rest)" for n, q in enumerate(combinations(free, 2)))
+
+    second = " ".join(f"when t = {k} then array({below(p)})" for k, p in enumerate(TRIPLES))
+    hot = listed.where(F.col("count") > most).select("key", "fp", "node", F.expr(f"inline(case {second} end)"))
+    sizes = hot.groupBy("key", "more").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = written(hot.join(sizes, ["key", "more"]), "lists")
+    third = ", ".join(f"{j}L * 64 + (shiftrightunsigned(rest, {6 * j}) & 63L)" for j in range(4))
+    hotter = sized.where(F.col("n") > most).select("key", "more", "fp", "node", F.expr(f"explode(array({third})) as stretch"))
+    every = gather(listed.where(F.col("count") <= most), "key").unionByName(gather(sized.where(F.col("n") <= most), "key", "more")).unionByName(gather(hotter, "key", "more", "stretch"))
     small_batches(nodes.sparkSession)
     return every.mapInArrow(_spans, "src long, dst long")
 
@@ -157,10 +164,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprint are merged before any list is made, so that a group of copies, however large, costs one entry.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(links(nodes))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp").select(
+    # fingerprints are the nodes, so that rows without a doc_id link others too
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "nodes")
+    found = components(links(nodes.select("fp", "node")))
+    rooted = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
