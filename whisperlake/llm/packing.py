@@ -92,7 +92,7 @@ def sequences(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_toke
 
     Groups are drawn from a row's number in its scan, never from its key, so that no key makes a large one; each holds
     about ``group_tokens`` ids. A null text counts as empty and has the end id alone. Repeated rows are packed as often as
-    they occur; an empty table gives no rows; columns other than doc_id and text are not read. Ties go by doc_id, row and
+    they occur, rows with a null doc_id too; very long texts are cut like any other; an empty table gives no rows; columns other than doc_id and text are not read. Ties go by doc_id, row and
     start, so that a group always packs alike.
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0

@@ -1,4 +1,8 @@
-"""The queries opN_<name>: each applies its operator, with production parameters, to a whole table."""
+"""The queries opN_<name>: each applies its operator, with production parameters, to a whole table.
+
+What null, empty, very long and repeated rows, ties and empty tables give is stated by the operator that each query names;
+columns of the table that an operator doesn't name are not read, so that clashing names make no difference.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +18,14 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of every text: see pii.detect (null text: empty; a row for each row)."""
     from whisperlake.llm.pii import detect
 
     return detect(table(spark, sf_dir, "documents"))
 
 
 def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, written to shards, found again through the perfect hash index and read back."""
+    """Ids of every document, written to shards, found again through the perfect hash index and read back: see binary.write_tokens (a row for each doc_id that is not null)."""
     from whisperlake.llm.binary import digests, write_tokens
 
     docs = table(spark, sf_dir, "documents")
@@ -28,6 +33,7 @@ def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score: see toxicity.score and train (null text: empty; a row for each row)."""
     from whisperlake.llm.toxicity import score, train
 
     docs = table(spark, sf_dir, "documents")
@@ -35,6 +41,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score: see quality.score and train (null text: empty; a row for each row)."""
     from whisperlake.llm.quality import score, train
 
     docs = table(spark, sf_dir, "documents")
@@ -42,38 +49,42 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and class: see simhash.near_duplicates (a row for each row)."""
     from whisperlake.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item's best window in every document that leaks it."""
+    """Every benchmark item's best window in every document that leaks it: see decontaminate.leaks."""
     from whisperlake.llm.decontaminate import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and class: see embeddings.near_duplicates (a row for each row)."""
     from whisperlake.llm.embeddings import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text: see html.extract (null html: empty; a row for each row)."""
     from whisperlake.llm.html import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of the packed sequences, as these are read back: see packing.pack."""
     from whisperlake.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentences that go, by document: how many, their positions, and the digest of these."""
+    """The sentences that go, by document: how many, and their positions: see spans.remove."""
     from whisperlake.llm.spans import remove
 
     found = remove(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("removed") > 0)
