@@ -51,6 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each one's result written and read again; returns the packed pieces.
+
+    Null texts count as empty and stay, unless another row has no words either; rows with a null doc_id are judged by their
+    own text, stay through near_dedup, and are packed; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

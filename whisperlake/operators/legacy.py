@@ -18,10 +18,11 @@ def _with_total(df: DataFrame, total: DataFrame) -> DataFrame:
 def convergence_delay_summary(t: DataFrame, min_share: float = 0.5, probs: dict[str, float] = CONVERGENCE) -> DataFrame:
     """Mean, over messages whose receipts reach ``min_share`` of all peers, of each percentile of delay after the first."""
     peers = t.agg(F.countDistinct("peer_hash").alias("peers"))
-    # one pass over the receipts: delays relative to the first are percentiles minus the minimum
-    first = t.groupBy("hash").agg(F.min("net_timestamp").alias("t0"), F.count(F.lit(1)).alias("receipts"))
-    wide = _with_total(first, peers).where(F.col("receipts") >= min_share * F.col("peers")).select("hash", "t0", "receipts")
-    each = t.join(wide, "hash").groupBy("hash", "receipts").agg(F.percentile(epoch_diff("net_timestamp", "t0"), F.array(*map(F.lit, probs.values()))).alias("p"))
+    # delays relative to the first are percentiles of the times minus the least one, so that one grouping gives all
+    us = F.unix_micros("net_timestamp")
+    every = t.groupBy("hash").agg(F.min(us).alias("t0"), F.count(F.lit(1)).alias("receipts"), F.percentile(us, F.array(*map(F.lit, probs.values()))).alias("q"))
+    wide = _with_total(every, peers).where(F.col("receipts") >= min_share * F.col("peers"))
+    each = wide.select("receipts", F.transform("q", lambda x: (x - F.col("t0")) / F.lit(1e6)).alias("p"))
     return each.agg(
         *(F.avg(F.get("p", F.lit(k))).alias(f"avg_{n}") for k, n in enumerate(probs)), F.count(F.lit(1)).alias("messages"), F.avg("receipts").alias("avg_total_peers")
     )
