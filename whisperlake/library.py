@@ -236,7 +236,7 @@ query("d5_frequency_bins", "WITH n AS (SELECT orig_node, count(*) AS c FROM meta
     lambda v: longs(diagnostics.frequency_bins(legacy.entity_frequency(v.metadata, "orig_node"), [0, 5, 10, 50], "messages")))
 _AGES = ["hour", "day", "week", "two_weeks", "month", "three_months", "six_months", "year", "other"]
 _AGE = "CASE WHEN age<=3600 THEN 0 WHEN age<=86400 THEN 1 WHEN age<=7*86400 THEN 2 WHEN age<=14*86400 THEN 3 WHEN age<=28*86400 THEN 4 WHEN age<=84*86400 THEN 5 WHEN age<=168*86400 THEN 6 WHEN age<=336*86400 THEN 7 ELSE 8 END"
-query("d7_recency_table", f"WITH n AS (SELECT {_AGE} AS k FROM (SELECT {NOW}-first_seen AS age FROM features WHERE first_seen IS NOT NULL)), c AS (SELECT k, count(*) AS nodes FROM n GROUP BY 1) SELECT [{', '.join(repr(x) for x in _AGES)}][k+1] AS age, nodes, CAST(sum(nodes) OVER (ORDER BY k) AS BIGINT) AS running, round((SELECT sum(nodes) FILTER (k<=4) FROM c)*100.0/(SELECT sum(nodes) FROM c),6) AS pct_within_month FROM c")(
+query("d7_recency_table", f"WITH n AS (SELECT {_AGE} AS k FROM (SELECT {NOW}-first_seen AS age FROM features WHERE first_seen IS NOT NULL)), c AS (SELECT k, count(*) AS nodes FROM n GROUP BY 1) SELECT [{', '.join(repr(x) for x in _AGES)}][k+1] AS age, nodes, CAST(sum(nodes) OVER (ORDER BY k) AS BIGINT) AS running, round(coalesce((SELECT sum(nodes) FILTER (k<=4) FROM c),0)*100.0/(SELECT sum(nodes) FROM c),6) AS pct_within_month FROM c")(
     lambda v: r6(graph.recency_table(v.features.withColumnRenamed("first_seen", "last_update"), NOW), "pct_within_month"))
 
 # Graph
