@@ -330,9 +330,10 @@ def test_every_window_is_scored():
         assert np.isclose(scorer([" ".join(words), "other text"])[0], toxicity.sigmoid(max(logits)), atol=1e-5), n
 
 
-def test_keep_clean_judges_rows(spark, odd, labels):
+def test_keep_clean_judges_rows(spark, odd, labels, monkeypatch):
     """Every row stays or goes by its own text, those without a doc_id too; clashing columns and nulls stay as they are."""
-    net = toxicity.train(odd, labels)
+    net = toxicity.Network()
+    monkeypatch.setattr(toxicity, "train", lambda *_: net)
     scorer = toxicity.Scorer(net)
     want = Counter((i, t) for i, t in ODD if round(float(scorer([t or ""])[0]), 6) < 0.5)
     for least in (0.5, float(np.median([scorer([t or ""])[0] for _, t in ODD])) + 1e-4):
@@ -570,6 +571,9 @@ def test_html_blocks():
         ('<article><h2 class="header">H</h2><p class="social">s</p><ul class="menu"><li>m</ul><math>x</math></article>', "H\ns\nm\nx"),
         ("<article>a<div class='comments'>c</div><div class = 'ad'>d</div><article class='comment'>e</article></article>", "a"),
         ("<div class='comments'>c</div><div id=sidebar>s</div><p>own", "own"),
+        ("<div class='with-sidebar'><article>a<div class=ad>b</div></article></div>", "a"),
+        ("<div class='related'><article>teaser</article></div><article>a</article>", "a"),
+        ("<nav><article>n</article></nav><p>own", "own"),
         ("<main class='sidebar'>m<nav>n</nav><div role=navigation>o</div></main>", "m"),
         ('<article>a <b class="x>y</article> z', None),
         ("<article>1 < 2 &lt;b&gt; <!-- <p> --> <![CDATA[ x ]]>3<br/>4</article><p>after", "1 < 2 <b> 3 4"),
