@@ -45,7 +45,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(own[:m][inside])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(parts)[order].astype(np.int64), np.bincount(owner, minlength=len(words))
+    return np.concatenate(parts)[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 def words_of(text: str) -> list[str]:
@@ -168,9 +168,9 @@ class Lexicon(dict):
     def inputs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashed id, runs and number of runs of each new word; padding has none. Then no word is new."""
         ids = np.array([1 + zlib.crc32(w) % (WORDS - 1) if w else 0 for w in self.new])
-        flat, counts = grams(self.new)
+        parts = [grams(self.new[k : k + 8192]) for k in range(0, len(self.new), 8192)] or [grams([])]
         self.new = []
-        return ids, flat, counts
+        return ids, np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
 
 
 def segments(rows: np.ndarray) -> np.ndarray:
@@ -181,9 +181,12 @@ def segments(rows: np.ndarray) -> np.ndarray:
     return padded[first[:, None] + np.arange(SEGMENT)]
 
 
-def inference_table(gates: np.ndarray) -> np.ndarray:
-    """Gate inputs with those of n doubled, as infer() wants them: tanh(x) is then 2 * sigmoid(.) - 1, which is cheaper."""
-    out = gates.copy()
+def inference_table(net: Network, ids: np.ndarray, flat: np.ndarray, counts: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    """Gate inputs of words, a few at a time, with those of n doubled, as infer() wants them: tanh(x) is then 2 * sigmoid(.) - 1, which is cheaper."""
+    out, edge = np.empty((len(ids), 6 * H), np.float32), np.append(0, np.cumsum(counts))
+    for k in range(0, len(ids), chunk):
+        z = min(k + chunk, len(ids))
+        out[k:z] = net.gates(net.vectors(ids[k:z], flat[edge[k] : edge[z]], counts[k:z]))
     out[:, 2 * H : 3 * H] *= 2
     out[:, 5 * H :] *= 2
     return out
@@ -270,7 +273,7 @@ def fit(samples: list[tuple[str, float]], rounds: int = 6, least_steps: int = 20
 
     def top() -> tuple[np.ndarray, np.ndarray]:
         """Each text's worst window, as segment * PER + its place there, and its logit."""
-        v = infer(net, inference_table(net.gates(net.vectors(ids, flat, counts))), every)
+        v = infer(net, inference_table(net, ids, flat, counts), every)
         best = np.array([a * PER + int(v[a:z].argmax()) for a, z in zip(first, first[1:])])
         return best, v.ravel()[best]
 
@@ -278,8 +281,10 @@ def fit(samples: list[tuple[str, float]], rounds: int = 6, least_steps: int = 20
     pos, neg = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
     # few samples make few batches, so they go round more often
     rounds = max(rounds, -(-least_steps * batch // (2 * max(len(pos), len(neg)))))
+    best, again = None, max(1, rounds // 24)  # worst windows are looked for anew 16 times, or each round if there are fewer
     for turn in range(rounds):
-        best = top()[0] if turn >= rounds // 3 else None
+        if turn >= rounds // 3 and (turn - rounds // 3) % again == 0:
+            best = top()[0]
         size = max(len(pos), len(neg))
         order = np.concatenate([r.choice(c, size) for c in (pos, neg) if len(c)])
         r.shuffle(order)
@@ -371,7 +376,7 @@ class Scorer:
         if n > len(self.table):
             self.table = np.concatenate([self.table[: self.done], np.zeros((max(n, 2 * self.done) - self.done, 6 * H), np.float32)])
         if self.lexicon.new:
-            self.table[self.done : n] = inference_table(self.net.gates(self.net.vectors(*self.lexicon.inputs())))
+            self.table[self.done : n] = inference_table(self.net, *self.lexicon.inputs())
             self.done = n
         top = np.full(len(batch), -np.inf)
         own = np.repeat(np.arange(len(batch)), [len(x) for x in segs])
