@@ -92,6 +92,13 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), places.alias("removed"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 strongest phrases of 2 to 5 words: see phrases.collocations."""
+    from whisperlake.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose vec_id is divisible by 20: see nearest.nearest."""
     from whisperlake.llm.nearest import nearest
@@ -117,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_spans": op10_spans,
+    "op11_phrases": op11_phrases,
     "op12_nearest": op12_nearest,
     "op13_ranking": op13_ranking,
 }
@@ -133,6 +141,25 @@ SQL: dict[str, str] = {
         c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
         SELECT m.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, m.vec_id) AS component_id, coalesce(component_id, m.vec_id) = m.vec_id AS kept
         FROM embeddings m LEFT JOIN c ON m.vec_id = c.vec_id LEFT JOIN n ON m.vec_id = n.vec_id""",
+    "op11_phrases": r"""
+        WITH p AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), g AS (SELECT lang, k, w[i : i + k - 1] AS w FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) AS s(k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, w, array_to_string(w, ' ') AS phrase, count(*) AS a FROM g GROUP BY lang, k, w), n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+        u AS (
+            SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, n.n, CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+            FROM c JOIN range(1, 5) AS s(j) ON j < c.k JOIN n ON n.lang = c.lang
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1 :], ' ')
+        ), b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM u),
+        i AS (
+            SELECT lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT lang, w, a, k, m, unnest(range(1, k - m + 2)) AS s FROM c, range(2, 5) AS z(m) WHERE m < k) GROUP BY ALL
+        ), o AS (
+            SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+            FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE o = 1 AND (longer IS NULL OR 100 * longer < 100 * a)
+        ) SELECT * FROM o WHERE rank <= 2000""",
     "op12_nearest": """
         WITH e AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings

@@ -54,6 +54,17 @@ def _runs(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64((sums[b] - sums[a]) * _powers(INVERSE, n)[a] + (b - a).astype(np.uint64))
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 21) -> np.ndarray:
+    """A hash of data[start:end] for each of the bounds, which ascend and do not overlap; some ``stretch`` of the bytes at a time."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + stretch)))
+        a, b = starts[at], ends[to - 1]
+        out[at:to] = _runs(data[a:b] + np.uint64(1), starts[at:to] - a, ends[at:to] - a)
+        at = to
+    return out
+
+
 class WordHashes:
     """Words of a text: where they start and end in its bytes, and a hash of each."""
 
