@@ -62,7 +62,7 @@ def test_small_ones(spark):
         with pytest.raises(ValueError):
             fn.parse_time_window(bad)
     assert one(spark, fn.recency_bin("a"), a=3600) == "hour" and one(spark, fn.recency_bin("a"), a=336 * 86400 + 1) == "other"
-    assert one(spark, fn.alias_clean("a"), a="node.com") == "node" and one(spark, fn.alias_clean("a"), a="LNT123") == ""
+    assert one(spark, fn.alias_clean("a"), a="node.com") == "node" and one(spark, fn.alias_clean("a"), a="LNT123") == "LNT123" and one(spark, fn.alias_clean("a"), a="LNT.123") == ""
     assert one(spark, fn.parse_peer_specifier("a"), a="key@h:1@2").address == "h:1@2"
     df = spark.createDataFrame([(["x.onion:1", "1.2.3.4:1", "x.onion:1"],)], "a array<string>")
     assert df.select(fn.endpoint_preference("a")).first()[0] == ["1.2.3.4:1", "x.onion:1"]

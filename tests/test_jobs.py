@@ -238,7 +238,56 @@ def test_box_cox(spark):
 
 
 def test_merge_and_diff(spark):
+    """b lacks z, of which nobody has info; a knows it; y has no info anywhere; direction 2 of each channel is nobody's."""
     n = spark.createDataFrame([("a", "x", 5, "new"), ("b", "x", 4, "old"), ("b", "y", None, None), ("a", "z", None, None)], "collector string, pubkey string, last_update int, alias string")
-    c = spark.createDataFrame([("a", 1, 1, 9, 1, 1, 1), ("b", 1, 1, 8, 1, 1, 1), ("a", 2, 1, 9, 1, 1, 1)], "collector string, scid long, direction int, last_update int, fees_base long, fees_ppm long, cltv long")
+    c = spark.createDataFrame([("a", 1, 1, 9, 1, 1, 1), ("b", 1, 1, 8, 1, 1, 1), ("a", 2, 1, 9, 1, 1, 1), ("a", 3, 1, 9, 1, 1, 1), ("b", 3, 2, 9, 1, 1, 1)], "collector string, scid long, direction int, last_update int, fees_base long, fees_ppm long, cltv long")
     d = {r.collector: r for r in graph.graph_diff(n, c).collect()}
-    assert d["b"].missing_nodes == 1 and d["b"].stale_node_info == 1 and d["b"].missing_channels == 1 and d["b"].matching_directions == 1 and d["b"].missing_directions == 0
+    assert (d["b"].known_nodes, d["b"].missing_nodes, d["b"].missing_node_info, d["b"].stale_node_info, d["b"].matching_node_info) == (2, 1, 1, 1, 1)
+    assert (d["a"].known_nodes, d["a"].missing_nodes, d["a"].missing_node_info, d["a"].stale_node_info, d["a"].matching_node_info) == (2, 1, 1, 0, 2)
+    assert (d["b"].known_channels, d["b"].missing_channels, d["b"].missing_directions, d["b"].stale_directions, d["b"].matching_directions) == (2, 1, 1, 0, 3)
+    assert (d["a"].known_channels, d["a"].missing_channels, d["a"].missing_directions, d["a"].matching_directions) == (3, 0, 1, 5)
+
+
+def test_merged_channels(spark):
+    c = spark.createDataFrame([("b", 1, 9, None), ("a", 1, 5, 70), ("c", 1, 7, 80), ("a", 2, None, None), ("b", 2, None, 3), ("b", 3, 4, 1), ("a", 3, 4, 2)], "collector string, scid long, last_update int, capacity long")
+    assert {(r.scid, r.last_update, r.capacity) for r in graph.merge_channels(c).collect()} == {(1, 9, 80), (2, None, 3), (3, 4, 2)}
+
+
+def _receipts(spark, rows):
+    """(timings, metadata) of (minute, hash, collector, dir), all of type 3."""
+    at = dt.datetime(2024, 1, 1)
+    t = [(at + dt.timedelta(minutes=k), n, h, h, c, d, n % 3, None) for n, (k, h, c, d) in enumerate(rows)]
+    m = [(h, h, 3, 100, None, 7) for h in {r[1] for r in rows}]
+    return (spark.createDataFrame(t, "net_timestamp timestamp, row_inc long, hash long, inner_hash long, collector string, dir int, peer_hash long, orig_timestamp timestamp"),
+            spark.createDataFrame(m, "hash long, inner_hash long, type int, size int, orig_node string, scid long"))
+
+
+def test_a_late_collector_is_not_compared(spark):
+    """Its receipts lie over an hour after the first bucket of the message at any collector."""
+    t, m = _receipts(spark, [(0, 1, "a", 1), (1, 1, "a", 1), (300, 1, "b", 1), (301, 1, "b", 1), (61, 1, "c", 1)])
+    got = {r.collector: r for r in rollups.collector_comparison(rollups.propagation_rollup(t, m, per_collector=True), 1).collect()}
+    assert set(got) == {"a", "c"} and got["a"].peers_all == 3 and got["a"].peers_single == 2 and got["c"].single_p50 == 0.0
+
+
+def test_outbound_propagation_has_quantiles_from_the_origin(spark):
+    t, m = _receipts(spark, [(2, 1, "a", 2), (1, 1, "b", 1), (3, 1, "c", 1), (12, 1, "c", 1), (5, 1, "d", 1), (70, 1, "e", 1), (4, 2, "a", 2), (6, 2, "b", 1)])
+    got = rollups.outbound_propagation(rollups.outbound_origin_rollup(t, m), rollups.propagation_rollup(t, m, per_collector=True), 2).collect()
+    assert [(r.hash, r.total_peers, r.p05, r.p50, r.p95) for r in got] == [(1, 3, 60.0, 180.0, 600.0)]  # b's bucket begins before, e's over an hour after
+
+
+def test_comparison_counts_messages_and_not_receipts(spark):
+    t, m = _receipts(spark, [(k, 1, "a", 1) for k in range(12)] + [(k, 2, "a", 1) for k in range(3)])
+    got = rollups.scid_comparison(rollups.activity_rollup(t, m, "scid"), min_messages=2).collect()
+    assert [(r.scid, r.announcements, r.updates, r.total) for r in got] == [(7, 0, 2, 2)]
+    assert not rollups.scid_comparison(rollups.activity_rollup(t, m, "scid"), min_messages=3).collect()
+
+
+def test_reach_is_by_message(spark):
+    """Two owners of one message, each heard by the other and by one more: four rows, three collectors."""
+    from whisperlake.operators import propagation
+
+    t, m = _receipts(spark, [(0, 1, "a", 2), (0, 1, "b", 2), (1, 1, "a", 1), (2, 1, "b", 1), (3, 1, "c", 1)])
+    owned = spark.createDataFrame([("a", 7), ("b", 7)], "collector string, scid long")
+    fs = spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "hash long, first_seen timestamp")
+    got = propagation.originated_propagation(t.withColumn("peer", F.lit("p")), m, fs, owned, cutoff=3).first()
+    assert (got.qualifying_messages, got.total_receipts, got.median_reach) == (1, 4, 3.0)

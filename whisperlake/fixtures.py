@@ -34,6 +34,8 @@ VIEWS = {
     "chan_views": """SELECT concat('n',l_suppkey%5) AS collector, l_orderkey AS scid, CASE WHEN l_linestatus='O' THEN 1 ELSE 2 END AS direction,
         CAST(floor({SHIP}/86400) AS BIGINT) AS last_update, CAST(round(l_discount*1000) AS BIGINT) AS fees_base, CAST(round(l_tax*1000) AS BIGINT) AS fees_ppm,
         CAST(l_quantity AS BIGINT) AS cltv, l_linenumber FROM lineitem""",
+    "chan_tops": """SELECT collector, scid, max(last_update) AS last_update, max(CASE WHEN l_linenumber%3>0 THEN fees_base*1000+cltv END) AS capacity
+        FROM chan_views GROUP BY collector, scid""",
     "node_views": """SELECT concat('n',k.c) AS collector, concat('c',c_custkey) AS pubkey, CASE WHEN (c_custkey+k.c)%6>0 THEN 1000+(c_custkey*7+k.c*3)%50 END AS last_update,
         CASE WHEN (c_custkey+k.c)%6>0 THEN concat('a',c_custkey%5,'-',(c_custkey*k.c)%3) END AS alias
         FROM customer, (SELECT * FROM (VALUES (0),(1),(2),(3),(4)) AS t(c)) AS k WHERE (c_custkey*3+k.c)%4>0""",

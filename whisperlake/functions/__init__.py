@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,9 +165,15 @@ def explode_sockets(nodes: DataFrame, whole_record: bool = False) -> DataFrame:
     return each.select("pubkey", F.explode("list").alias("address"), every.alias("all_valid")).select("pubkey", "address", (F.col("all_valid") if whole_record else good(F.col("address"))).alias("valid"))
 
 
+#: What marks an address as one of its own host, and as an onion service with a port.
+LOCALHOST = ("127.0.0.1", "localhost", "0.0.0.0", "[::]")
+ONION = ".onion:"
+
+
 def address_class(address: Column | str) -> Column:
-    a = F.lower(_col(address))
-    return F.when(F.contains(a, F.lit("127.0.0.1")) | F.contains(a, F.lit("localhost")), "localhost").when(is_tor(a), "onion").otherwise("remainder")
+    a = _col(address)
+    local = reduce(Column.__or__, [F.contains(a, F.lit(x)) for x in LOCALHOST])
+    return F.when(local, "localhost").when(F.contains(a, F.lit(ONION)), "onion").otherwise("remainder")
 
 
 #: Upper edges of the age classes, in seconds.
@@ -180,9 +187,13 @@ def recency_bin(age_seconds: Column | str) -> Column:
     return out
 
 
+#: The suffixes that are cut from an alias.
+SUFFIXES = ("com", "org", "net", "io", "de", "xyz", "co", "biz", "uk", "us", "ca", "jp", "cz", "network", "me")
+
+
 def alias_clean(c: Column | str) -> Column:
-    """Without a trailing domain suffix; names made up by default (LNT and more) become empty."""
-    return F.regexp_replace(F.regexp_replace(c, r"\.(com|net|org|io|info|eu|de|xyz|me|co|app|dev)$", ""), r"^LNT.*$", "")
+    """Without one trailing domain suffix; then names that begin with LNT and a dot become empty."""
+    return F.regexp_replace(F.regexp_replace(c, rf"\.({'|'.join(SUFFIXES)})$", ""), r"^LNT\..*$", "")
 
 
 def age_days(first_seen: Column | str, now: int) -> Column:

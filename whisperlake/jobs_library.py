@@ -57,8 +57,11 @@ query("f15_f21_addresses", f"""WITH a AS (SELECT c_custkey, {_ADDRESS} AS addres
     .select("c_custkey", "address", fn.is_clearnet("address").alias("clearnet"), fn.is_tor("address").alias("tor"), fn.net_type("address").alias("net"), fn.ip_reachability("address").alias("reachable"), fn.address_class("address").alias("class"), "p.pubkey", F.col("p.address").alias("target")))
 query("f22_f24_ages", "WITH a AS (SELECT pubkey, alias, sockets, 1800000000-first_seen AS age FROM features) SELECT pubkey, CASE WHEN age<=3600 THEN 'hour' WHEN age<=86400 THEN 'day' WHEN age<=604800 THEN 'week' WHEN age<=1209600 THEN 'two_weeks' WHEN age<=2419200 THEN 'month' WHEN age<=7257600 THEN 'three_months' WHEN age<=14515200 THEN 'six_months' WHEN age<=29030400 THEN 'year' ELSE 'other' END AS bin, CAST(floor(age/86400.0) AS BIGINT) AS days FROM a")(
     lambda v: v.features.select("pubkey", fn.recency_bin(F.lit(1_800_000_000) - F.col("first_seen")).alias("bin"), fn.age_days("first_seen", 1_800_000_000).alias("days")))
-_ALIAS = "CASE c_custkey%4 WHEN 0 THEN concat('LNT',c_custkey) WHEN 1 THEN concat('node',c_custkey,'.com') WHEN 2 THEN concat('a.b',c_custkey,'.org') ELSE concat('plain',c_custkey) END"
-query("f23_alias_clean", f"SELECT c_custkey, CASE c_custkey%4 WHEN 0 THEN '' WHEN 1 THEN concat('node',c_custkey) WHEN 2 THEN concat('a.b',c_custkey) ELSE concat('plain',c_custkey) END AS alias FROM customer")(
+_CLASS = "CASE c_custkey%9 WHEN 0 THEN '127.0.0.1:9735' WHEN 1 THEN '0.0.0.0:9735' WHEN 2 THEN '[::]:9735' WHEN 3 THEN 'localhost:1' WHEN 4 THEN concat('k',c_custkey,'.onion:9735') WHEN 5 THEN concat('k',c_custkey,'.onion') WHEN 6 THEN '[::1]:9735' WHEN 7 THEN concat('onion',c_custkey,'.org:1') ELSE concat('10.0.1.',c_custkey%250,':1') END"
+query("f21_address_class", "SELECT c_custkey, CASE WHEN c_custkey%9<4 THEN 'localhost' WHEN c_custkey%9=4 THEN 'onion' ELSE 'remainder' END AS class FROM customer")(
+    lambda v: v.customer.select("c_custkey", fn.address_class(F.expr(_CLASS)).alias("class")))
+_ALIAS = "CASE c_custkey%8 WHEN 0 THEN concat('LNT',c_custkey) WHEN 1 THEN concat('node',c_custkey,'.com') WHEN 2 THEN concat('LNT.',c_custkey) WHEN 3 THEN concat('x',c_custkey,'.info') WHEN 4 THEN concat('y',c_custkey,'.network') WHEN 5 THEN concat('z',c_custkey,'.co.uk') WHEN 6 THEN 'LNT.biz' ELSE concat('plain',c_custkey,'.me.') END"
+query("f23_alias_clean", "SELECT c_custkey, CASE c_custkey%8 WHEN 0 THEN concat('LNT',c_custkey) WHEN 1 THEN concat('node',c_custkey) WHEN 2 THEN '' WHEN 3 THEN concat('x',c_custkey,'.info') WHEN 4 THEN concat('y',c_custkey) WHEN 5 THEN concat('z',c_custkey,'.co') WHEN 6 THEN 'LNT' ELSE concat('plain',c_custkey,'.me.') END AS alias FROM customer")(
     lambda v: v.customer.select("c_custkey", fn.alias_clean(F.expr(_ALIAS)).alias("alias")))
 _MANY = "array(concat('k',c_custkey,'.onion:1'), concat('1.2.3.',c_custkey%250,':1'), concat('k',c_custkey,'.onion:1'), '9.9.9.9:1')"
 query("f25_f26_addresses_once", "SELECT c_custkey, concat('k',c_custkey,'.onion:1,1.2.3.',c_custkey%250,':1,9.9.9.9:1') AS once, concat('1.2.3.',c_custkey%250,':1,9.9.9.9:1,k',c_custkey,'.onion:1') AS preferred FROM customer")(

@@ -107,7 +107,7 @@ query("p1t_propagation_by_type", f"WITH {PROP} {_TALL}")(
     lambda v: propagation.propagation_by_type(v.timings, v.metadata, v.message_first_seen, peer_cutoff=2, exact=True))
 OWN = "og AS (SELECT t.*, m.type FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=2 AND ((m.type=2 AND m.orig_node=t.collector) OR (m.type IN (1,3) AND EXISTS (SELECT 1 FROM owned o WHERE o.collector=t.collector AND o.scid=m.scid))))"
 ELSE = f"{OWN}, oo AS (SELECT DISTINCT og.hash, og.collector AS owner, fs.first_seen AS t0 FROM og JOIN message_first_seen fs ON og.hash=fs.hash), ee AS (SELECT oo.hash, owner, t0, r.collector AS receiver, r.net_timestamp AS rt, {delay('r.net_timestamp', 't0')} AS d FROM oo LEFT JOIN timings r ON r.hash=oo.hash AND r.dir=1 AND r.collector<>owner AND r.net_timestamp>=t0 AND r.net_timestamp<=t0+INTERVAL 1 HOUR)"
-query("p2_collector_originated_propagation", f"WITH {ELSE}, rc AS (SELECT hash, owner, count(DISTINCT receiver) AS n FROM ee WHERE receiver IS NOT NULL GROUP BY 1,2 HAVING count(DISTINCT receiver)>=1) SELECT (SELECT count(*) FROM rc) AS qualifying_messages, count(*) AS total_receipts, (SELECT quantile_cont(n,0.5) FROM rc) AS median_reach, {pcts('d')} FROM ee JOIN rc ON ee.hash=rc.hash AND ee.owner=rc.owner WHERE receiver IS NOT NULL")(
+query("p2_collector_originated_propagation", f"WITH {ELSE}, rc AS (SELECT hash, count(DISTINCT receiver) AS n FROM ee WHERE receiver IS NOT NULL GROUP BY 1 HAVING count(DISTINCT receiver)>=1) SELECT (SELECT count(*) FROM rc) AS qualifying_messages, count(*) AS total_receipts, (SELECT quantile_cont(n,0.5) FROM rc) AS median_reach, {pcts('d')} FROM ee JOIN rc ON ee.hash=rc.hash WHERE receiver IS NOT NULL")(
     lambda v: percentiles(propagation.originated_propagation(v.timings, v.metadata, v.message_first_seen, v.owned, cutoff=1)))
 query("p1b_delay_boxes", f"WITH {PROP} SELECT 'All' AS label, {_MED} FROM pr UNION ALL SELECT 'Updates', {_MED} FROM pr WHERE type=3")(
     lambda v: propagation.delay_boxes(All=propagation.summarize_delay(_prop(v)), Updates=propagation.summarize_delay(_prop(v).where("type = 3"))))
@@ -179,38 +179,51 @@ _STATS = {
 query("t0_ca_stats", f"WITH {_IN} " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, {ts('min(b)')} AS first_bucket, {ts('max(b)')} AS last_bucket FROM ({q})".replace("AS rows", 'AS "rows"') for n, q in _STATS.items()))(
     lambda v: said(rollups.ca_stats(propagation=_g(v), rate=rollups.message_rate_rollup(v.timings, v.metadata), node=_act(v, "orig_node"), scid=_act(v, "scid"), peers=rollups.peer_count_rollup(v.timings)), "first_bucket", "last_bucket"))
 # A sketch holds its first 200 values as they are, so on tables with fewer receipts of a message its quantiles are exact
-def _near(keys: str, prefix: str, probs: tuple[float, ...]) -> str:
-    q = ", ".join(f"greatest(0, round((quantile_disc(epoch_us(net_timestamp), {p}) - epoch_us(min(net_timestamp)))/1e6, 6)) AS {prefix}p{round(100 * p):02d}" for p in probs)
-    return f"SELECT {keys}, type, count(*) AS {prefix}receipts, min(net_timestamp) AS {prefix}first_seen, {q} FROM (SELECT *, min(hour) OVER (PARTITION BY {keys}) AS fb FROM inb) WHERE hour <= fb + INTERVAL 1 HOUR GROUP BY {keys}, type"
-query("t1_outer_propagation", f"WITH {_IN}, a AS ({_near('hash', '', tuple(propagation.PROBS.values()))}) SELECT hash, CAST(type AS BIGINT) AS type, receipts, {ts('first_seen')} AS first_seen, p05, p25, p50, p75, p95 FROM a WHERE receipts >= 2")(
+def _disc(since: str, prefix: str = "", probs: tuple[float, ...] = tuple(propagation.PROBS.values())) -> str:
+    return ", ".join(f"round((quantile_disc(epoch_us(net_timestamp), {p}) - epoch_us({since}))/1e6, 6) AS {prefix}p{round(100 * p):02d}" for p in probs)
+
+
+def _near(key: str) -> str:
+    return f"SELECT {key}, type, count(*) AS receipts, min(net_timestamp) AS first_seen, {_disc('min(net_timestamp)')} FROM (SELECT *, min(hour) OVER (PARTITION BY {key}) AS fb FROM inb) WHERE hour <= fb + INTERVAL 1 HOUR GROUP BY {key}, type"
+
+
+query("t1_outer_propagation", f"WITH {_IN}, a AS ({_near('hash')}) SELECT hash, CAST(type AS BIGINT) AS type, receipts, {ts('first_seen')} AS first_seen, p05, p25, p50, p75, p95 FROM a WHERE receipts >= 2")(
     lambda v: longs(said(r6(rollups.propagation_from_sketch(_g(v), 2), "p05", "p25", "p50", "p75", "p95"), "first_seen")))
-query("t2_inner_propagation", f"WITH {_IN}, a AS ({_near('inner_hash', '', tuple(propagation.PROBS.values()))}) SELECT inner_hash, CAST(type AS BIGINT) AS type, receipts, {ts('first_seen')} AS first_seen, p05, p25, p50, p75, p95 FROM a WHERE receipts >= 2")(
+query("t2_inner_propagation", f"WITH {_IN}, a AS ({_near('inner_hash')}) SELECT inner_hash, CAST(type AS BIGINT) AS type, receipts, {ts('first_seen')} AS first_seen, p05, p25, p50, p75, p95 FROM a WHERE receipts >= 2")(
     lambda v: longs(said(r6(rollups.propagation_from_sketch(_g(v, "inner_hash"), 2, "inner_hash"), "p05", "p25", "p50", "p75", "p95"), "first_seen")))
-query("t3_outbound_origin_propagation", f"WITH {_IN}, t0 AS (SELECT t.hash, m.type, min(net_timestamp) AS t0 FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=2 AND m.type IN (1,2,3) GROUP BY 1,2), c AS (SELECT hash, hour, count(*) AS n, min(net_timestamp) AS f FROM inb GROUP BY 1,2) SELECT t0.hash, CAST(type AS BIGINT) AS type, {ts('t0')} AS t0, CAST(sum(n) AS BIGINT) AS receipts, round(min({delay('f', 't0')}),6) AS first_delay FROM t0 JOIN c ON t0.hash=c.hash WHERE f>=t0 AND f<=t0+INTERVAL 1 HOUR GROUP BY t0.hash, type, t0.t0")(
-    lambda v: longs(said(r6(rollups.outbound_propagation(rollups.outbound_origin_rollup(v.timings, v.metadata), _g(v)), "first_delay"), "t0")))
+_T3 = """oo AS (SELECT t.hash, min(net_timestamp) AS t0 FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=2 AND m.type IN (1,2,3) GROUP BY 1),
+    ob AS (SELECT inb.*, oo.t0, min(net_timestamp) OVER (PARTITION BY inb.hash, hour, collector) AS f FROM inb JOIN oo ON inb.hash=oo.hash)"""
+query("t3_outbound_origin_propagation", f"WITH {_IN}, {_T3} SELECT hash, {ts('t0')} AS t0, count(*) AS total_peers, {_disc('t0')} FROM ob WHERE f>=t0 AND f<=t0+INTERVAL 1 HOUR GROUP BY hash, ob.t0 HAVING count(*)>=2")(
+    lambda v: said(r6(rollups.outbound_propagation(rollups.outbound_origin_rollup(v.timings, v.metadata), _g(v, per=True), 2), *P), "t0"))
 _Q3 = (0.25, 0.5, 0.75)
-_T4 = f"{_IN}, al AS ({_near('hash', 'all_', _Q3)}), ow AS ({_near('hash, collector', 'one_', _Q3)}), cm AS (SELECT ow.hash, collector, al.type, one_receipts, one_first_seen, one_p25, one_p50, one_p75, all_receipts, all_first_seen, all_p25, all_p50, all_p75 FROM ow JOIN al ON ow.hash=al.hash WHERE all_receipts >= 2)"
-query("t4_collector_comparison", f"WITH {_T4} SELECT * REPLACE (CAST(type AS BIGINT) AS type, {ts('one_first_seen')} AS one_first_seen, {ts('all_first_seen')} AS all_first_seen), round(one_p50-all_p50,6) AS diff_p50, CASE WHEN all_p50<>0 THEN round(one_p50/all_p50,6) END AS ratio_p50 FROM cm")(
-    lambda v: longs(said(r6(rollups.collector_comparison(_g(v, per=True), 2), *(f"{a}_p{n}" for a in ("one", "all") for n in (25, 50, 75)), "diff_p50", "ratio_p50"), "one_first_seen", "all_first_seen")))
-query("t4s_comparison_summary", f"WITH {_T4}, d AS (SELECT *, one_p50-all_p50 AS diff_p50, CASE WHEN all_p50<>0 THEN one_p50/all_p50 END AS ratio_p50 FROM cm) SELECT collector, " + ", ".join(f"round(quantile_cont({c},0.5),4) AS {c}" for c in (*(f"{a}_p{n}" for a in ("one", "all") for n in (25, 50, 75)), "diff_p50", "ratio_p50")) + ", count(*) AS messages FROM d GROUP BY 1")(
+_T4 = f"""{_IN}, fb AS (SELECT hash, min(hour) AS first_bucket FROM inb GROUP BY 1), nb AS (SELECT inb.* FROM inb JOIN fb ON inb.hash=fb.hash WHERE hour <= first_bucket + INTERVAL 1 HOUR),
+    al AS (SELECT hash, type, count(*) AS peers_all, min(net_timestamp) AS all_first_seen, {_disc('min(net_timestamp)', 'all_', _Q3)} FROM nb GROUP BY hash, type HAVING count(*) >= 2),
+    sg AS (SELECT hash, collector, count(*) AS peers_single, min(net_timestamp) AS single_first_seen, {_disc('min(net_timestamp)', 'single_', _Q3)} FROM nb GROUP BY hash, collector),
+    cm AS (SELECT al.*, sg.* EXCLUDE (hash), single_p50-all_p50 AS diff_p50, CASE WHEN all_p50<>0 THEN single_p50/all_p50 END AS ratio_p50 FROM al JOIN sg ON al.hash=sg.hash)"""
+_MEDIANS = (*(f"{a}_p{n}" for a in ("single", "all") for n in (25, 50, 75)), "diff_p50", "ratio_p50")
+query("t4_collector_comparison", f"WITH {_T4} SELECT * REPLACE (CAST(type AS BIGINT) AS type, {ts('single_first_seen')} AS single_first_seen, {ts('all_first_seen')} AS all_first_seen, round(diff_p50,6) AS diff_p50, round(ratio_p50,6) AS ratio_p50) FROM cm")(
+    lambda v: longs(said(r6(rollups.collector_comparison(_g(v, per=True), 2), *_MEDIANS), "single_first_seen", "all_first_seen")))
+query("t4s_comparison_summary", f"WITH {_T4} SELECT collector, " + ", ".join(f"round(quantile_cont({c},0.5),4) AS {c}" for c in _MEDIANS) + ", count(*) AS messages FROM cm GROUP BY 1")(
     lambda v: rollups.comparison_summary(rollups.collector_comparison(_g(v, per=True), 2)))
 for _id, _key in (("t5_publication_delay_outer", "hash"), ("t6_publication_delay_inner", "inner_hash")):
-    query(_id, f"WITH a AS (SELECT t.{_key}, type, min(net_timestamp) AS f, min(orig_timestamp) AS o FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN (2,3) GROUP BY 1,2) SELECT {_key}, CAST(type AS BIGINT) AS type, round({delay('f', 'o')},6) AS delay FROM a WHERE f>=o")(
+    query(_id, f"WITH a AS (SELECT t.{_key}, type, min(net_timestamp) AS f, min(orig_timestamp) AS o, count(*) AS n FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN (2,3) AND orig_timestamp IS NOT NULL GROUP BY 1,2) SELECT {_key}, CAST(type AS BIGINT) AS type, round({delay('f', 'o')},6) AS delay, n AS total_receipts FROM a WHERE f>=o")(
         lambda v, k=_key: longs(r6(rollups.publication_delay(_g(v, k), k), "delay")))
 query("t7_message_rate_6h", f"WITH {_IN} SELECT {ts('time_bucket(INTERVAL 6 HOUR, net_timestamp)')} AS bucket6, CAST(type AS BIGINT) AS type, round(count(*)/6.0,6) AS receipts_per_hour, count(DISTINCT hash) AS unique_outer, count(DISTINCT inner_hash) AS unique_inner FROM inb GROUP BY time_bucket(INTERVAL 6 HOUR, net_timestamp), type")(
     lambda v: longs(said(r6(rollups.message_rate_6h(rollups.message_rate_rollup(v.timings, v.metadata)), "receipts_per_hour"), "bucket6")))
 query("t8_peer_count", f"WITH {PC} SELECT {ts('h')} AS hour, collector, peers FROM ph")(lambda v: said(rollups.peer_count_from_rollup(rollups.peer_count_rollup(v.timings)), "hour"))
 query("t9_top_nodes", f"WITH {_NODE} SELECT orig_node, {_SUMS} FROM ac GROUP BY 1")(lambda v: rollups.activity_totals(_act(v, "orig_node"), "orig_node"))
 query("t9b_daily_nodes", f"WITH {_NODE} SELECT {ts(DAY)} AS bucket, orig_node, {_SUMS} FROM ac GROUP BY 1,2")(lambda v: said(rollups.activity_totals(_act(v, "orig_node"), "orig_node", width="1 day"), "bucket"))
-query("t9c_daily_scids", f"WITH {_SCID} SELECT {ts(DAY)} AS bucket, scid, {_SUMS} FROM ac GROUP BY 1,2")(lambda v: said(rollups.activity_totals(_act(v, "scid"), "scid", width="1 day"), "bucket"))
+_updates = lambda v: rollups.activity_totals(_act(v, "scid").where("type = 3"), "scid", width="1 day")
+query("t9c_daily_scids", f"WITH {_SCID} SELECT {ts(DAY)} AS bucket, scid, {_SUMS} FROM ac WHERE type=3 GROUP BY 1,2")(lambda v: said(_updates(v), "bucket"))
 _T10 = f"{_SCID}, se AS (SELECT {ts('time_bucket(INTERVAL 12 HOUR, net_timestamp)')} AS bucket, scid, CAST(type AS BIGINT) AS type, {_SUMS} FROM ac GROUP BY 1,2,3)"
 query("t10_top_scids", f"WITH {_T10} SELECT * FROM se")(lambda v: longs(said(rollups.activity_totals(_act(v, "scid"), "scid", "type", width="12 hours"), "bucket")))
 query("t10b_top_n_series", f"WITH {_T10}, rk AS (SELECT type, scid, row_number() OVER (PARTITION BY type ORDER BY sum(receipts) DESC, scid) AS k FROM se GROUP BY 1,2) SELECT se.* FROM se JOIN rk ON se.type=rk.type AND se.scid=rk.scid WHERE k<=10")(
     lambda v: longs(said(rollups.top_n_series(rollups.activity_totals(_act(v, "scid"), "scid", "type", width="12 hours")), "bucket")))
-query("t11a_outer_inner_ratio", f"WITH {_SCID}, dd AS (SELECT {ts(DAY)} AS bucket, scid, {_SUMS} FROM ac GROUP BY 1,2) SELECT scid, round(avg(\"outer\"/\"inner\"),6) AS mean_ratio, count(*) AS days_active FROM dd GROUP BY 1")(
-    lambda v: r6(rollups.outer_inner_ratio(rollups.activity_totals(_act(v, "scid"), "scid", width="1 day")), "mean_ratio"))
-query("t11b_scid_comparison", "SELECT m.scid, count(*) FILTER (m.type=1) AS announcements, count(*) FILTER (m.type=3) AS updates, count(*) AS total FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN (1,3) AND m.scid IS NOT NULL GROUP BY 1 HAVING count(*)>=10 ORDER BY total DESC, scid LIMIT 25")(
-    lambda v: longs(rollups.scid_comparison(_act(v, "scid"))))
+query("t11a_outer_inner_ratio", f"WITH {_SCID}, dd AS (SELECT {ts(DAY)} AS bucket, scid, {_SUMS} FROM ac WHERE type=3 GROUP BY 1,2) SELECT scid, round(avg(\"outer\"/\"inner\"),6) AS mean_ratio, count(*) AS days_active FROM dd WHERE \"inner\">0 GROUP BY 1")(
+    lambda v: r6(rollups.outer_inner_ratio(_updates(v)), "mean_ratio"))
+# few messages of a channel are distinct here, so the least number is 2 and not 10
+query("t11b_scid_comparison", f"WITH {_SCID}, pt AS (SELECT scid, type, count(DISTINCT hash) AS u FROM ac GROUP BY 1,2) SELECT scid, CAST(coalesce(sum(u) FILTER (type=1),0) AS BIGINT) AS announcements, CAST(coalesce(sum(u) FILTER (type=3),0) AS BIGINT) AS updates, CAST(sum(u) AS BIGINT) AS total FROM pt GROUP BY 1 HAVING sum(u)>=2 ORDER BY total DESC, scid LIMIT 25")(
+    lambda v: longs(rollups.scid_comparison(_act(v, "scid"), min_messages=2)))
 _LOOK = "SELECT t.collector, t.net_timestamp, t.row_inc, t.hash, m.type, m.size, s.raw, t.peer FROM timings t JOIN metadata m ON t.hash=m.hash JOIN messages s ON t.hash=s.hash WHERE dir=1 AND m.type=3 AND m.scid=7"
 query("t12_lookup_messages", f"WITH a AS ({_LOOK}) SELECT collector, {ts('net_timestamp')} AS net_timestamp, row_inc, hash, CAST(type AS BIGINT) AS type, CAST(size AS BIGINT) AS size, raw, peer FROM a")(
     lambda v: longs(said(rollups.lookup(v.timings, v.metadata, v.messages, "2100-01-01", "200 years", scid=7), "net_timestamp")))
@@ -246,8 +259,21 @@ _edges = lambda v: graph.build_graph(v.channels)[1]
 query("g1_vertices", f"WITH {_E} SELECT DISTINCT p AS pubkey FROM v")(lambda v: graph.build_graph(v.channels)[0])
 query("g1_edges", f"WITH {_E} SELECT scid, src, dst, capacity FROM e")(_edges)
 query("g2_edge_features", "SELECT count(*) FILTER (capacity>0) AS with_capacity, CAST(0 AS BIGINT) AS one_sided, count(*) AS channels FROM channels")(lambda v: graph.edge_features(v.channels))
-query("g3_vertex_strength", f"WITH {_E} SELECT p AS pubkey, count(*) AS degree, CAST(sum(capacity) AS BIGINT) AS total_capacity, round(avg(capacity)/(SELECT max(capacity) FROM e),6) AS mean_share FROM v GROUP BY p")(lambda v: r6(graph.vertex_strength(_edges(v)), "mean_share"))
-query("g4_box_cox")(lambda v: graph.box_cox(_edges(v), "capacity")[0])
+def _box_cox(rows: str, points: int = 17, refine: int = 3) -> str:
+    """CTEs up to bc (columns of rows, capacity_bc): each grid of lambda is the last one's best, one step to either side."""
+    made = "CASE WHEN abs({g})<1e-12 THEN ln(capacity) ELSE (pow(capacity, {g})-1)/{g} END"
+    out, low, step = [f"xx AS (SELECT CAST(capacity AS DOUBLE) AS capacity FROM {rows} WHERE capacity>0)"], "-2.0", 4.0 / (points - 1)
+    for k in range(refine + 1):
+        out.append(f"g{k} AS (SELECT g, -0.5*ln(greatest(var_pop({made.format(g='g')}),1e-300))+(g-1)*avg(ln(capacity)) AS fit FROM xx, (SELECT {low}+i*{step!r} AS g FROM range({points}) AS r(i){f', b{k - 1}' if k else ''}) GROUP BY g)")
+        out.append(f"b{k} AS (SELECT arg_max(g, fit) AS best FROM g{k})")
+        low, step = f"best-{step!r}", 2 * step / (points - 1)
+    out.append(f"mm AS (SELECT *, CASE WHEN capacity>0 THEN {made.format(g='best')} END AS y FROM {rows}, b{refine})")
+    return ", ".join([*out, "bc AS (SELECT * EXCLUDE (best, y), (y-avg(y) OVER ())/stddev_pop(y) OVER () AS capacity_bc FROM mm)"])
+
+
+query("g3_vertex_strength", f"WITH {_E}, {_box_cox('e')}, ve AS (SELECT src AS p, capacity, capacity_bc FROM bc UNION ALL SELECT dst, capacity, capacity_bc FROM bc) SELECT p AS pubkey, count(*) AS degree, CAST(sum(capacity) AS BIGINT) AS total_capacity, round(coalesce(sum(capacity_bc),0)/count(*),6) AS mean_normal_capacity FROM ve GROUP BY p")(
+    lambda v: r6(graph.vertex_strength(_edges(v)), "mean_normal_capacity"))
+query("g4_box_cox", f"WITH {_E}, {_box_cox('e')} SELECT scid, src, dst, capacity, round(capacity_bc,6) AS capacity_bc FROM bc")(lambda v: r6(graph.box_cox(_edges(v), "capacity")[0], "capacity_bc"))
 query("g5_log_standardize", f"WITH {_E} SELECT scid, round((ln(capacity)-(SELECT avg(ln(capacity)) FROM e))/(SELECT stddev_pop(ln(capacity)) FROM e),6) AS capacity_log FROM e")(
     lambda v: r6(graph.log_standardize(_edges(v), "capacity").select("scid", "capacity_log"), "capacity_log"))
 _CC = f"WITH RECURSIVE {_E}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), rr(x, y) AS (SELECT x, x FROM b UNION SELECT rr.x, b.y FROM rr JOIN b ON rr.y=b.x), cc AS (SELECT x AS pubkey, min(y) AS component FROM rr GROUP BY x)"
@@ -277,6 +303,8 @@ query("g15_merge_nodes", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY p
     lambda v: graph.merge_nodes(v.node_views).withColumn("last_update", F.col("last_update").cast("long")))
 query("g15_merge_directions", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY scid, direction ORDER BY last_update DESC, collector, fees_base DESC, fees_ppm DESC, cltv DESC) AS k FROM chan_views) SELECT scid, CAST(direction AS BIGINT) AS direction, last_update, fees_base, fees_ppm, cltv FROM r WHERE k=1")(
     lambda v: longs(graph.merge_directions(v.chan_views)))
+query("g15_merge_channels", "WITH t AS (SELECT scid, max(last_update) AS last_update FROM chan_tops GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY scid ORDER BY last_update DESC, collector) AS k FROM chan_tops WHERE capacity IS NOT NULL) SELECT t.scid, t.last_update, capacity FROM t LEFT JOIN r ON t.scid=r.scid AND k=1")(
+    lambda v: graph.merge_channels(v.chan_tops))
 _G16 = """nm AS (SELECT DISTINCT collector FROM node_views UNION SELECT DISTINCT collector FROM chan_views),
     mn AS (SELECT pubkey, last_update AS mu, alias AS ma FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY coalesce(last_update,-1) DESC, collector) AS k FROM node_views) WHERE k=1),
     nn AS (SELECT nm.collector, mu, ma, o.pubkey AS held, o.last_update AS ou, o.alias AS oa FROM mn CROSS JOIN nm LEFT JOIN node_views o ON o.pubkey=mn.pubkey AND o.collector=nm.collector),
@@ -284,10 +312,10 @@ _G16 = """nm AS (SELECT DISTINCT collector FROM node_views UNION SELECT DISTINCT
     od AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collector, scid, direction ORDER BY last_update DESC, fees_base DESC, fees_ppm DESC, cltv DESC) AS k FROM chan_views) WHERE k=1),
     hd AS (SELECT DISTINCT collector, scid FROM od),
     dd AS (SELECT hd.collector, od.scid AS own, (od.fees_base, od.fees_ppm, od.cltv) = (md.fees_base, md.fees_ppm, md.cltv) AS same FROM hd JOIN md ON md.scid=hd.scid LEFT JOIN od ON od.collector=hd.collector AND od.scid=hd.scid AND od.direction=md.direction),
-    a AS (SELECT collector, count(*) AS nodes, count(*) FILTER (held IS NULL) AS missing_nodes, count(*) FILTER (mu IS NOT NULL AND ou IS NULL) AS missing_node_info, count(*) FILTER (ou IS NOT NULL AND ma IS DISTINCT FROM oa) AS stale_node_info, count(*) FILTER (ou IS NOT NULL AND ma IS NOT DISTINCT FROM oa) AS matching_node_info FROM nn GROUP BY 1),
+    a AS (SELECT collector, count(held) AS known_nodes, count(*) FILTER (held IS NULL) AS missing_nodes, count(*) FILTER (held IS NULL OR (mu IS NOT NULL AND ou IS NULL)) AS missing_node_info, count(*) FILTER (ou IS NOT NULL AND ma IS DISTINCT FROM oa) AS stale_node_info, count(*) FILTER (held IS NOT NULL AND mu IS NULL OR ou IS NOT NULL AND ma IS NOT DISTINCT FROM oa) AS matching_node_info FROM nn GROUP BY 1),
     b AS (SELECT collector, count(*) FILTER (own IS NULL) AS missing_directions, count(*) FILTER (own IS NOT NULL AND NOT same) AS stale_directions, count(*) FILTER (own IS NOT NULL AND same) AS matching_directions FROM dd GROUP BY 1),
-    c AS (SELECT collector, count(*) AS held FROM hd GROUP BY 1)"""
-query("g16_graph_diff", f"WITH {_G16} SELECT nm.collector, nodes, missing_nodes, missing_node_info, stale_node_info, matching_node_info, (SELECT count(DISTINCT scid) FROM md) AS channels, (SELECT count(DISTINCT scid) FROM md)-coalesce(held,0) AS missing_channels, coalesce(missing_directions,0) AS missing_directions, coalesce(stale_directions,0) AS stale_directions, coalesce(matching_directions,0) AS matching_directions FROM nm JOIN a ON a.collector=nm.collector LEFT JOIN b ON b.collector=nm.collector LEFT JOIN c ON c.collector=nm.collector")(
+    c AS (SELECT collector, count(*) AS held FROM hd GROUP BY 1), u AS (SELECT collector, CAST(sum(2-ways) AS BIGINT) AS nobody FROM hd JOIN (SELECT scid, count(*) AS ways FROM md GROUP BY 1) w ON hd.scid=w.scid GROUP BY 1)"""
+query("g16_graph_diff", f"WITH {_G16} SELECT nm.collector, known_nodes, missing_nodes, missing_node_info, stale_node_info, matching_node_info, coalesce(held,0) AS known_channels, (SELECT count(DISTINCT scid) FROM md)-coalesce(held,0) AS missing_channels, coalesce(missing_directions,0) AS missing_directions, coalesce(stale_directions,0) AS stale_directions, coalesce(matching_directions,0)+coalesce(nobody,0) AS matching_directions FROM nm JOIN a ON a.collector=nm.collector LEFT JOIN b ON b.collector=nm.collector LEFT JOIN c ON c.collector=nm.collector LEFT JOIN u ON u.collector=nm.collector")(
     lambda v: graph.graph_diff(v.node_views, v.chan_views))
 query("g17_channel_utxo_filter", "SELECT scid, node_one, node_two, CASE WHEN u.block IS NULL THEN 'missing' WHEN spent THEN 'spent' ELSE 'kept' END AS state, CASE WHEN NOT spent THEN value END AS capacity FROM channels c LEFT JOIN utxos u ON u.block=(c.scid>>40) AND u.tx=((c.scid>>16)&16777215) AND u.vout=(c.scid&65535)")(lambda v: graph.utxo_filter(v.channels, v.utxos))
 query("g17_used_nodes", "SELECT pubkey, alias FROM features WHERE pubkey IN (SELECT node_one FROM channels UNION SELECT node_two FROM channels)")(lambda v: graph.used_nodes(v.features.select("pubkey", "alias"), v.channels))

@@ -29,10 +29,14 @@ def _ends(edges: DataFrame) -> DataFrame:
 
 
 def vertex_strength(edges: DataFrame) -> DataFrame:
-    """Degree, total capacity, mean capacity relative to the largest; a self-loop counts twice."""
-    top = edges.agg(F.max("capacity").alias("top"))
-    each = _ends(edges).groupBy("pubkey").agg(F.count(F.lit(1)).alias("degree"), F.sum("capacity").alias("total_capacity"), F.avg("capacity").alias("mean"))
-    return each.crossJoin(F.broadcast(top)).select("pubkey", "degree", "total_capacity", F.try_divide(F.col("mean"), F.col("top")).alias("mean_share"))
+    """Degree, total capacity, mean of the edges' Box-Cox normalised capacities; a self-loop counts twice.
+
+    Edges without a capacity have no normalised one and add nothing to the mean's sum; the degree counts them.
+    """
+    normal = box_cox(edges, "capacity")[0]
+    each = normal.select(F.explode(F.array("src", "dst")).alias("pubkey"), "capacity", "capacity_bc").groupBy("pubkey")
+    each = each.agg(F.count(F.lit(1)).alias("degree"), F.sum("capacity").alias("total_capacity"), F.coalesce(F.sum("capacity_bc"), F.lit(0.0)).alias("total"))
+    return each.select("pubkey", "degree", "total_capacity", (F.col("total") / F.col("degree")).alias("mean_normal_capacity"))
 
 
 def box_cox(df: DataFrame, column: str, low: float = -2.0, high: float = 2.0, points: int = 17, refine: int = 3) -> tuple[DataFrame, float]:
@@ -75,7 +79,7 @@ def components_of(edges: DataFrame) -> DataFrame:
 
 def graph_stats(edges: DataFrame) -> DataFrame:
     """One row on size, degrees and components."""
-    degree = vertex_strength(edges).agg(F.count(F.lit(1)).alias("nodes"), F.avg("degree").alias("mean_degree"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.percentile("degree", 0.5).alias("median_degree"))
+    degree = _ends(edges).groupBy("pubkey").agg(F.count(F.lit(1)).alias("degree")).agg(F.count(F.lit(1)).alias("nodes"), F.avg("degree").alias("mean_degree"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.percentile("degree", 0.5).alias("median_degree"))
     parts = components_of(edges).agg(F.countDistinct("component").alias("components"), F.max("size").alias("largest"))
     return edges.agg(F.count(F.lit(1)).alias("edges")).crossJoin(degree).crossJoin(parts)
 
@@ -176,6 +180,12 @@ def merge_directions(views: DataFrame) -> DataFrame:
     return views.groupBy("scid", "direction").agg(best.alias("x")).select("scid", "direction", "x.*")
 
 
+def merge_channels(views: DataFrame) -> DataFrame:
+    """Each channel's newest time over all collectors, and the capacity of the newest copy that has one; ties: the collector that sorts first."""
+    key = F.struct(F.col("capacity").isNull(), (-F.coalesce("last_update", F.lit(-1))).alias("u"), "collector")
+    return views.groupBy("scid").agg(F.max("last_update").alias("last_update"), F.min_by("capacity", key).alias("capacity"))
+
+
 def own_directions(views: DataFrame) -> DataFrame:
     """Each collector's newest copy of each direction."""
     key = F.struct("last_update", "fees_base", "fees_ppm", "cltv")
@@ -185,26 +195,32 @@ def own_directions(views: DataFrame) -> DataFrame:
 def graph_diff(nodes: DataFrame, directions: DataFrame) -> DataFrame:
     """Ten counters for each collector against the merged view.
 
-    A collector has one row for a node; an unknown node counts as missing with its info; an unknown channel as missing without its directions; a copy is stale
-    if it differs in anything but its time of update.
+    A node that a collector does not know counts as missing, and so does its info, whether or not anybody has it; what
+    nobody has matches, be it a known node's info or one of the two directions of a known channel. An unknown channel
+    counts as missing without its directions; a copy is stale if it differs in anything but its time of update.
     """
     names = nodes.select("collector").unionByName(directions.select("collector")).distinct()
-    copies = nodes.join(merge_nodes(nodes).select("pubkey", F.col("alias").alias("best")), "pubkey")
+    best = merge_nodes(nodes).select("pubkey", F.col("alias").alias("best"), F.col("last_update").isNotNull().alias("any"))
+    own = nodes.groupBy("collector", "pubkey").agg(F.max(F.struct("last_update", "alias")).alias("x")).select("collector", "pubkey", "x.*").join(best, "pubkey")
     has, same = F.col("last_update").isNotNull(), F.col("alias").eqNullSafe(F.col("best"))
-    node_counts = copies.groupBy("collector").agg(F.countDistinct("pubkey").alias("held_nodes"), F.count_if(has).alias("held_info"), F.count_if(has & ~same).alias("stale_node_info"), F.count_if(has & same).alias("matching_node_info"))
+    node_counts = own.groupBy("collector").agg(
+        F.count(F.lit(1)).alias("known_nodes"), F.count_if(F.col("any") & ~has).alias("lacked"), F.count_if(has & ~same).alias("stale_node_info"),
+        F.count_if(has & same | ~F.col("any")).alias("matching_node_info"))
     merged, mine = merge_directions(directions), own_directions(directions)
     pay = F.struct("fees_base", "fees_ppm", "cltv")
-    own = mine.select("collector", "scid", "direction", pay.alias("mine")).join(merged.select("scid", "direction", pay.alias("best")), ["scid", "direction"])
-    own = own.join(merged.groupBy("scid").agg(F.count(F.lit(1)).alias("ways")), "scid")
+    ways = mine.select("collector", "scid", "direction", pay.alias("mine")).join(merged.select("scid", "direction", pay.alias("best")), ["scid", "direction"])
+    ways = ways.join(merged.groupBy("scid").agg(F.count(F.lit(1)).alias("ways")), "scid")
     # what a collector lacks is the total less what it holds, so that nothing is crossed with the collectors
-    by_channel = own.groupBy("collector", "scid").agg(F.first("ways").alias("ways"), F.count_if(F.col("mine") != F.col("best")).alias("stale"), F.count_if(F.col("mine") == F.col("best")).alias("matching"))
-    chan_counts = by_channel.groupBy("collector").agg(F.count(F.lit(1)).alias("held_channels"), F.sum(F.col("ways") - F.col("stale") - F.col("matching")).alias("missing_directions"), F.sum("stale").alias("stale_directions"), F.sum("matching").alias("matching_directions"))
-    totals = merge_nodes(nodes).agg(F.count(F.lit(1)).alias("nodes"), F.count("last_update").alias("infos")).crossJoin(merged.agg(F.countDistinct("scid").alias("channels")))
+    by_channel = ways.groupBy("collector", "scid").agg(F.first("ways").alias("ways"), F.count_if(F.col("mine") != F.col("best")).alias("stale"), F.count_if(F.col("mine") == F.col("best")).alias("same"))
+    chan_counts = by_channel.groupBy("collector").agg(
+        F.count(F.lit(1)).alias("known_channels"), F.sum(F.col("ways") - F.col("stale") - F.col("same")).alias("missing_directions"), F.sum("stale").alias("stale_directions"),
+        F.sum(F.col("same") + 2 - F.col("ways")).alias("matching_directions"))
+    totals = best.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(merged.agg(F.countDistinct("scid").alias("channels")))
     every = names.join(node_counts, "collector", "left").join(chan_counts, "collector", "left").na.fill(0).crossJoin(F.broadcast(totals))
-    less = lambda a, b: F.col(a) - F.col(b)
+    missing = F.col("nodes") - F.col("known_nodes")
     return every.select(
-        "collector", "nodes", less("nodes", "held_nodes").alias("missing_nodes"), less("infos", "held_info").alias("missing_node_info"), "stale_node_info", "matching_node_info",
-        "channels", less("channels", "held_channels").alias("missing_channels"), "missing_directions", "stale_directions", "matching_directions",
+        "collector", "known_nodes", missing.alias("missing_nodes"), (missing + F.col("lacked")).alias("missing_node_info"), "stale_node_info", "matching_node_info",
+        "known_channels", (F.col("channels") - F.col("known_channels")).alias("missing_channels"), "missing_directions", "stale_directions", "matching_directions",
     )
 
 

@@ -79,10 +79,10 @@ def _elsewhere(t: DataFrame, origins: DataFrame, ceiling: str) -> DataFrame:
 
 
 def originated_propagation(t: DataFrame, m: DataFrame, fs: DataFrame, owned: DataFrame, msg_type: int | None = None, cutoff: int = 10, ceiling: str = "1 hour") -> DataFrame:
-    """One row on the messages that reach at least ``cutoff`` other collectors."""
+    """One row on the messages that reach at least ``cutoff`` collectors other than an owner of theirs."""
     rows = _elsewhere(t, _origins(t, m, fs, owned, msg_type), ceiling).where("receiver is not null")
-    reach = rows.groupBy("hash", "owner").agg(F.countDistinct("receiver").alias("reach")).where(F.col("reach") >= cutoff)
-    delays = rows.join(reach, ["hash", "owner"]).agg(F.count(F.lit(1)).alias("total_receipts"), _percentiles(F.col("delay")).alias("p"))
+    reach = rows.groupBy("hash").agg(F.countDistinct("receiver").alias("reach")).where(F.col("reach") >= cutoff)
+    delays = rows.join(reach, "hash").agg(F.count(F.lit(1)).alias("total_receipts"), _percentiles(F.col("delay")).alias("p"))
     counts = reach.agg(F.count(F.lit(1)).alias("qualifying_messages"), F.percentile("reach", 0.5).alias("median_reach"))
     return counts.crossJoin(delays).select("qualifying_messages", "total_receipts", "median_reach", *_spread())
 

@@ -87,37 +87,48 @@ def _between(ca: DataFrame, start: str | None, end: str | None) -> DataFrame:
     return ca if end is None else ca.where(F.col("bucket") < F.lit(end).cast("timestamp"))
 
 
-def _merged(ca: DataFrame, keys: list[str], probs: tuple[float, ...], prefix: str = "") -> DataFrame:
-    """By key: receipts, first_seen and quantiles of delay, over buckets up to an hour after the first.
+def _near(ca: DataFrame, key: str) -> DataFrame:
+    """Buckets up to an hour after the first one of their message, whichever collector has that."""
+    return ca.withColumn("fb", F.min("bucket").over(Window.partitionBy(key))).where(F.expr("bucket <= fb + interval 1 hour")).drop("fb")
+
+
+def _quantiles(since: str, probs: tuple[float, ...], prefix: str = "") -> list[Column]:
+    return [((F.kll_sketch_get_quantile_bigint("times", F.lit(p)) - F.unix_micros(since)) / F.lit(1e6)).alias(f"{prefix}p{round(p * 100):02d}") for p in probs]
 
-    The sketches of the buckets are merged, then asked. One shuffle serves the window and the grouping.
-    """
-    near = ca.withColumn("fb", F.min("bucket").over(Window.partitionBy(*keys))).where(F.expr("bucket <= fb + interval 1 hour"))
-    whole = near.groupBy(*keys).agg(F.first("type").alias("type"), F.sum("receipts").alias("receipts"), F.min("first_seen").alias("first_seen"), F.kll_merge_agg_bigint("times").alias("times"))
-    delay = lambda p: F.greatest(F.lit(0.0), (F.kll_sketch_get_quantile_bigint("times", F.lit(p)) - F.unix_micros("first_seen")) / F.lit(1e6))
-    return whole.select(*keys, "type", F.col("receipts").alias(prefix + "receipts"), F.col("first_seen").alias(prefix + "first_seen"), *(delay(p).alias(f"{prefix}p{round(p * 100):02d}") for p in probs))
+
+def _merged(near: DataFrame, keys: list[str], probs: tuple[float, ...], receipts: str = "receipts", prefix: str = "") -> DataFrame:
+    """By key: receipts, first_seen and quantiles of delay; the sketches of the buckets are merged, then asked."""
+    whole = near.groupBy(*keys).agg(F.first("type").alias("type"), F.sum("receipts").alias(receipts), F.min("first_seen").alias("first_seen"), F.kll_merge_agg_bigint("times").alias("times"))
+    return whole.select(*keys, "type", receipts, F.col("first_seen").alias(prefix + "first_seen"), *_quantiles("first_seen", probs, prefix))
 
 
 def propagation_from_sketch(ca: DataFrame, cutoff: int, key: str = "hash", msg_type: int | None = None, start: str | None = None, end: str | None = None, probs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Messages with at least ``cutoff`` receipts (not peers), up to two hours by whole buckets."""
     ca = _between(ca, start, end)
     ca = ca if msg_type is None else ca.where(F.col("type") == msg_type)
-    return _merged(ca, [key], probs).where(F.col("receipts") >= cutoff)
+    return _merged(_near(ca, key), [key], probs).where(F.col("receipts") >= cutoff)
 
 
-def outbound_propagation(ca_out: DataFrame, ca_in: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """T3 (older definition): from a message's first outbound time, inbound rows first seen within an hour of it."""
-    t0 = _between(ca_out, start, end).groupBy("hash", "type").agg(F.min("first_sent").alias("t0"))
-    rows = t0.join(_between(ca_in, start, end).select("hash", "receipts", "first_seen"), "hash").where(F.expr("first_seen >= t0 and first_seen <= t0 + interval 1 hour"))
-    return rows.groupBy("hash", "type", "t0").agg(F.sum("receipts").alias("receipts"), F.min(epoch_diff("first_seen", "t0")).alias("first_delay"))
+def outbound_propagation(ca_out: DataFrame, ca_in: DataFrame, cutoff: int, msg_type: int | None = None, start: str | None = None, end: str | None = None, probs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """Quantiles of delay from a message's first outbound time, over the collectors' inbound buckets that begin within an hour of it."""
+    sent, got = _between(ca_out, start, end), _between(ca_in, start, end)
+    if msg_type is not None:
+        sent, got = sent.where(F.col("type") == msg_type), got.where(F.col("type") == msg_type)
+    t0 = sent.groupBy("hash").agg(F.min("first_sent").alias("t0"))
+    rows = got.join(t0, "hash").where(F.expr("first_seen >= t0 and first_seen <= t0 + interval 1 hour"))
+    whole = rows.groupBy("hash", "t0").agg(F.sum("receipts").alias("total_peers"), F.kll_merge_agg_bigint("times").alias("times")).where(F.col("total_peers") >= cutoff)
+    return whole.select("hash", "t0", "total_peers", *_quantiles("t0", probs))
 
 
 def collector_comparison(ca: DataFrame, cutoff: int, collectors: list[str] | None = None) -> DataFrame:
-    """T4: for each message and collector, its quantiles beside those of all collectors; ratio by zero is null."""
-    probs = (0.25, 0.5, 0.75)
-    every = _merged(ca, ["hash"], probs, "all_").where(F.col("all_receipts") >= cutoff)
-    own = _merged(ca if collectors is None else ca.where(F.col("collector").isin(collectors)), ["hash", "collector"], probs, "one_").drop("type")
-    return own.join(every, "hash").withColumns({"diff_p50": F.col("one_p50") - F.col("all_p50"), "ratio_p50": F.try_divide("one_p50", "all_p50")})
+    """T4: for each message and collector, its quantiles beside those of all collectors; ratio by zero is null.
+
+    Both sides begin with the message's first bucket over all collectors: one that is later by more has no row.
+    """
+    near, probs = _near(ca, "hash"), (0.25, 0.5, 0.75)
+    every = _merged(near, ["hash"], probs, "peers_all", "all_").where(F.col("peers_all") >= cutoff)
+    own = _merged(near if collectors is None else near.where(F.col("collector").isin(collectors)), ["hash", "collector"], probs, "peers_single", "single_").drop("type")
+    return own.join(every, "hash").withColumns({"diff_p50": F.col("single_p50") - F.col("all_p50"), "ratio_p50": F.try_divide("single_p50", "all_p50")})
 
 
 def comparison_summary(comparison: DataFrame) -> DataFrame:
@@ -127,10 +138,10 @@ def comparison_summary(comparison: DataFrame) -> DataFrame:
 
 
 def publication_delay(ca: DataFrame, key: str = "hash", msg_type: int | None = None) -> DataFrame:
-    """First sight minus the creator's stamp, where not negative; types 2 and 3."""
-    rows = ca.where(F.col("type").isin(2, 3) if msg_type is None else (F.col("type") == msg_type) & F.col("type").isin(2, 3))
-    each = rows.groupBy(key, "type").agg(F.min("first_seen").alias("first_seen"), F.min("orig_timestamp").alias("orig_timestamp"))
-    return each.where("first_seen >= orig_timestamp").select(key, "type", epoch_diff("first_seen", "orig_timestamp").alias("delay"))
+    """First sight minus the creator's stamp, where not negative, and receipts; types 2 and 3, over buckets with a stamp."""
+    rows = ca.where(F.col("type").isin(2, 3) if msg_type is None else (F.col("type") == msg_type) & F.col("type").isin(2, 3)).where("orig_timestamp is not null")
+    each = rows.groupBy(key, "type").agg(F.min("first_seen").alias("first_seen"), F.min("orig_timestamp").alias("orig_timestamp"), F.sum("receipts").alias("total_receipts"))
+    return each.where("first_seen >= orig_timestamp").select(key, "type", epoch_diff("first_seen", "orig_timestamp").alias("delay"), "total_receipts")
 
 
 def _distinct(c: str) -> Column:
@@ -148,7 +159,7 @@ def peer_count_from_rollup(ca: DataFrame) -> DataFrame:
 
 
 def activity_totals(ca: DataFrame, *by: str, width: str | None = None) -> DataFrame:
-    """T9 (by orig_node), T9b and T9c (width 1 day), T10 (scid and type, width 12 hours)."""
+    """T9 (by orig_node), T9b and T9c (width 1 day; T9c over type 3), T10 (scid and type, width 12 hours)."""
     keys = [F.window("bucket", width).start.alias("bucket")] if width else []
     return ca.groupBy(*keys, *by).agg(F.sum("receipts").alias("receipts"), _distinct("outer_hll").alias("outer"), _distinct("inner_hll").alias("inner"))
 
@@ -161,15 +172,16 @@ def top_n_series(series: DataFrame, n: int = 10) -> DataFrame:
 
 
 def outer_inner_ratio(daily: DataFrame, tail: float | None = None) -> DataFrame:
-    """Mean over days of outer to inner messages of each scid; with ``tail``, only means from there on, and their log10."""
-    out = daily.groupBy("scid").agg(F.avg(F.try_divide("outer", "inner")).alias("mean_ratio"), F.count(F.lit(1)).alias("days_active"))
+    """Mean over days with an inner message of outer to inner updates (type 3) of each scid; with ``tail``, only means from there on, and their log10."""
+    out = daily.where(F.col("inner") > 0).groupBy("scid").agg(F.avg(F.try_divide("outer", "inner")).alias("mean_ratio"), F.count(F.lit(1)).alias("days_active"))
     return out if tail is None else out.where(F.col("mean_ratio") >= tail).withColumn("log10_ratio", F.log10("mean_ratio"))
 
 
 def scid_comparison(ca: DataFrame, top_n: int = 25, min_messages: int = 10) -> DataFrame:
-    """Announcements beside updates; most messages first, ties by scid."""
-    each = ca.groupBy("scid").agg(*(F.sum(F.when(F.col("type") == k, F.col("receipts")).otherwise(0)).alias(n) for k, n in ((1, "announcements"), (3, "updates"))))
-    return each.withColumn("total", F.col("announcements") + F.col("updates")).where(F.col("total") >= min_messages).orderBy(F.desc("total"), "scid").limit(top_n)
+    """Distinct announcements beside distinct updates of each scid; most messages first, ties by scid."""
+    per_type = ca.groupBy("scid", "type").agg(_distinct("outer_hll").alias("messages"))
+    each = per_type.groupBy("scid").agg(*(F.coalesce(F.sum(F.when(F.col("type") == k, F.col("messages"))), F.lit(0)).alias(n) for k, n in ((1, "announcements"), (3, "updates"))), F.sum("messages").alias("total"))
+    return each.where(F.col("total") >= min_messages).orderBy(F.desc("total"), "scid").limit(top_n)
 
 
 def lookup(t: DataFrame, m: DataFrame, messages: DataFrame, now: str, interval: str = "3 days", scid: int | None = None, node: str | None = None, msg_type: int | None = None, newest: bool = False) -> DataFrame:
