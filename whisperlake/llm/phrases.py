@@ -9,7 +9,9 @@ told by a table of bits of fixed size: where two phrases share a bit more is cou
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,15 @@ class Words:
                     known[i] = v & reach[i]
 
 
+def small(bits: np.ndarray) -> bytes:
+    """A table of bits as it is sent to tasks."""
+    return zlib.compress(bits.tobytes(), 1)
+
+
+def large(sent: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sent), np.uint32)
+
+
 def tally(own: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Equal phrases, told by two hashes, are one entry with their number."""
     order = np.argsort(own, kind="stable")
@@ -110,7 +121,10 @@ def tally(own: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray |
 def _count(docs: DataFrame, new: np.ndarray, old: np.ndarray | None, longest: int) -> DataFrame:
     """Counts of what ``new`` brings into reach beyond ``old``: phrases as (k, hp, hw); at first also words, and k = 0: each language's total."""
 
+    sent = [None if bits is None else small(bits) for bits in (new, old)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, old = (None if x is None else large(x) for x in sent)
         words: dict[int, list] = {}
         totals: dict[str, int] = {}
         phrases: dict[int, list[tuple[np.ndarray, ...]]] = {}
@@ -167,7 +181,8 @@ def _mine(docs: DataFrame, least: int, proposed: np.ndarray, longest: int, passe
     ``passes`` gets the number of phrases that were frequent outside of what was proposed, for each pass.
     """
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch], sent: bytes) -> Iterator[pa.RecordBatch]:
+        new = large(sent)
         for b in batches:
             k, first, last = (b.column(c).to_numpy() for c in ("k", "hp", "hw"))
             first, last = first.view(np.uint64), last.view(np.uint64)
@@ -176,10 +191,11 @@ def _mine(docs: DataFrame, least: int, proposed: np.ndarray, longest: int, passe
 
     old, new, found = None, proposed, None
     while True:
+        sent = small(new)
         # a task has one row of each phrase, so that rows are dealt before they are added up
         rows = _count(docs, new, old, longest).repartition("hp", "hw").groupBy("k", "hp", "hw", "lang", "word").agg(F.sum("n").alias("n"))
         frequent = rows.where((F.col("n") >= least) | (F.col("k") == 0)).select("k", "hp", "hw", "n", "lang", "word")
-        got = written(frequent.mapInArrow(hashed, ROWS + ", h long, slot long, fresh boolean"), "phrases")
+        got = written(frequent.mapInArrow(partial(hashed, sent=sent), ROWS + ", h long, slot long, fresh boolean"), "phrases")
         found = got if found is None else found.unionByName(got)
         failed = got.where("fresh").select("slot")
         passes.append(failed.count())
