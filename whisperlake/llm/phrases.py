@@ -32,7 +32,7 @@ LOWER[65:91] += 32
 BITS = 26
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Entries that a task keeps before it hands them on.
-KEPT = 1 << 21
+KEPT = 1 << 20
 ROWS = "k int, hp long, hw long, n long, lang string, word string"
 
 
@@ -150,7 +150,7 @@ def _count(docs: DataFrame, new: np.ndarray, old: np.ndarray | None, longest: in
                     yield row(np.full(len(n[s]), k, np.int32), first[s].view(np.int64), last[s].view(np.int64), n[s], pa.nulls(len(n[s]), pa.string()), pa.nulls(len(n[s]), pa.string()))
             words.clear(), totals.clear(), phrases.clear()
 
-        for b in slices(batches):
+        for b in slices(batches, 2 << 20):
             langs = b.column("lang").to_pylist()
             w = Words(b.column("text"), langs)
             if old is None:

@@ -54,7 +54,7 @@ def _runs(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64((sums[b] - sums[a]) * _powers(INVERSE, n)[a] + (b - a).astype(np.uint64))
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 21) -> np.ndarray:
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 18) -> np.ndarray:
     """A hash of data[start:end] for each of the bounds, which ascend and do not overlap; some ``stretch`` of the bytes at a time."""
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
