@@ -10,12 +10,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from whisperlake import jobs_library, library
+from whisperlake import jobs_library, library, streams_library
 from whisperlake.fixtures import Views, with_views
 from whisperlake.operators import propagation
 
 
-assert jobs_library  # its queries are the library's
+assert jobs_library and streams_library  # their queries are the library's
 
 
 @pytest.fixture(scope="module")

@@ -26,6 +26,10 @@ VIEWS = {
     "packets": """SELECT event_id AS pkt_id, {EPOCH} AS ts, CASE WHEN event_type='error' THEN 41000 ELSE 40000 END+user_id%50 AS local_port,
         concat('10.0.0.',user_id%20) AS remote_ip, 9735 AS remote_port, CAST(floor(value) AS BIGINT) AS bytes
         FROM events WHERE event_type NOT IN ('view','click')""",
+    "captured": """SELECT pkt_id, ts, bytes, CASE WHEN pkt_id%13=0 THEN '198.51.100.9' WHEN pkt_id%2=0 THEN '203.0.113.5' ELSE remote_ip END AS src_ip,
+        CASE WHEN pkt_id%2=0 THEN local_port ELSE remote_port END AS src_port, CASE WHEN pkt_id%2=0 THEN remote_ip WHEN pkt_id%13=0 THEN remote_ip ELSE '203.0.113.5' END AS dst_ip,
+        CASE WHEN pkt_id%2=0 THEN remote_port ELSE local_port END AS dst_port FROM packets""",
+    "links": """SELECT concat('c',o_custkey) AS src, concat('c',o_custkey+1+o_orderkey%200) AS dst FROM orders""",
     "features": """SELECT concat('c',c_custkey) AS pubkey, CAST(c_custkey%50 AS BIGINT) AS active, CAST(1700000000+c_custkey*86400 AS BIGINT) AS first_seen,
         CASE WHEN c_custkey%7>0 THEN CAST(c_nationkey AS BIGINT) END AS asn, CASE c_custkey%4 WHEN 1 THEN concat('10.0.',c_custkey%250,'.7:9735')
         WHEN 2 THEN concat('abc',c_custkey,'.onion:9735') WHEN 3 THEN concat('[2001:db8::1]:9735,xyz',c_custkey,'.onion:9735') END AS sockets,

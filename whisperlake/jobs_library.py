@@ -134,7 +134,7 @@ def absent(v: Views) -> DataFrame:
     path = folder(v, "absent")
     for rows in (v.metadata.where("hash % 3 = 0"), v.metadata, v.metadata.limit(0), v.metadata.where("hash % 2 = 0")):
         files.insert_if_absent(rows, path, "hash")
-    return v.timings.sparkSession.read.parquet(path)
+    return files.read_keyed(v.timings.sparkSession, path)
 
 
 query("s4_insert_if_absent", "SELECT hash, CAST(type AS BIGINT) AS type, CAST(size AS BIGINT) AS size, orig_node, scid FROM metadata")(lambda v: longs(absent(v).select("hash", "type", "size", "orig_node", "scid")))
@@ -263,7 +263,7 @@ def first_seen_job(v: Views) -> DataFrame:
     path, spark = folder(v, "first-seen"), v.timings.sparkSession
     for until in ("2024-01-10", "2024-01-20", "2100-01-01"):
         ingest.update_first_seen(v.timings.where(F.col("net_timestamp") < F.lit(until).cast("timestamp")), path, until, "100 years")
-    return said(spark.read.parquet(path), "first_seen")
+    return said(files.read_keyed(spark, path), "first_seen")
 
 
 query("k1_update_first_seen", f"SELECT hash, {ts('first_seen')} AS first_seen FROM message_first_seen")(first_seen_job)

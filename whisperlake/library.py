@@ -74,6 +74,8 @@ query("l4_unique_rate", f"SELECT count(DISTINCT hash) AS unique_messages, {ts('m
     lambda v: said(r6(legacy.unique_rate(v.timings), "hours", "per_hour", "per_minute"), "first_ts", "last_ts"))
 query("l5_peers_per_message", "WITH a AS (SELECT hash, count(*) AS receipts FROM timings GROUP BY hash) SELECT receipts, count(*) AS messages, round(count(*)*100.0/(SELECT count(*) FROM a),2) AS pct FROM a GROUP BY receipts")(
     lambda v: r6(legacy.peers_per_message(v.timings), "pct"))
+query("l6_top_scids", "SELECT scid, count(*) AS messages, round(count(*)*100.0/(SELECT count(*) FROM metadata WHERE scid IS NOT NULL),6) AS pct FROM metadata WHERE scid IS NOT NULL GROUP BY scid ORDER BY messages DESC, scid LIMIT 10")(
+    lambda v: r6(legacy.entity_frequency(v.metadata, "scid", top=10), "pct"))
 for _id, _e in (("l6_scid_frequency", "scid"), ("l8_node_frequency", "orig_node")):
     query(_id, f"SELECT {_e}, count(*) AS messages, round(count(*)*100.0/(SELECT count(*) FROM metadata WHERE {_e} IS NOT NULL),6) AS pct FROM metadata WHERE {_e} IS NOT NULL GROUP BY {_e}")(
         lambda v, e=_e: r6(legacy.entity_frequency(v.metadata, e), "pct"))
@@ -98,8 +100,10 @@ PROP = f"pr AS (SELECT t.hash, m.type, fs.first_seen, count(DISTINCT peer) AS pe
 _prop = lambda v: propagation.propagation(v.timings, v.metadata, v.message_first_seen, peer_cutoff=2, exact=True)
 query("p1_outer_propagation", f"WITH {PROP} SELECT hash, CAST(type AS BIGINT) AS type, {ts('first_seen')} AS first_seen, peers, {', '.join(f'round({n} + 1e-8,6) AS {n}' for n in P)} FROM pr")(
     lambda v: longs(said(percentiles(_prop(v)), "first_seen")))
-query("p1_outer_propagation_approx")(
-    lambda v: longs(said(percentiles(propagation.propagation(v.timings, v.metadata, v.message_first_seen, peer_cutoff=2)), "first_seen")))
+# every message whose sketched number of peers is near the exact one; all must be
+_near_peers = lambda v: propagation.propagation(v.timings, v.metadata, v.message_first_seen, peer_cutoff=1).select("hash", "peers").join(_prop(v).select("hash", F.col("peers").alias("exact")), "hash")
+query("p1_outer_propagation_approx", f"WITH {PROP} SELECT hash, true AS close FROM pr")(
+    lambda v: _near_peers(v).select("hash", (F.abs(F.col("peers") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.1 * F.col("exact"))).alias("close")))
 _MED = ", ".join(f"round(quantile_cont({n},0.5),4) AS {n}" for n in P)
 query("p1s_summarize_delay", f"WITH {PROP} SELECT {_MED}, count(*) AS messages, CAST(floor(quantile_cont(peers,0.5)) AS BIGINT) AS median_peers FROM pr")(lambda v: propagation.summarize_delay(_prop(v)))
 _TALL = f"SELECT 'all' AS label, {_MED}, count(*) AS messages, CAST(floor(quantile_cont(peers,0.5)) AS BIGINT) AS median_peers FROM pr UNION ALL SELECT {NAMES}, {_MED}, count(*), CAST(floor(quantile_cont(peers,0.5)) AS BIGINT) FROM pr GROUP BY type"
@@ -170,7 +174,7 @@ query("c6_scid_activity", f"WITH {_SCID} SELECT {ts(HOUR)} AS bucket, scid, CAST
     lambda v: longs(said(_act(v, "scid").select("bucket", "scid", "type", "receipts", F.hll_sketch_estimate("outer_hll").alias("outer")), "bucket")))
 query("c7_outbound_origin", f"WITH a AS (SELECT date_trunc('hour', net_timestamp) AS b, t.hash, collector, type, min(net_timestamp) AS f FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=2 AND m.type IN (1,2,3) GROUP BY ALL) SELECT {ts('b')} AS bucket, hash, collector, CAST(type AS BIGINT) AS type, {ts('f')} AS first_sent FROM a")(
     lambda v: longs(said(rollups.outbound_origin_rollup(v.timings, v.metadata), "bucket", "first_sent")))
-_IN = "inb AS (SELECT t.*, m.type, m.orig_node, m.scid, date_trunc('hour', net_timestamp) AS hour, time_bucket(INTERVAL 10 MINUTE, net_timestamp) AS ten FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN (1,2,3))"
+_RECEIPTS = _IN = "inb AS (SELECT t.*, m.type, m.orig_node, m.scid, date_trunc('hour', net_timestamp) AS hour, time_bucket(INTERVAL 10 MINUTE, net_timestamp) AS ten FROM timings t JOIN metadata m ON t.hash=m.hash WHERE dir=1 AND m.type IN (1,2,3))"
 _STATS = {
     "propagation": "SELECT DISTINCT hour AS b, hash, type FROM inb", "rate": "SELECT DISTINCT ten AS b, type FROM inb",
     "node": "SELECT DISTINCT hour AS b, orig_node FROM inb WHERE type=2 AND orig_node IS NOT NULL", "scid": "SELECT DISTINCT hour AS b, scid, type FROM inb WHERE type IN (1,3) AND scid IS NOT NULL",
@@ -297,8 +301,8 @@ query("g12_community_members", "SELECT m.level_0, m.pubkey, f.alias, f.sockets F
 query("g13_sampling_plan", "WITH s AS (SELECT level_0, count(*) AS size FROM membership GROUP BY 1), p AS (SELECT level_0, size, size*1.0/(SELECT sum(size) FROM s) AS p FROM s), x AS (SELECT *, 200*p AS e, sqrt(200*p*(1-p)) AS d FROM p) SELECT level_0, size, round(p,6) AS proportion, round(e,6) AS expected, round(d,6) AS stddev, CAST(CASE WHEN p>=0.08 THEN round(e-d) WHEN p>=0.02 THEN round(e) ELSE greatest(round(e+d),1) END AS BIGINT) AS connection_count FROM x")(
     lambda v: r6(graph.sampling_plan(v.membership, 200), "proportion", "expected", "stddev"))
 _MAP = lambda v: v.membership.select("level_0").distinct().withColumn("collector", F.concat(F.lit("u"), F.col("level_0").cast("string")))
-query("g14_assignments", "WITH s AS (SELECT level_0, count(*) AS size FROM membership GROUP BY 1), p AS (SELECT level_0, size, size*1.0/(SELECT sum(size) FROM s) AS p FROM s), x AS (SELECT *, 200*p AS e, sqrt(200*p*(1-p)) AS d FROM p), li AS (SELECT level_0, string_agg(m.pubkey, ',' ORDER BY m.pubkey) AS eligible FROM membership m JOIN features f ON m.pubkey=f.pubkey WHERE sockets IS NOT NULL GROUP BY 1) SELECT concat('u',x.level_0) AS collector, x.level_0, size, CAST(CASE WHEN p>=0.08 THEN round(e-d) WHEN p>=0.02 THEN round(e) ELSE greatest(round(e+d),1) END AS BIGINT) AS connection_count, eligible FROM x LEFT JOIN li ON x.level_0=li.level_0")(
-    lambda v: graph.assignments(_MAP(v), graph.sampling_plan(v.membership, 200), v.membership, v.features).select("collector", "level_0", "size", "connection_count", F.array_join(F.array_sort("eligible"), ",").alias("eligible")))
+query("g14_assignments", "WITH s AS (SELECT level_0, count(*) AS size FROM membership GROUP BY 1), p AS (SELECT level_0, size, size*1.0/(SELECT sum(size) FROM s) AS p FROM s), x AS (SELECT *, 200*p AS e, sqrt(200*p*(1-p)) AS d FROM p), li AS (SELECT level_0, m.pubkey, count(*) OVER (PARTITION BY level_0) AS able FROM membership m JOIN features f ON m.pubkey=f.pubkey WHERE sockets IS NOT NULL) SELECT concat('u',x.level_0) AS collector, x.level_0, size, CAST(CASE WHEN p>=0.08 THEN round(e-d) WHEN p>=0.02 THEN round(e) ELSE greatest(round(e+d),1) END AS BIGINT) AS connection_count, pubkey, able FROM x LEFT JOIN li ON x.level_0=li.level_0")(
+    lambda v: (lambda a: a.join(a.groupBy("collector").agg(F.max("rank").alias("able")), "collector").select("collector", "level_0", "size", "connection_count", "pubkey", "able"))(graph.assignments(_MAP(v), graph.sampling_plan(v.membership, 200), v.membership, v.features)))
 query("g15_merge_nodes", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY coalesce(last_update,-1) DESC, collector) AS k FROM node_views) SELECT pubkey, CAST(last_update AS BIGINT) AS last_update, alias FROM r WHERE k=1")(
     lambda v: graph.merge_nodes(v.node_views).withColumn("last_update", F.col("last_update").cast("long")))
 query("g15_merge_directions", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY scid, direction ORDER BY last_update DESC, collector, fees_base DESC, fees_ppm DESC, cltv DESC) AS k FROM chan_views) SELECT scid, CAST(direction AS BIGINT) AS direction, last_update, fees_base, fees_ppm, cltv FROM r WHERE k=1")(
@@ -319,7 +323,7 @@ query("g16_graph_diff", f"WITH {_G16} SELECT nm.collector, known_nodes, missing_
     lambda v: graph.graph_diff(v.node_views, v.chan_views))
 query("g17_channel_utxo_filter", "SELECT scid, node_one, node_two, CASE WHEN u.block IS NULL THEN 'missing' WHEN spent THEN 'spent' ELSE 'kept' END AS state, CASE WHEN NOT spent THEN value END AS capacity FROM channels c LEFT JOIN utxos u ON u.block=(c.scid>>40) AND u.tx=((c.scid>>16)&16777215) AND u.vout=(c.scid&65535)")(lambda v: graph.utxo_filter(v.channels, v.utxos))
 query("g17_used_nodes", "SELECT pubkey, alias FROM features WHERE pubkey IN (SELECT node_one FROM channels UNION SELECT node_two FROM channels)")(lambda v: graph.used_nodes(v.features.select("pubkey", "alias"), v.channels))
-_IV = "iv AS (SELECT local_port, remote_ip, remote_port, uuid, min(epoch) AS f, max(epoch) AS l FROM samples GROUP BY 1,2,3,4), ga AS (SELECT p.*, iv.uuid, iv.f, greatest(iv.f-p.ts, p.ts-iv.l, 0) AS g FROM packets p LEFT JOIN iv USING (local_port, remote_ip, remote_port)), rk AS (SELECT *, row_number() OVER (PARTITION BY pkt_id ORDER BY CASE WHEN g>60 THEN 1 ELSE 0 END, CASE WHEN g>60 THEN g ELSE 0 END, f, uuid) AS k FROM ga), fl AS (SELECT * FROM rk WHERE k=1)"
+_INTERVALS = _IV = "iv AS (SELECT local_port, remote_ip, remote_port, uuid, min(epoch) AS f, max(epoch) AS l FROM samples GROUP BY 1,2,3,4), ga AS (SELECT p.*, iv.uuid, iv.f, greatest(iv.f-p.ts, p.ts-iv.l, 0) AS g FROM packets p LEFT JOIN iv USING (local_port, remote_ip, remote_port)), rk AS (SELECT *, row_number() OVER (PARTITION BY pkt_id ORDER BY CASE WHEN g>60 THEN 1 ELSE 0 END, CASE WHEN g>60 THEN g ELSE 0 END, f, uuid) AS k FROM ga), fl AS (SELECT * FROM rk WHERE k=1)"
 _flows = lambda v: attribution.attribute_flows(v.packets, v.samples)
 query("g18_flow_attribution", f"WITH {_IV} SELECT pkt_id, uuid, coalesce(uuid IS NOT NULL AND g<=60, false) AS in_window FROM fl")(lambda v: _flows(v).select("pkt_id", "uuid", "in_window"))
 query("g18_flow_totals", f"WITH {_IV} SELECT uuid, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT (local_port, remote_ip, remote_port)) AS connections, count(DISTINCT remote_ip) AS peers FROM fl WHERE uuid IS NOT NULL GROUP BY 1")(lambda v: attribution.flow_totals(_flows(v)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whisperlake.functions import age_days, explode_sockets, has_sockets, ip_reachability, net_type, recency_bin, scid_block, scid_out, scid_tx
@@ -119,8 +119,6 @@ def annotate(vertices: DataFrame, features: DataFrame, now: int, asns: DataFrame
 
 def community_matrix(edges: DataFrame, membership: DataFrame, level: str = "level_0") -> DataFrame:
     """Edges between blocks, in both orders for different blocks; blocks numbered from 0 without gaps."""
-    from pyspark.sql import Window
-
     blocks = membership.select(level).distinct().withColumn("block", F.dense_rank().over(Window.orderBy(level)) - 1)  # a row for each community
     of = membership.select("pubkey", level).join(blocks, level).select("pubkey", "block")
     a = edges.join(of.select(F.col("pubkey").alias("src"), F.col("block").alias("a")), "src").join(of.select(F.col("pubkey").alias("dst"), F.col("block").alias("b")), "dst")
@@ -160,11 +158,19 @@ def sampling_plan(membership: DataFrame, target: int, high: float = 0.08, low: f
 
 
 def assignments(mapping: DataFrame, plan: DataFrame, membership: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
-    """Each collector's community, its plan, and its members that have only valid sockets, in a seeded order."""
+    """Each collector's community and its plan, with a row for each of its members that have only valid sockets, ranked from 1 in a seeded order.
+
+    A rank is the number of members in the stretches of hashes before, plus that within the stretch, so that no task holds
+    a community; one without such members has a row with nulls.
+    """
     valid = explode_sockets(nodes, whole_record=True).where("valid").select("pubkey").distinct()
     able = membership.join(nodes.where(has_sockets("sockets")).select("pubkey"), "pubkey", "left_semi").join(valid, "pubkey", "left_semi")
-    lists = able.groupBy("level_0").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.xxhash64("pubkey", F.lit(seed)).alias("h"), "pubkey"))), lambda x: x["pubkey"]).alias("eligible"))
-    return mapping.join(plan, "level_0").join(lists, "level_0", "left")
+    placed = able.select("level_0", "pubkey", F.xxhash64("pubkey", F.lit(seed)).alias("h")).withColumn("stretch", F.shiftright("h", 54))
+    sizes = placed.groupBy("level_0", "stretch").agg(F.count(F.lit(1)).alias("n"))  # at most 1024 for a community
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("level_0").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("level_0", "stretch").orderBy("h", "pubkey"))
+    ranked = placed.withColumn("inside", inside).join(before, ["level_0", "stretch"]).select("level_0", (F.col("before") + F.col("inside")).alias("rank"), "pubkey")
+    return mapping.join(plan, "level_0").join(ranked, "level_0", "left")
 
 
 def merge_nodes(views: DataFrame) -> DataFrame:
@@ -250,8 +256,6 @@ def reachable_split(nodes: DataFrame) -> DataFrame:
 
 def recency_table(nodes: DataFrame, now: int, last_seen: str = "last_update") -> DataFrame:
     """Nodes by age class, running totals from the youngest, and the share within a month."""
-    from pyspark.sql import Window
-
     order = {n: k for k, n in enumerate(["hour", "day", "week", "two_weeks", "month", "three_months", "six_months", "year", "other"])}
     each = nodes.where(F.col(last_seen).isNotNull()).groupBy(recency_bin(F.lit(now) - F.col(last_seen)).alias("age")).agg(F.count(F.lit(1)).alias("nodes"))
     rank = reduce(lambda c, x: F.when(F.col("age") == x[0], x[1]).otherwise(c), order.items(), F.lit(99))

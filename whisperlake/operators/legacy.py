@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whisperlake.functions import epoch_diff, type_name
+from whisperlake.operators.quantiles import HEAVY, percentiles
 
 CONVERGENCE = {"p0_1": 0.001, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99_9": 0.999}
 
@@ -15,12 +16,12 @@ def _with_total(df: DataFrame, total: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(total))
 
 
-def convergence_delay_summary(t: DataFrame, min_share: float = 0.5, probs: dict[str, float] = CONVERGENCE) -> DataFrame:
+def convergence_delay_summary(t: DataFrame, min_share: float = 0.5, probs: dict[str, float] = CONVERGENCE, heavy: int = HEAVY) -> DataFrame:
     """Mean, over messages whose receipts reach ``min_share`` of all peers, of each percentile of delay after the first."""
     peers = t.agg(F.countDistinct("peer_hash").alias("peers"))
     # delays relative to the first are percentiles of the times minus the least one, so that one grouping gives all
-    us = F.unix_micros("net_timestamp")
-    every = t.groupBy("hash").agg(F.min(us).alias("t0"), F.count(F.lit(1)).alias("receipts"), F.percentile(us, F.array(*map(F.lit, probs.values()))).alias("q"))
+    rows = t.select("hash", F.unix_micros("net_timestamp").alias("us"))
+    every = percentiles(rows, ["hash"], "us", list(probs.values()), [F.min("us").alias("t0"), F.count(F.lit(1)).alias("receipts")], heavy=heavy).withColumnRenamed("p", "q")
     wide = _with_total(every, peers).where(F.col("receipts") >= min_share * F.col("peers"))
     each = wide.select("receipts", F.transform("q", lambda x: (x - F.col("t0")) / F.lit(1e6)).alias("p"))
     return each.agg(

@@ -7,28 +7,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whisperlake.functions import epoch_diff, type_name
+from whisperlake.functions import type_name
+from whisperlake.operators.quantiles import HEAVY, percentiles
 
 PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
-def _percentiles(delay: Column) -> Column:
-    return F.percentile(delay, F.array(*map(F.lit, PROBS.values())))
+#: Delays up to a ceiling of days, in microseconds.
+SPAN = 1 << 40
 
 
 def _spread(p: str = "p") -> list[Column]:
-    return [F.get(p, F.lit(k)).alias(n) for k, n in enumerate(PROBS)]
+    """Percentiles of microseconds, in seconds."""
+    return [(F.get(p, F.lit(k)) / F.lit(1e6)).alias(n) for k, n in enumerate(PROBS)]
+
+
+def _micros(end: str, start: str) -> Column:
+    return F.unix_micros(end) - F.unix_micros(start)
 
 
 def _types(m: DataFrame, msg_type: int | None) -> DataFrame:
     return m.where(F.col("type").isin(1, 2, 3) if msg_type is None else F.col("type") == msg_type)
 
 
-def propagation(t: DataFrame, m: DataFrame, fs: DataFrame, msg_type: int | None = None, peer_cutoff: int = 100, ceiling: str = "1 hour", exact: bool = False) -> DataFrame:
-    """Per message: peers (inbound receipts up to ``ceiling`` after the first sight) and percentiles of their delay."""
+def propagation(t: DataFrame, m: DataFrame, fs: DataFrame, msg_type: int | None = None, peer_cutoff: int = 100, ceiling: str = "1 hour", exact: bool = False, heavy: int = HEAVY) -> DataFrame:
+    """Per message: peers (inbound receipts up to ``ceiling`` after the first sight) and percentiles of their delay.
+
+    Messages of more than ``heavy`` receipts get theirs by refined histograms, so that none is held in one task's memory.
+    """
     peers = F.countDistinct("peer") if exact else F.approx_count_distinct("peer", 0.02)
     rows = t.where("dir = 1").join(_types(m, msg_type).select("hash", "type"), "hash").join(fs, "hash").where(F.expr(f"net_timestamp <= first_seen + interval {ceiling}"))
-    each = rows.groupBy("hash", "type", "first_seen").agg(peers.alias("peers"), _percentiles(epoch_diff("net_timestamp", "first_seen")).alias("p"))
+    rows = rows.select("hash", "type", "first_seen", "peer", _micros("net_timestamp", "first_seen").alias("delay"))
+    each = percentiles(rows, ["hash", "type", "first_seen"], "delay", list(PROBS.values()), [peers.alias("peers")], (t.select("hash"), ["hash"]), heavy, SPAN)
     return each.where(F.col("peers") >= peer_cutoff).select("hash", "type", "first_seen", "peers", *_spread())
 
 
@@ -75,14 +85,16 @@ def _elsewhere(t: DataFrame, origins: DataFrame, ceiling: str) -> DataFrame:
     """Inbound receipts at other collectors within the ceiling; an origin without any keeps one row of nulls."""
     r = t.where("dir = 1").select("hash", F.col("collector").alias("receiver"), F.col("net_timestamp").alias("receipt_time"))
     on = [origins.hash == r.hash, F.col("receiver") != F.col("owner"), F.col("receipt_time") >= F.col("t0"), F.col("receipt_time") <= F.expr(f"t0 + interval {ceiling}")]
-    return origins.join(r, on, "left").select(origins.hash, "owner", "t0", "receiver", "receipt_time", epoch_diff("receipt_time", "t0").alias("delay"))
+    return origins.join(r, on, "left").select(origins.hash, "owner", "t0", "receiver", "receipt_time", _micros("receipt_time", "t0").alias("delay"))
 
 
-def originated_propagation(t: DataFrame, m: DataFrame, fs: DataFrame, owned: DataFrame, msg_type: int | None = None, cutoff: int = 10, ceiling: str = "1 hour") -> DataFrame:
+def originated_propagation(t: DataFrame, m: DataFrame, fs: DataFrame, owned: DataFrame, msg_type: int | None = None, cutoff: int = 10, ceiling: str = "1 hour", heavy: int = HEAVY) -> DataFrame:
     """One row on the messages that reach at least ``cutoff`` collectors other than an owner of theirs."""
     rows = _elsewhere(t, _origins(t, m, fs, owned, msg_type), ceiling).where("receiver is not null")
     reach = rows.groupBy("hash").agg(F.countDistinct("receiver").alias("reach")).where(F.col("reach") >= cutoff)
-    delays = rows.join(reach, "hash").agg(F.count(F.lit(1)).alias("total_receipts"), _percentiles(F.col("delay")).alias("p"))
+    # one group of all rows, which therefore may be of any size; without rows it still has one of nulls
+    far = percentiles(rows.join(reach, "hash").select(F.lit(0).alias("all"), "delay"), ["all"], "delay", list(PROBS.values()), sized=(t.where("dir = 1").select("hash"), []), heavy=heavy, span=SPAN)
+    delays = far.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_receipts"), F.first("p").alias("p"))
     counts = reach.agg(F.count(F.lit(1)).alias("qualifying_messages"), F.percentile("reach", 0.5).alias("median_reach"))
     return counts.crossJoin(delays).select("qualifying_messages", "total_receipts", "median_reach", *_spread())
 
@@ -92,5 +104,5 @@ def fanout(t: DataFrame, m: DataFrame, fs: DataFrame, owned: DataFrame, msg_type
     rows = _elsewhere(t, _origins(t, m, fs, owned, msg_type), ceiling).withColumn("day", F.to_date("t0"))
     each = rows.groupBy("day", "owner", "hash").agg(F.countDistinct("receiver").alias("reach"))
     counts = each.groupBy("day", "owner").agg(F.count(F.lit(1)).alias("originated"), F.count_if(F.col("reach") >= cutoff).alias("qualifying"))
-    far = rows.groupBy("day", "owner").agg(F.countDistinct("receiver").alias("receivers"), F.count("receipt_time").alias("receipts"), _percentiles(F.col("delay")).alias("p"))
+    far = percentiles(rows, ["day", "owner"], "delay", list(PROBS.values()), [F.countDistinct("receiver").alias("receivers"), F.count("receipt_time").alias("receipts")], (t.where("dir = 1").select("hash"), []), span=SPAN)
     return counts.join(far, ["day", "owner"]).select("day", "owner", "originated", "qualifying", "receivers", "receipts", *_spread())

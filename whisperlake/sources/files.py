@@ -8,31 +8,14 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from whisperlake.plans.files import delete, exists, qualified, size_of
+from whisperlake.sources.json_array import read_json_array
+from whisperlake.sources.keyed import insert_if_absent, read_keyed
+
 TABLES = ("timings", "metadata", "message_first_seen")
 COMPANIONS = ("messages", "metadata", "message_hashes", "message_first_seen")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-
-
-def size_of(spark: SparkSession, path: str) -> int:
-    fs, p = _fs(spark, path)
-    return fs.getContentSummary(p).getLength()
-
-
 def day_path(root: str, table: str, day: dt.date) -> str:
     return f"{root}/{table}/{day:%Y/%m/%d}/{table}_{day:%Y-%m-%d}.parquet"
 
@@ -51,26 +34,6 @@ def load_range(spark: SparkSession, root: str, end: dt.date, days: int, tables:
     return out
 
 
-def insert_if_absent(df: DataFrame, path: str, key: str | list[str]) -> None:
-    """Append the rows whose key is not there yet; of equal keys in ``df`` any one.
-
-    Files are sorted by key, and the target is read only between the least and greatest new key, which row groups'
-    statistics prune where keys come close together; a broadcast of the new keys prunes the rest where it is small.
-    """
-    keys = [key] if isinstance(key, str) else key
-    spark = df.sparkSession
-    new = df.dropDuplicates(keys)
-    if exists(spark, path):
-        new = new.persist()
-        ends = new.agg(F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high")).first()
-        old = spark.read.parquet(path).select(*keys).where(F.col(keys[0]).between(F.lit(ends["low"]), F.lit(ends["high"])))
-        held = old.join(new.select(*keys), keys, "left_semi")
-        new.join(held, keys, "left_anti").sortWithinPartitions(*keys).write.mode("append").parquet(path)
-        new.unpersist()
-    else:
-        new.sortWithinPartitions(*keys).write.mode("append").parquet(path)
-
-
 def append_timings(df: DataFrame, path: str) -> None:
     """Every receipt, by day, sorted by time within each file."""
     df.withColumn("day", F.to_date("net_timestamp")).repartition("day").sortWithinPartitions("net_timestamp").write.mode("append").option("compression", "zstd").partitionBy("day").parquet(path)
@@ -133,22 +96,34 @@ def missing_companions(log: DataFrame, companions: tuple[str, ...] = COMPANIONS)
     return ranges.join(log.select("range_start", "range_table"), ["range_start", "range_table"], "left_anti").orderBy("range_start", "range_table")
 
 
-def retention_verify(t: DataFrame, log: DataFrame, after_days: int, now: dt.datetime) -> DataFrame:
-    """For old archived days, whether live rows, logged rows and rows in the file agree, and bytes too.
+def file_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file_path, parquet_rows, file_bytes) of exports, by one job over all of them: no column is read, so that rows are counted by the footers.
 
-    Counting a file reads its footers; a file that cannot be read counts as -1 and so is not verified.
+    One that is not there, is broken, or holds no rows counts as -1. That a path exists is asked of its store first, so
+    that a store out of reach is an error and not a verdict.
     """
+    whole = {qualified(spark, p): p for p in paths if exists(spark, p)}
+    named = spark.createDataFrame([(q, p) for q, p in whole.items()], "folder string, file_path string")
+    every = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    if not whole:
+        return every.select("file_path", F.lit(-1).cast("long").alias("parquet_rows"), F.lit(-1).cast("long").alias("file_bytes"))
+    rows = spark.read.schema("row_inc long").option("ignoreCorruptFiles", True).parquet(*whole.values())
+    # an export is a folder of files, or one file
+    files = rows.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    parent = F.regexp_replace("file", "/[^/]*$", "")
+    each = files.join(F.broadcast(named), (F.col("folder") == parent) | (F.col("folder") == F.col("file"))).groupBy("file_path").agg(F.sum("n").alias("parquet_rows"), F.sum("size").alias("part_bytes"))
+    sizes = spark.createDataFrame([(p, size_of(spark, p)) for p in whole.values()], "file_path string, file_bytes long")
+    found = each.join(sizes, "file_path").select("file_path", "parquet_rows", "file_bytes")
+    return every.join(found, "file_path", "left").na.fill(-1, ["parquet_rows", "file_bytes"])
+
+
+def retention_verify(t: DataFrame, log: DataFrame, after_days: int, now: dt.datetime) -> DataFrame:
+    """For old archived days, whether live rows, logged rows and rows in the file agree, and bytes too; see ``file_rows``."""
     spark = t.sparkSession
     old = log.where((F.col("range_table") == "timings") & (F.col("range_end") <= F.lit(now - dt.timedelta(days=after_days))))
-    found = []
-    for r in old.select("range_start", "file_path").collect():  # a row for each archived day
-        try:
-            found.append((r["range_start"], spark.read.parquet(r["file_path"]).count(), size_of(spark, r["file_path"])))
-        except Exception:
-            found.append((r["range_start"], -1, -1))
-    files = spark.createDataFrame(found, "range_start timestamp, parquet_rows long, file_bytes long")
+    files = file_rows(spark, [r["file_path"] for r in old.select("file_path").distinct().collect()])  # a path for each archived day
     live = t.groupBy(F.date_trunc("day", "net_timestamp").alias("range_start")).agg(F.count(F.lit(1)).alias("db_rows"))
-    out = old.join(live, "range_start", "left").join(files, "range_start", "left").withColumn("db_rows", F.coalesce("db_rows", F.lit(0)))
+    out = old.join(live, "range_start", "left").join(files, "file_path", "left").withColumn("db_rows", F.coalesce("db_rows", F.lit(0)))
     good = (F.col("db_rows") == F.col("row_count")) & (F.col("row_count") == F.col("parquet_rows")) & (F.col("file_size_bytes") == F.col("file_bytes"))
     return out.select("range_start", "range_end", "db_rows", F.col("row_count").alias("log_rows"), "parquet_rows", "file_bytes", "file_path", F.coalesce(good, F.lit(False)).alias("verified"))
 
@@ -195,11 +170,6 @@ def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).csv(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S18."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def read_csv_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Any record that does not fit fails the read."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)

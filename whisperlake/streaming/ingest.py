@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from whisperlake.functions import empty_to_null, message_hash, micros_to_ts, type_code
-from whisperlake.sources.files import insert_if_absent
+from whisperlake.operators.refresh import log_touched
+from whisperlake.sources.keyed import insert_if_absent
+from whisperlake.streaming.metrics import observed, write_metrics
 
 FIELDS = 11
 
@@ -63,20 +67,24 @@ def split_tables(rows: DataFrame, batch: int = 0) -> dict[str, DataFrame]:
 
 
 def ingest(batches: DataFrame, root: str, checkpoint: str, once: bool = True, interval: str = "5 seconds") -> StreamingQuery:
-    """S2 to S5 as one query: receipts are appended by day, keyed tables by insert-if-absent, bad lines set aside.
+    """S2 to S5 as one query: receipts are appended by day, keyed tables by insert-if-absent, bad lines set aside; K6: what each batch observed goes to ``metrics``, the steps that it touched to ``log``.
 
     A batch that is run again after a failure appends its receipts under the same batch number, which replaces the first
     try; the keyed tables are idempotent as they are.
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        rows = decode_lines(df).persist()
+        began = time.monotonic()
+        rows, seen = observed(decode_lines(df))
+        rows = rows.persist()
         parts = split_tables(rows, batch)
         receipts = parts["timings"].withColumn("day", F.to_date("net_timestamp")).withColumn("batch", F.lit(batch))
         receipts.sortWithinPartitions("net_timestamp").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(f"{root}/timings")
         for name, key in (("messages", "hash"), ("metadata", "hash"), ("message_hashes", "outer_hash")):
             insert_if_absent(parts[name], f"{root}/{name}", key)
         rows.where("error is not null").select("line", "error", F.lit(batch).alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{root}/quarantine")
+        log_touched(parts["timings"], batch, f"{root}/log")
+        write_metrics(df.sparkSession, seen, batch, time.monotonic() - began, f"{root}/metrics")
         rows.unpersist()
 
     w = batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
