@@ -230,7 +230,7 @@ def _ranked(found: DataFrame, longest: int, top: int) -> DataFrame:
     for k in range(2, longest + 1):
         own = found.where(F.col("k") == k).select("hp", "hw", "h", F.col("n").alias("a"))
         level = own.join(level.select(F.col("h").alias("hp"), "lang", "words"), "hp").join(last, "hw").where("lang = lang_of")
-        level = level.select("lang", "h", F.concat("words", "more").alias("words"), "a")
+        level = written(level.select("lang", "h", F.concat("words", "more").alias("words"), "a"), "level")  # so that no level's joins are planned again in the next
         every = every.unionByName(level)
     every = written(every.select("lang", F.concat_ws(" ", "words").alias("phrase"), "words", F.size("words").alias("k"), "a"), "frequent")
     candidates = every.where("k > 1")
