@@ -5,8 +5,12 @@ number of its shingles. A window of a document has as many shingles as an item.
 of one size shares a certain number of shingles with items of that size. A table of bits, of one length whatever the
 benchmark's, tells which windows may, and only these get a fingerprint. Fingerprints are cut into 11 blocks. Two within
 21 bits agree in a block but for one bit at most, so an equi join of the windows' blocks with the items' blocks and their
-one-bit neighbours proposes every item within RADIUS of a window, and nothing else does. What is proposed is verified by
-the weighted Jaccard similarity of the shingle multisets. Windows of equal contents are searched once.
+one-bit neighbours proposes every item within RADIUS of a window. What is proposed is verified by the weighted Jaccard
+similarity of the shingle multisets. Windows of equal contents are searched once.
+
+A fingerprint of few distinct shingles lies on the edge of many bits, so that a similar window may be far from it. Items
+of which less than PLAIN of the shingles are distinct are proposed to every candidate window that shares a shingle with
+them, which is exact; ``radius=None`` does so for all items.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from whisperlake.llm.common import held, slot_bits, small_batches, texts
 from whisperlake.llm.wordhash import WordHashes, mix64
 from whisperlake.plans.scratch import written
 
-WIDTH, RADIUS, LEAST = 5, 20, 0.8
+WIDTH, RADIUS, LEAST, PLAIN = 5, 20, 0.8, 0.75
 BLOCKS = [(k * 6, 6) for k in range(9)] + [(54, 5), (59, 5)]  # first bit and length of each
 SLOT_BITS = 26  # of the table of bits, which takes 8 MB
 
@@ -169,19 +173,42 @@ def blocks(prints: DataFrame, neighbours: bool) -> DataFrame:
     return prints.select("*", F.expr(f"inline(array({', '.join(found)}))"))
 
 
-def proposed(contents: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs of the rows of ``contents`` and ``items`` of one width and size whose fingerprints are within RADIUS."""
+def sharing(contents: DataFrame, items: DataFrame, plain: float | None) -> DataFrame:
+    """Pairs of one width and size that share a shingle, of the items that are below ``plain`` in distinct shingles, or of all."""
+
+    def distinct(keep: str, all_sizes: bool):
+        names = {"long": pa.int64(), "int": pa.int32()}
+        shape = {"width": "int", "size": "int", **({"print": "long", "content": "long"} if keep == "content" else {"item": "long"}), "shingle": "long"}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [np.unique(np.frombuffer(x, np.uint64)) for x in b.column("shingles").to_pylist()]
+                if not all_sizes:
+                    found = [x if len(x) < plain * n else x[:0] for x, n in zip(found, b.column("size").to_pylist())]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+                flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at).cast(names[t]) for c, t in shape.items() if c != "shingle"), pa.array(flat)], [*shape])
+
+        return run, _ddl(shape)
+
+    left, right = (df.mapInArrow(*distinct(keep, every)) for df, keep, every in ((contents, "content", True), (items, "item", plain is None)))
+    return left.join(right, ["width", "size", "shingle"]).select("width", "size", "print", "content", "item").distinct()
+
+
+def proposed(contents: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs of the rows of ``contents`` and ``items`` of one width and size whose fingerprints are within ``radius``."""
     keys = ["width", "size", "block", "value"]
     left = blocks(contents.select("width", "size", "print", "content"), False)
     right = blocks(items.select("width", "size", "print", "item"), True).withColumnRenamed("print", "item_print")
-    near = left.join(right, keys).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = left.join(right, keys).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     return near.select("width", "size", "print", "content", "item").distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, radius: int | None = RADIUS) -> DataFrame:
     """(doc_id, text_hash, item_id, start_word, words, similarity): each item's best window, the first of equals, in each document that leaks it.
 
-    ``text_hash`` is the text's xxhash64 (null: that of the empty text). A document with fewer shingles than an item is
+    ``radius`` None finds every window at LEAST or more for certain; the radius misses some, at random, and none of an item
+    of few distinct shingles. ``text_hash`` is the text's xxhash64 (null: that of the empty text). A document with fewer shingles than an item is
     one window for it. A null or empty text has no words and neither leaks nor is leaked. Texts are read whole, whatever
     their length. Repeated rows give repeated results, for items as for documents. Empty tables give no rows; columns
     other than doc_id, item_id and text are not read.
@@ -198,7 +225,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([*(b.column(c) for c in (*key, "item_id", "item")), pa.array(value, pa.float64())], [*key, "item_id", "item", "similarity"])
             yield out.filter(pa.array(np.array(value) >= LEAST, pa.bool_()))
 
-    pairs = proposed(contents, items).join(contents, key).join(items.select("item", "item_id", F.col("shingles").alias("theirs")), "item")
+    some = sharing(contents, items, None) if radius is None else proposed(contents, items, radius).unionByName(sharing(contents, items, PLAIN)).distinct()
+    pairs = some.join(contents, key).join(items.select("item", "item_id", F.col("shingles").alias("theirs")), "item")
     good = pairs.select(*key, "item_id", "item", "shingles", "theirs").mapInArrow(verify, "width int, size int, print long, content long, item_id long, item long, similarity double")
     places = found.select(*key, "row", "doc_id", "text_hash", "start", "words").join(good, key)
     best = places.groupBy("row", "item").agg(F.max_by(F.struct("doc_id", "text_hash", "item_id", "start", "words", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
