@@ -18,7 +18,7 @@ from whisperlake.llm import binary, decontaminate, embeddings, html, packing, pi
 from whisperlake.llm.common import small_batches, table
 from whisperlake.llm.queries import QUERIES, SQL, VOCABULARY
 from whisperlake.llm.tokens import Encoder
-from whisperlake.llm.wordhash import WordHashes
+from whisperlake.llm.wordhash import WordHashes, sentence_bounds
 
 DOCS = "doc_id long, text string, lang string, score string, hash string, text2 string"
 LONG = "word " * 30_000 + "end."
@@ -510,6 +510,31 @@ def test_leaks_come_from_the_blocks(spark, monkeypatch):
 # 7
 
 
+def test_leaks_of_few_distinct_shingles(spark):
+    """Items made of two alternating shingles, windows at the least similarity allowed: none is missed; nor with the exact way, of any item."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choices("abcdefghij", k=8))
+    items, docs = [], []
+    for k in range(60):
+        size = r.choice([10, 20, 40])
+        words = [word(), word()] * (size // 2 + 2) if k % 3 else [word() for _ in range(size + 4)]
+        words = words[: size + 4]
+        items.append((k, " ".join(words)))
+        n = size // 10  # so many shingles are lost at either end, and as many unlike ones gained
+        docs.append((k, " ".join([word() for _ in range(3)] + words[: len(words) - n] + [word() for _ in range(9)])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for i, text in docs:
+        s = WordHashes(text).shingles(5)
+        for j, item in items:
+            t = WordHashes(item).shingles(5)
+            if max((decontaminate.similarity(s[a : a + len(t)], t) for a in range(max(1, len(s) - len(t) + 1))), default=0) >= 0.8:
+                want.add((i, j))
+    assert len(want) == 60
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(d, b, None).collect()} == want
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(d, b).collect()} >= {(i, j) for i, j in want if j % 3}
+
+
 def test_embeddings_sql(spark):
     d = "/root/testdata/sf0.01"
     c = duckdb.connect()
@@ -564,6 +589,24 @@ def test_html_blocks():
     assert html.main_texts([html.blocks(page)], [1]) == ["Big & small\nFirst line\nCafé € x\nin a div"]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>x</p><section class='comments'><article><p>user says</p></article></section>", "x"),
+    ("<div class='post'><h1>T</h1><p>main body</p><div id='comments'><article class='comment'>first!</article></div></div>", "T\nmain body"),
+    ("<p>intro</p><div class='related'><article>teaser</article></div><p>own body</p>", "intro\nown body"),
+    ("<p>intro</p><div class='promo'><article>teaser</article></div><p>own body</p>", "intro\nown body"),
+    ("<article><p>t</p></article><article class='comment'><p>c</p></article>", "t"),
+    ("<article><p>t</p><ul class='comments'><li>c</li></ul><ol class=comment-list><li>d</ol></article>", "t"),
+    ("<article><p>t</p><p class='share'>s</p><p class='advert'>a</p><p>u</p><ul class='nav'><li><a href=x>n</a></li></ul></article>", "t\nu"),
+    ("<article><section class='discussion'><h2>Discussion</h2><p>Results</p></section></article>", "Discussion\nResults"),
+    ("<article><div class='social-history'><p>h</p></div><ul class='related'><li>Kin one<li>Kin two</ul></article>", "h\nKin one\nKin two"),
+    ("<article><p>t</p><div class='related'><div><a href=x>more of this</a></div><b>or</b> <a href=y>more of that</a></div></article>", "t"),
+    ("<div class='promo'><article><p>only</p></article></div>", "only"),
+    ("<article><p class='ad'>a<div class='social'>two words <a>a</a>", "two words a"),
+])
+def test_html_names_and_comments(page, want):
+    assert html.main_texts([html.blocks(page)], [1]) == [want]
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
@@ -775,3 +818,42 @@ def test_pipeline(spark, small, data):
             want = f"{want[:a]}[{kind.upper()}]{want[z:]}"
         assert kept["pii"][i] == want
     assert hold(corpus_pipeline.run(spark, data).collect(), kept["pii"]) > 0.97
+
+
+def test_runs_of_short_sentences(spark):
+    """Three whole sentences of twelve words in all, in two texts, are found once runs of several sentences count from twelve words on."""
+    same = "The cat sat down. Then it ran off. It came back home."
+    docs = spark.createDataFrame([(1, f"One begins like this here. {same} And ends so."), (2, f"Another one begins in its own way. {same} Then other words end it."), (3, "Nothing is shared. Not by this.")], "doc_id long, text string")
+    assert spans.repeated(docs).count() == 0
+    got = {r.doc_id: (r.removed, r.clean_text) for r in spans.remove(docs, short_words=12).collect()}
+    assert got[2] == ([1, 2, 3], "Another one begins in its own way. Then other words end it.") and got[1][0] == got[3][0] == []
+    r = random.Random(3)
+    for _ in range(300):
+        text = " ".join(r.choice(["A b c.", "D e!", "F g h i j k l m n.", "?", "x" * 3 + "."]) for _ in range(r.randint(0, 9)))
+        a, z, h, _ = spans.spans_of(text, 9, 5)
+        sizes = [len(WordHashes(text[x:y])) for x, y in sentence_bounds(text)]
+        for x, y in zip(a.tolist(), z.tolist()):
+            own = sum(sizes[x : y + 1])
+            assert x < y and own >= 5 or own >= 9 or own == sum(sizes) < 9
+
+
+def test_a_long_table_of_numbers():
+    """A million numbers in one text: bounded memory beside the text's own words, and few kinds of segments to score."""
+    import resource
+
+    r = random.Random(4)
+    text = " ".join(str(r.randint(0, 10**6)) for _ in range(200_000)) + " 555-123-4567 end"
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    base, every = pii.spans(text, pii.field())
+    assert ("phone_local", text.index("555-123-4567"), text.index(" end")) in every
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 120  # MB, for a fifth of a million
+
+
+def test_words_that_base_spans_touch():
+    r = random.Random(8)
+    parts = ["4111 1111 1111 1111", "a@b.co", "10.0.0.1", "+1 555 123 4567", "x", "7", "555-123-4567", "password=abc1", "\n"]
+    for _ in range(300):
+        text = " ".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        base = pii.base_spans(text)
+        got = pii.added_spans(text, base, pii.field())
+        assert all(not (s < z and e > a) for _, a, z in got for _, s, e in base)

@@ -27,7 +27,19 @@ from whisperlake.plans.scratch import written
 SLOT_BITS = 27  # of the table that tells spans that may repeat: 16 MB
 
 
-def spans_of(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def short_runs(first: np.ndarray, some: np.ndarray, words: int, least_words: int, short_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last sentence) of the shortest runs of several sentences and of ``short_words`` words at least that begin or end with each, and of the single ones of ``least_words``."""
+    n, low = len(some), first[some]
+    high = np.append(low[1:], words)
+    k = np.arange(n)
+    last = np.maximum(np.searchsorted(high, low + short_words), k + 1)
+    begin = np.minimum(np.searchsorted(low, high - short_words, "right") - 1, k - 1)
+    ahead, behind, alone = last < n, begin >= 0, high - low >= least_words
+    a, z = np.concatenate([k[ahead], begin[behind], k[alone]]), np.concatenate([last[ahead], k[behind], k[alone]])
+    return some[a], some[z]
+
+
+def spans_of(text: str, least_words: int, short_words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first sentence, last sentence, hash, other hash) of every span."""
     bounds = sentence_bounds(text)
     words = WordHashes(text)
@@ -38,7 +50,12 @@ def spans_of(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.nd
     starts = np.array([a for a, _ in bounds])
     first = np.append(np.searchsorted(words.char_starts, starts), len(words))
     some = np.flatnonzero(np.diff(first) > 0)
-    if len(words) < least_words:
+    if short_words is not None:
+        a, z = short_runs(first, some, len(words), least_words, short_words)
+        if len(words) < least_words:
+            a, z = np.append(a, some[0]), np.append(z, some[-1])
+        a, z = np.unique(np.stack([a, z]), axis=1)
+    elif len(words) < least_words:
         a, z = np.array([0]), np.array([len(bounds) - 1])
     else:
         ahead = some[first[some] + least_words <= len(words)]
@@ -52,12 +69,12 @@ def spans_of(text: str, least_words: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return a, z, words.span_hash(first[a], first[z + 1]), np.array(check, np.uint64).view(np.int64)
 
 
-def span_table(docs: DataFrame, least_words: int) -> DataFrame:
+def span_table(docs: DataFrame, least_words: int, short_words: int | None = None) -> DataFrame:
     """(doc_id, first, last, hash, other) of every span of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [spans_of(t, least_words) for t in b.column("text").to_pylist()]
+            out = [spans_of(t, least_words, short_words) for t in b.column("text").to_pylist()]
             n = [len(x[0]) for x in out]
             ids = pa.array(np.repeat(np.arange(len(out)), n))
             a, z, h, c = (np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in range(4))
@@ -89,19 +106,20 @@ def repeats(spans: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     return found.where(F.struct("doc_id", "first") > F.col("origin")).select("doc_id", "first", "last")
 
 
-def repeated(docs: DataFrame, least_words: int = 20) -> DataFrame:
+def repeated(docs: DataFrame, least_words: int = 20, short_words: int | None = None) -> DataFrame:
     """(doc_id, sentences): positions, ascending, of the sentences that a non-first repeated span covers.
 
-    Only documents with such sentences have a row. Null and empty texts and those without words have no spans; rows that repeat a doc_id count as one document's, so their equal positions do not repeat each other;
+    With ``short_words``, runs of two sentences and more count from so many words on, and ``least_words`` is for single
+    ones. Only documents with such sentences have a row. Null and empty texts and those without words have no spans; rows that repeat a doc_id count as one document's, so their equal positions do not repeat each other;
     a null doc_id is left out; an empty table gives no rows; columns other than doc_id and text are not read.
     """
-    later = repeats(written(span_table(docs, least_words), "spans"))
+    later = repeats(written(span_table(docs, least_words, short_words), "spans"))
     return later.groupBy("doc_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("sentences")
     )
 
 
-def remove(docs: DataFrame, least_words: int = 20) -> DataFrame:
+def remove(docs: DataFrame, least_words: int = 20, short_words: int | None = None) -> DataFrame:
     """Every row of ``docs`` with ``clean_text`` and ``removed``, the array of positions that went (empty if none).
 
     Columns of these names in ``docs`` are replaced. A null text counts as empty; rows with a null doc_id lose nothing;
@@ -109,7 +127,7 @@ def remove(docs: DataFrame, least_words: int = 20) -> DataFrame:
     an empty table gives no rows.
     """
     docs = docs.drop("clean_text", "removed")
-    found = repeated(docs, least_words).withColumnRenamed("sentences", "removed")
+    found = repeated(docs, least_words, short_words).withColumnRenamed("sentences", "removed")
     joined = docs.join(found, "doc_id", "left")
     names = [*joined.columns[:-1], "clean_text", "removed"]
 
