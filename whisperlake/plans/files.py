@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -27,6 +30,14 @@ def size_of(spark: SparkSession, path: str) -> int:
 
 
 def qualified(spark: SparkSession, path: str) -> str:
-    """The path as Spark names it, with the scheme of its store."""
+    """The path with the scheme of its store, and one slash behind that, as ``one_slash`` gives it."""
     fs, p = _fs(spark, path)
-    return fs.makeQualified(p).toUri().toString().replace("file:/", "file:///", 1)
+    return re.sub(SLASHES, ":/", fs.makeQualified(p).toUri().toString())
+
+
+#: Behind a scheme, where stores and Spark differ in their number.
+SLASHES = "(?<!/):/+"
+
+
+def one_slash(c: Column) -> Column:
+    return F.regexp_replace(c, SLASHES, ":/")

@@ -8,7 +8,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whisperlake.plans.files import delete, exists, qualified, size_of
+from whisperlake.plans.files import delete, exists, one_slash, qualified, size_of
 from whisperlake.sources.json_array import read_json_array
 from whisperlake.sources.keyed import insert_if_absent, read_keyed
 
@@ -109,7 +109,7 @@ def file_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
         return every.select("file_path", F.lit(-1).cast("long").alias("parquet_rows"), F.lit(-1).cast("long").alias("file_bytes"))
     rows = spark.read.schema("row_inc long").option("ignoreCorruptFiles", True).parquet(*whole.values())
     # an export is a folder of files, or one file
-    files = rows.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    files = rows.groupBy(one_slash(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     parent = F.regexp_replace("file", "/[^/]*$", "")
     each = files.join(F.broadcast(named), (F.col("folder") == parent) | (F.col("folder") == F.col("file"))).groupBy("file_path").agg(F.sum("n").alias("parquet_rows"), F.sum("size").alias("part_bytes"))
     sizes = spark.createDataFrame([(p, size_of(spark, p)) for p in whole.values()], "file_path string, file_bytes long")

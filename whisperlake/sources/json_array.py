@@ -42,7 +42,10 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
     closes = (F.col("quotes_before") + F.col("quotes")) % 2 == 0  # the brace that ends the piece is not in a string
     rows = rows.withColumn("depth", _count(outside, "{[") - _count(outside, "]}") - closes.cast("int")).withColumn("closes", closes)
     rows = _carried(rows.drop("bare", "quotes", "quotes_before"), "depth", "depth_before")
-    ends = F.col("closes") & (F.col("depth_before") + F.col("depth") == 1)
+    # the last piece is what follows the last brace: the end of the array, or an object that was cut off
+    last = rows.groupBy("file").agg(F.max(F.struct("block", "at")).alias("last"))
+    ends = F.col("closes") & (F.col("depth_before") + F.col("depth") == 1) & (F.struct("block", "at") < F.col("last"))
+    rows = rows.join(last, "file")
     rows = _carried(rows.withColumn("ends", ends.cast("int")), "ends", "number")
     whole = rows.groupBy("file", "number").agg(F.max("ends").alias("ended"), F.array_sort(F.collect_list(F.struct("block", "at", "piece"))).alias("parts"))  # an object's pieces
     text = F.concat(F.array_join(F.transform("parts", lambda p: p["piece"]), "}"), F.lit("}"))
@@ -52,6 +55,6 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The objects of an array, or of several files' arrays, with the fields of ``schema``; what an object lacks is null.
 
-    An empty array gives no rows. One that is cut off loses its last object, and text that is no array of objects gives none.
+    An empty array gives no rows, and so does text that is no array of objects. One that is cut off loses its last object.
     """
     return objects(spark, path).select(F.from_json("text", schema).alias("o")).select("o.*")
