@@ -4,7 +4,9 @@ A shard is one row of a Parquet data set: (shard, ids BINARY), the ids of consec
 little-endian, 2 bytes each where the vocabulary allows it and 4 otherwise. The index is a second data set with one row
 for each bucket of hashed keys: displacement seeds, and for each slot a stored fingerprint of its key, the shard, and the
 offset and number of ids there. A lookup hashes a key, goes to its bucket, reads one seed and one slot, compares the
-fingerprint, and slices the shard: constant time, whatever the number of documents.
+fingerprint, and slices the shard: constant time, whatever the number of documents. Buckets lie in folders of a few, and a
+third data set names the file of each range of shards, so that get() opens the folder of a key's bucket and the one file of
+its shard, however many there are.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from whisperlake.plans.scratch import shared_dir, written
 
 #: A shard's number is that of its range of keys, then its place in the range in so many bits.
 PLACE_BITS = 20
+#: Buckets of a folder of the index; ranges of a folder of the file names.
+PART_BUCKETS, PART_RANGES = 16, 4096
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u8"), ("start", "<u8"), ("count", "<u8")])
 
 
@@ -78,7 +82,7 @@ def lookup(keys: np.ndarray, seeds: np.ndarray, slots: np.ndarray) -> np.ndarray
 
 
 class TokenStore:
-    """The two data sets under ``path``; ``buckets`` is the number of index buckets."""
+    """The data sets under ``path``; ``buckets`` is the number of index buckets."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, width: int):
         self.spark, self.path, self.buckets, self.width = spark, path, buckets, width
@@ -89,7 +93,42 @@ class TokenStore:
 
     @property
     def index(self) -> DataFrame:
-        return self.spark.read.schema("bucket long, seeds binary, slots binary").parquet(f"{self.path}/index")
+        return self.spark.read.schema("bucket long, seeds binary, slots binary, part long").parquet(f"{self.path}/index")
+
+    def get(self, keys: list[int]) -> DataFrame:
+        """(doc_id, ids array<long>) of those of some keys that the index holds: only the folders of their buckets, of the names of their ranges, and the files of their shards are read.
+
+        The keys, and their buckets' rows, are held at once: for many, locate() is meant.
+        """
+        asked = self.spark.createDataFrame([(k,) for k in dict.fromkeys(keys) if k is not None], "doc_id long").withColumn("bucket", _bucket(self.buckets)).collect()
+        if not asked:
+            return self.spark.createDataFrame([], "doc_id long, ids array<long>")
+        buckets = sorted({r["bucket"] for r in asked})
+        rows = self.index.where(F.col("part").isin(sorted({b // PART_BUCKETS for b in buckets})) & F.col("bucket").isin(buckets)).collect()
+        held = {r["bucket"]: (np.frombuffer(r["seeds"], np.uint32), np.frombuffer(r["slots"], SLOT)) for r in rows}
+        places: dict[int, list[tuple[int, int, int]]] = {}
+        for r in asked:
+            if r["bucket"] in held:
+                seeds, slots = held[r["bucket"]]
+                at = int(lookup(np.array([r["doc_id"]]), seeds, slots)[0])
+                if at >= 0:
+                    places.setdefault(int(slots["shard"][at]), []).append((r["doc_id"], int(slots["start"][at]), int(slots["count"][at])))
+        if not places:
+            return self.spark.createDataFrame([], "doc_id long, ids array<long>")
+        ranges = sorted({s >> PLACE_BITS for s in places})
+        names = self.spark.read.schema("range long, file string, part long").parquet(f"{self.path}/files")
+        files = [r["file"] for r in names.where(F.col("part").isin(sorted({k // PART_RANGES for k in ranges})) & F.col("range").isin(ranges)).collect()]
+        width = self.width
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for shard, raw in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
+                    own, ids = places.get(shard, []), np.frombuffer(raw, f"<u{width}")
+                    lists = [ids[a : a + n].astype(np.int64) for _, a, n in own]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+        some = self.spark.read.schema("shard long, ids binary").parquet(*(f"{self.path}/ids/{f}" for f in files))
+        return some.where(F.col("shard").isin(sorted(places))).mapInArrow(cut, "doc_id long, ids array<long>")
 
     def locate(self, keys: DataFrame) -> DataFrame:
         """(doc_id, shard, offset, count) for the distinct keys of ``keys`` that the index holds, one row each."""
@@ -179,10 +218,14 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, rang
         slots["print"][at] = (mix(keys, PRINT_SEED) >> np.uint64(32)).astype(np.uint32)
         for name, column in (("shard", "shard"), ("start", "offset"), ("count", "count")):
             slots[name][at] = table.column(column).to_numpy()
-        return pa.table({"bucket": table.column("bucket")[:1], "seeds": pa.array([seeds.tobytes()], pa.binary()), "slots": pa.array([slots.tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part")[:1], "bucket": table.column("bucket")[:1], "seeds": pa.array([seeds.tobytes()], pa.binary()), "slots": pa.array([slots.tobytes()], pa.binary())})
 
     entries = places.mapInArrow(flat, "doc_id long, shard long, offset long, count long").withColumn("bucket", _bucket(buckets))
-    entries.groupBy("bucket").applyInArrow(index, "bucket long, seeds binary, slots binary").write.parquet(f"{path}/index")
+    entries = entries.withColumn("part", F.floor(F.col("bucket") / PART_BUCKETS)).repartition("part")
+    entries.groupBy("part", "bucket").applyInArrow(index, "part long, bucket long, seeds binary, slots binary").write.partitionBy("part").parquet(f"{path}/index")
+    # the file of each range, a range being what one task wrote
+    files = spark.read.schema("shard long").parquet(f"{path}/ids").select(F.shiftright("shard", PLACE_BITS).alias("range"), F.col("_metadata.file_name").alias("file")).distinct()
+    files.withColumn("part", F.floor(F.col("range") / PART_RANGES)).repartition("part").write.partitionBy("part").parquet(f"{path}/files")
     return TokenStore(spark, path, buckets, width)
 
 
@@ -197,13 +240,12 @@ def digests(store: TokenStore, keys: DataFrame) -> DataFrame:
     width = store.width
     sizes = store.shards.select("shard", (F.octet_length("ids") / width).cast("long").alias("n"), F.shiftright("shard", PLACE_BITS).alias("block"))
     sizes = written(sizes, "sizes")
-    # a running sum within ranges, and one over the ranges: a row for each range is gathered
-    total, first = 0, []
-    for r in sizes.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect():
-        first.append((r["block"], total))
-        total += r["n"]
-    inside = F.sum("n").over(Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(store.spark.createDataFrame(first, "block long, before long"), "block").select("shard", (F.col("inside") + F.col("before")).alias("base"))
+    # running sums within ranges, of ranges within PART_RANGES of them, and over these, of which there are few
+    before = lambda order, *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n")).withColumn("part", F.floor(F.col("block") / PART_RANGES))
+    parts = blocks.groupBy("part").agg(F.sum("n").alias("n")).select("part", before("part").alias("of_parts"))
+    blocks = blocks.select("block", "part", before("block", "part").alias("of_blocks")).join(parts, "part")
+    bases = sizes.withColumn("inside", before("shard", "block")).join(blocks, "block").select("shard", (F.col("inside") + F.col("of_blocks") + F.col("of_parts")).alias("base"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
