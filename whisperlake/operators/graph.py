@@ -205,24 +205,28 @@ def graph_diff(nodes: DataFrame, directions: DataFrame) -> DataFrame:
     nobody has matches, be it a known node's info or one of the two directions of a known channel. An unknown channel
     counts as missing without its directions; a copy is stale if it differs in anything but its time of update.
     """
-    names = nodes.select("collector").unionByName(directions.select("collector")).distinct()
-    best = merge_nodes(nodes).select("pubkey", F.col("alias").alias("best"), F.col("last_update").isNotNull().alias("any"))
-    own = nodes.groupBy("collector", "pubkey").agg(F.max(F.struct("last_update", "alias")).alias("x")).select("collector", "pubkey", "x.*").join(best, "pubkey")
+    # each side is dealt once, by node or by channel; what all collectors know stands beside each copy
+    own = nodes.groupBy("collector", "pubkey").agg(F.max(F.struct("last_update", "alias")).alias("x")).select("collector", "pubkey", "x.*")
+    of = Window.partitionBy("pubkey")
+    newest = of.orderBy(F.coalesce("last_update", F.lit(-1)).desc(), "collector")
+    own = own.withColumns({"k": F.row_number().over(newest), "best": F.first("alias").over(newest), "any": F.max("last_update").over(of).isNotNull()})
     has, same = F.col("last_update").isNotNull(), F.col("alias").eqNullSafe(F.col("best"))
     node_counts = own.groupBy("collector").agg(
         F.count(F.lit(1)).alias("known_nodes"), F.count_if(F.col("any") & ~has).alias("lacked"), F.count_if(has & ~same).alias("stale_node_info"),
-        F.count_if(has & same | ~F.col("any")).alias("matching_node_info"))
-    merged, mine = merge_directions(directions), own_directions(directions)
+        F.count_if(has & same | ~F.col("any")).alias("matching_node_info"), F.count_if(F.col("k") == 1).alias("nodes"))
     pay = F.struct("fees_base", "fees_ppm", "cltv")
-    ways = mine.select("collector", "scid", "direction", pay.alias("mine")).join(merged.select("scid", "direction", pay.alias("best")), ["scid", "direction"])
-    ways = ways.join(merged.groupBy("scid").agg(F.count(F.lit(1)).alias("ways")), "scid")
-    # what a collector lacks is the total less what it holds, so that nothing is crossed with the collectors
-    by_channel = ways.groupBy("collector", "scid").agg(F.first("ways").alias("ways"), F.count_if(F.col("mine") != F.col("best")).alias("stale"), F.count_if(F.col("mine") == F.col("best")).alias("same"))
+    mine = own_directions(directions).select("collector", "scid", "direction", "last_update", pay.alias("mine")).repartition("scid")
+    way, channel = Window.partitionBy("scid", "direction"), Window.partitionBy("scid")
+    # a copy is one of a collector, so that its payload breaks no more ties
+    mine = mine.withColumns({"best": F.first("mine").over(way.orderBy(F.desc("last_update"), "collector")), "k": F.row_number().over(channel.orderBy("direction", "collector"))})
+    mine = mine.withColumn("ways", sum(F.max((F.col("direction") == d).cast("int")).over(channel) for d in (1, 2)))
+    by_channel = mine.groupBy("collector", "scid").agg(F.first("ways").alias("ways"), F.count_if(F.col("mine") != F.col("best")).alias("stale"), F.count_if(F.col("mine") == F.col("best")).alias("same"), F.count_if(F.col("k") == 1).alias("first"))
     chan_counts = by_channel.groupBy("collector").agg(
         F.count(F.lit(1)).alias("known_channels"), F.sum(F.col("ways") - F.col("stale") - F.col("same")).alias("missing_directions"), F.sum("stale").alias("stale_directions"),
-        F.sum(F.col("same") + 2 - F.col("ways")).alias("matching_directions"))
-    totals = best.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(merged.agg(F.countDistinct("scid").alias("channels")))
-    every = names.join(node_counts, "collector", "left").join(chan_counts, "collector", "left").na.fill(0).crossJoin(F.broadcast(totals))
+        F.sum(F.col("same") + 2 - F.col("ways")).alias("matching_directions"), F.sum("first").alias("channels"))
+    # what a collector lacks is the total less what it holds, so that nothing is crossed with the collectors
+    counts = node_counts.join(chan_counts, "collector", "full").na.fill(0)
+    every = counts.drop("nodes", "channels").crossJoin(F.broadcast(counts.agg(F.sum("nodes").alias("nodes"), F.sum("channels").alias("channels"))))
     missing = F.col("nodes") - F.col("known_nodes")
     return every.select(
         "collector", "known_nodes", missing.alias("missing_nodes"), (missing + F.col("lacked")).alias("missing_node_info"), "stale_node_info", "matching_node_info",
