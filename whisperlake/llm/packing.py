@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     return texts(docs).mapInArrow(run, PIECES)
 
 
-def sequences(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_tokens: int = 20_000_000, end_id: int = 0) -> DataFrame:
+def sequences(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_tokens: int = 8_000_000, end_id: int = 0) -> DataFrame:
     """(sequence_id, ids, used, pieces): ``capacity`` ids padded with the end id, how many are used, and what they are.
 
     Groups are drawn from a row's number in its scan, never from its key, so that no key makes a large one; each holds
@@ -121,7 +121,7 @@ def sequences(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_toke
     return cut.withColumn("part", part).groupBy("part").applyInArrow(run, f"sequence_id long, ids binary, used long, pieces {PLACES}")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_tokens: int = 20_000_000, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, group_tokens: int = 8_000_000, end_id: int = 0) -> DataFrame:
     """One row for each piece with its sequence_id, offset and checksum, taken from the sequences as they were written."""
     kind = id_type(vocabulary, end_id)
     made = written(sequences(docs, vocabulary, capacity, group_tokens, end_id), "sequences")
