@@ -870,16 +870,17 @@ def test_html_chrome_inside_of_articles(spark, monkeypatch):
     html_of = [f"<body><div class='ad'>{notice if k in (0, 1) else lone if k == 5 else words(r, 9)}</div>{b}</body>" for k, b in enumerate(body)]
     rows = [(k, "http://h.example/a", h) for k, h in enumerate(html_of)] + [(10, "http://other.example/", html_of[2]), (None, "http://none.example/", html_of[0]), (None, "http://none.example/", html_of[2])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    got = {(x.page_id, x.url, x.text.count("\n")): x.text for x in html.extract(df).collect()}
+    got = {(x.page_id, x.url, x.text.count("\n")): x.text for x in html.extract(df, inside=True).collect()}
     on = {k[0]: t for k, t in got.items() if k[1] == "http://h.example/a"}
     assert not any(notice in t for t in on.values()) and all(quote in t for t in on.values()) and lone in on[4]
     assert notice in got[10, "http://other.example/", 4]  # no page there has it as chrome
     assert sum(notice in t for k, t in got.items() if k[0] is None) == 1  # one page alone there has it as chrome
     content = [html.blocks(h) for h in html_of]
-    assert [on[k] for k in range(6)] == html.main_texts(content, [*range(6)])
+    assert [on[k] for k in range(6)] == html.main_texts(content, [*range(6)], True)
+    assert sum(notice in x.text for x in html.extract(df).collect()) == 4  # an article stays whole unless asked otherwise
     none = np.empty(0, np.int64)
     monkeypatch.setattr(html, "host_runs", lambda *_: (none, none, none))  # without the suffix array the notice stays
-    assert sum(notice in t for t in html.main_texts(content, [*range(6)])) == 2
+    assert sum(notice in t for t in html.main_texts(content, [*range(6)], True)) == 2
 
 
 def test_one_key_opens_few_files(spark, small, monkeypatch):
