@@ -349,3 +349,13 @@ def test_small_and_odd_arrays(spark, tmp_path):
     for o in sorted(got, key=lambda o: o.number):
         by[o.file[-6]].append(json.loads(o.text))
     assert by == {"b": [{"x": 1}, {"x": 2, "y": {"z": "}"}}, {}], "c": [{"x": 3}], "d": [{"x": 4}]}
+
+
+def test_listings_of_a_whole_table_have_no_limit(spark, tmp_path):
+    """d4: 1500 receipts of the least hash, more than the operator lists by itself."""
+    from whisperlake.library import QUERIES
+
+    at = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(k, at, k, "view", 1.0) for k in range(1500)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["d4_receipts_for_hash"](spark, str(tmp_path)).collect()
+    assert sorted(r.row_inc for r in got) == list(range(1500))
