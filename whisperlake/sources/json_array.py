@@ -34,7 +34,7 @@ def _count(text: Column, of: str) -> Column:
 
 
 def objects(spark: SparkSession, path: str) -> DataFrame:
-    """(file, number, text): the objects of each file's array, as text, numbered from 0 in their order."""
+    """(file, number, text): the objects of each file's array, or of several arrays behind one another, as text, numbered from 0 in their order."""
     rows = pieces(spark, path).withColumn("bare", F.regexp_replace("piece", r"\\.", ""))
     rows = _carried(rows.withColumn("quotes", _count(F.col("bare"), '"')), "quotes", "quotes_before")
     # every other part between quotes is outside of strings
@@ -49,7 +49,7 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
     rows = _carried(rows.withColumn("ends", ends.cast("int")), "ends", "number")
     whole = rows.groupBy("file", "number").agg(F.max("ends").alias("ended"), F.array_sort(F.collect_list(F.struct("block", "at", "piece"))).alias("parts"))  # an object's pieces
     text = F.concat(F.array_join(F.transform("parts", lambda p: p["piece"]), "}"), F.lit("}"))
-    return whole.where("ended = 1").select("file", "number", F.regexp_replace(text, r"^[\s\[,]+", "").alias("text"))
+    return whole.where("ended = 1").select("file", "number", F.regexp_replace(text, r"^[\s\[\],]+", "").alias("text"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
