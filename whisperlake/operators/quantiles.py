@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 HEAVY, SHARE, CELLS = 1_000_000, 400_000, 4096
 
 
-def percentiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], more: Sequence[Column] = (), sized: tuple[DataFrame, list[str]] | None = None, heavy: int = HEAVY, span: int = 1 << 42) -> DataFrame:
+def percentiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], more: Sequence[Column] = (), sized: tuple[DataFrame, list[str]] | None = None, heavy: int = HEAVY, span: int = 1 << 42, disc: bool = False) -> DataFrame:
     """(keys, n, p array<double>, more): rows of each group, its percentiles of ``value`` (whole numbers), interpolated as
-    ``percentile`` does, and the aggregates ``more``.
+    ``percentile`` does, or with ``disc`` the least values that reach them, and the aggregates ``more``.
 
     Null values do not count and a group of nulls has a null array; null keys are a group. ``sized`` names rows that are
     cheaper to count, at least as many for each group, and some of the keys, or none: groups that agree on these are refined
@@ -29,26 +29,28 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
     """
     keys = list(keys)
     counted, by = sized if sized else (rows, keys)
-    plain = lambda r: r.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(*map(F.lit, probs))).alias("p"), *more)
+    found_at = F.array(*(F.expr(f"percentile_disc({p}) within group (order by `{value}`)") for p in probs)) if disc else F.percentile(value, F.array(*map(F.lit, probs)))
+    plain = lambda r: r.groupBy(*keys).agg(F.count(value).alias("n"), F.when(F.count(value) > 0, found_at.cast("array<double>")).alias("p"), *more)
     sizes = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     most = sizes.agg(F.greatest(F.lit(heavy), F.coalesce(F.sum("_n") / SHARE, F.lit(0))).alias("_most"))
     found = sizes.crossJoin(F.broadcast(most)).where("_n > _most").select(*by, "_n").collect()  # fewer than SHARE rows, mostly none
     if not found:
         return plain(rows)
     if not by:
-        return _refined(rows, keys, value, probs, more, span)
+        return _refined(rows, keys, value, probs, more, span, disc)
     kinds = ", ".join(f"`{k}` {counted.schema[k].dataType.simpleString()}" for k in by)
     large = F.broadcast(rows.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], kinds))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in by]
     light, dense = (rows.alias("r").join(large.alias("h"), same, how) for how in ("left_anti", "left_semi"))
-    return plain(light).unionByName(_refined(dense, keys, value, probs, more, span))
+    return plain(light).unionByName(_refined(dense, keys, value, probs, more, span, disc))
 
 
-def _refined(dense: DataFrame, keys: list[str], value: str, probs: Sequence[float], more: Sequence[Column], span: int) -> DataFrame:
+def _refined(dense: DataFrame, keys: list[str], value: str, probs: Sequence[float], more: Sequence[Column], span: int, disc: bool = False) -> DataFrame:
     ends = dense.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).cast("long").alias("low"), F.max(value).cast("long").alias("high"))
     rows = dense.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("_v"))
     # (keys, n, rank, low, before): a rank's cell begins at low, and so many values are less
-    at = F.transform(F.array(*map(F.lit, probs)), lambda p: (p * (F.col("n") - 1)).cast("double"))
+    place = (lambda p: F.greatest(F.ceil(p * F.col("n")), F.lit(1)) - 1) if disc else (lambda p: p * (F.col("n") - 1))
+    at = F.transform(F.array(*map(F.lit, probs)), lambda p: place(p).cast("double"))
     ranks = F.array_distinct(F.flatten(F.transform(at, lambda x: F.array(F.floor(x).cast("long"), F.ceil(x).cast("long")))))
     fits = F.when(F.col("high") - F.col("low") < F.lit(span), F.col("low")).otherwise(F.raise_error(F.lit("values of a group lie further apart than span")).cast("long"))
     want = ends.where("n > 0").select(*keys, "n", F.explode(ranks).alias("rank"), fits.alias("low"), F.lit(0).cast("long").alias("before"))
