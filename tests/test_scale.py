@@ -397,7 +397,10 @@ def test_arrays_behind_one_another(spark, tmp_path):
 
 def test_channel_ids_of_large_order_keys(spark, tmp_path):
     """Keys beyond 2**23, whose ids fill 64 bits, and beyond 2**24; every query that reads the ids gives each channel once."""
-    from whisperlake.jobs_library import QUERIES  # with those of the library
+    from whisperlake import jobs_library
+    from whisperlake.library import QUERIES
+
+    assert jobs_library  # it adds its queries
 
     keys = [7, 2**23 - 1, 2**23, 9_000_001, 2**24 + 7]
     made = spark.createDataFrame([(k, 5, "F" if k % 2 else "O", 100.0 + k % 1000) for k in keys], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
