@@ -415,3 +415,10 @@ def test_channel_ids_of_large_order_keys(spark, tmp_path):
     assert got == {(k & 0xFFFFFF) << 40 | ((k >> 24) * 1000 + 5) << 16 | k % 2: ("spent", None) if k % 2 else ("kept", 101 + k % 1000) for k in keys}
     for name in ("g10_edge_scope", "g4_box_cox", "g5_log_standardize"):
         assert len({x.scid for x in run(name)}) == len(keys)
+
+
+def test_graph_diff_deals_by_the_number_of_rows(spark):
+    """So many rows to a partition, all of a key in one."""
+    dealt = graph._dealt(spark.range(1000).select((F.col("id") % 100).alias("k")), "k", 100)
+    assert dealt.rdd.getNumPartitions() == 11
+    assert dealt.select("k", F.spark_partition_id().alias("p")).distinct().count() == 100

@@ -198,6 +198,11 @@ def own_directions(views: DataFrame) -> DataFrame:
     return views.groupBy("collector", "scid", "direction").agg(F.max(key).alias("x")).select("collector", "scid", "direction", "x.*")
 
 
+def _dealt(rows: DataFrame, key: str, most: int = 250_000) -> DataFrame:
+    """Dealt by ``key`` into so many partitions that one has some ``most`` rows, however many there are; these are counted first."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // most + 1), key)
+
+
 def graph_diff(nodes: DataFrame, directions: DataFrame) -> DataFrame:
     """Ten counters for each collector against the merged view.
 
@@ -205,8 +210,8 @@ def graph_diff(nodes: DataFrame, directions: DataFrame) -> DataFrame:
     nobody has matches, be it a known node's info or one of the two directions of a known channel. An unknown channel
     counts as missing without its directions; a copy is stale if it differs in anything but its time of update.
     """
-    # each side is dealt once, by node or by channel; what all collectors know stands beside each copy
-    own = nodes.groupBy("collector", "pubkey").agg(F.max(F.struct("last_update", "alias")).alias("x")).select("collector", "pubkey", "x.*")
+    # each side is dealt once, by node or by channel, so that what a task sorts doesn't grow; what all collectors know stands beside each copy
+    own = _dealt(nodes.select("collector", "pubkey", "last_update", "alias"), "pubkey").groupBy("collector", "pubkey").agg(F.max(F.struct("last_update", "alias")).alias("x")).select("collector", "pubkey", "x.*")
     of = Window.partitionBy("pubkey")
     newest = of.orderBy(F.coalesce("last_update", F.lit(-1)).desc(), "collector")
     own = own.withColumns({"k": F.row_number().over(newest), "best": F.first("alias").over(newest), "any": F.max("last_update").over(of).isNotNull()})
@@ -215,7 +220,8 @@ def graph_diff(nodes: DataFrame, directions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("known_nodes"), F.count_if(F.col("any") & ~has).alias("lacked"), F.count_if(has & ~same).alias("stale_node_info"),
         F.count_if(has & same | ~F.col("any")).alias("matching_node_info"), F.count_if(F.col("k") == 1).alias("nodes"))
     pay = F.struct("fees_base", "fees_ppm", "cltv")
-    mine = own_directions(directions).select("collector", "scid", "direction", "last_update", pay.alias("mine")).repartition("scid")
+    views = _dealt(directions.select("collector", "scid", "direction", "last_update", "fees_base", "fees_ppm", "cltv"), "scid")
+    mine = own_directions(views).select("collector", "scid", "direction", "last_update", pay.alias("mine"))
     way, channel = Window.partitionBy("scid", "direction"), Window.partitionBy("scid")
     # a copy is one of a collector, so that its payload breaks no more ties
     mine = mine.withColumns({"best": F.first("mine").over(way.orderBy(F.desc("last_update"), "collector")), "k": F.row_number().over(channel.orderBy("direction", "collector"))})
