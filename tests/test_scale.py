@@ -8,11 +8,14 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from whisperlake import library, streams_library
 from whisperlake.fixtures import Views
 from whisperlake.operators import attribution, bitmaps, distances, graph, legacy, propagation, quantiles, refresh
 from whisperlake.sources import files, json_array, keyed
 from whisperlake.streaming import ingest, metrics, state
 
+assert streams_library  # it adds its queries to the library's
+
 AT = dt.datetime(2024, 1, 1)
 
 
@@ -199,6 +202,37 @@ def test_neighbourhood_and_diameter(spark):
     assert distances.diameter(edges.limit(0)).count() == distances.neighbourhood(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [True, False])
+def test_exact_neighbourhood(spark, monkeypatch, held):
+    """More sources than a task takes at once, several components, and the form for graphs that tasks cannot hold."""
+    if not held:
+        monkeypatch.setattr(distances, "HELD", 0)
+        monkeypatch.setattr(distances, "PAIRS", 6_000)
+    pairs = made_graph(2, 700 if held else 60, 1900 if held else 150, 40) + [("x", "y"), ("y", "z"), ("x", "x"), ("y", "x")] + [(f"p{k}", f"q{k}") for k in range(10)]
+    far = plain_distances(pairs)
+    edges = spark.createDataFrame(pairs + [(None, "x")], "src string, dst string")
+    top = max(d for own in far.values() for d in own.values())
+    want = [sum(sum(d <= k for d in own.values()) for own in far.values()) for k in range(top + 1)]
+    assert [(r.hops, r.pairs) for r in distances.exact_neighbourhood(edges).orderBy("hops").collect()] == list(enumerate(want))
+    main = max(far.values(), key=len)
+    assert distances.diameter(edges).first()[:2] == (len(main), max(max(far[v].values()) for v in main))
+    assert distances.exact_neighbourhood(edges.limit(0)).count() == 0
+
+
+def chained(spark, path, n):
+    """Orders whose links are a chain of ``n`` vertices."""
+    spark.range(n - 1).select(F.col("id").alias("o_custkey"), (F.col("id") * 200).alias("o_orderkey")).write.parquet(f"{path}/orders.parquet")
+    return str(path)
+
+
+def test_diameter_of_many_hops_is_few_jobs(spark, monkeypatch, tmp_path):
+    """A table for each hop of each sweep took hundreds."""
+    names, plain = [], distances.written
+    monkeypatch.setattr(distances, "written", lambda df, name, *more: names.append(name) or plain(df, name, *more))
+    assert [tuple(r) for r in library.QUERIES["g7_diameter"](spark, chained(spark, tmp_path, 400)).collect()] == [(400, 399)]
+    assert len(names) < 20
+
+
 def test_sketched_neighbourhood_is_close(spark):
     """Balls of up to 3000 vertices in sketches of 256 registers."""
     r = random.Random(5)

@@ -1,6 +1,8 @@
-"""Distances over a whole graph: how many pairs lie within so many hops (HyperBall), and the exact diameter.
+"""Distances over a whole graph: how many pairs lie within so many hops, exactly and by sketches (HyperBall), and the exact diameter.
 
-HyperBall keeps a sketch of the vertices within t hops of each vertex; the ball of t + 1 hops is the union of the
+The exact number is quadratic by nature: a search from every vertex. Sources are dealt to tasks, which search from 512 at a
+time, a bit for each, over a graph of at most ``HELD`` edges that all tasks share; larger graphs are searched by joins, a
+bounded batch of sources at a time. HyperBall keeps a sketch of the vertices within t hops of each vertex; the ball of t + 1 hops is the union of the
 neighbours' balls, which is one join along the edges and one merge of sketches. The diameter is searched by sweeps, each
 the distances from one vertex: they bound every vertex's eccentricity from both sides, and end the search as soon as no
 vertex can lie further from any other than two that were found.
@@ -8,10 +10,25 @@ vertex can lie further from any other than two that were found.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from whisperlake.plans.scratch import written
+from whisperlake.plans.scratch import ship_package, written
+
+#: So many edges of 8 bytes a graph may have to be shared with all tasks (32 MB)
+HELD = 1 << 22
+#: So many pairs of a source and a vertex are kept at once where a graph is searched by joins
+PAIRS = 100_000_000
+#: A search in a task is from 64 * WORDS sources at once
+WORDS = 8
+#: So many sweeps of the search for the diameter go side by side
+SIDE = 8
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -42,6 +59,135 @@ def neighbourhood(edges: DataFrame, lg: int = 12, most: int = 256) -> DataFrame:
     return spark.createDataFrame([(k, int(n)) for k, n in enumerate(sizes) if n], "hops long, pairs long")
 
 
+class Graph:
+    """Edges of numbered vertices, each once, as lists of neighbours in an order in which neighbours are close: by component, then by hops from its first vertex."""
+
+    def __init__(self, ends: np.ndarray, others: np.ndarray):
+        self.size = int(max(ends.max(), others.max())) + 1
+        self._arrange(ends, others)
+        part = self._parts()
+        depth = np.zeros(self.size, np.int32)
+        for k, reached in enumerate(self.layers(np.flatnonzero(part == np.arange(self.size)))):
+            depth[reached] = k
+        #: the vertex at each place
+        self.vertex = np.lexsort((depth, part)).astype(np.int32)
+        self.place = np.empty(self.size, np.int32)
+        self.place[self.vertex] = np.arange(self.size, dtype=np.int32)
+        self._arrange(self.place[ends], self.place[others])
+
+    def _arrange(self, ends: np.ndarray, others: np.ndarray) -> None:
+        a, b = np.concatenate([ends, others]), np.concatenate([others, ends])
+        self.near = b[np.lexsort((b, a))]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=self.size))])
+
+    def _parts(self) -> np.ndarray:
+        """The least vertex of each one's component."""
+        low = np.arange(self.size)
+        while True:
+            least = np.minimum(low, np.minimum.reduceat(low[self.near], self.start[:-1]))
+            new = low.copy()
+            np.minimum.at(new, low, least)
+            new = np.minimum(new, least)
+            while (new != new[new]).any():
+                new = new[new]
+            if (new == low).all():
+                return low
+            low = new
+
+    def slots(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the neighbours of these vertices stand in ``near``, and where each one's begin among them."""
+        counts = self.start[of + 1] - self.start[of]
+        first = np.cumsum(counts) - counts
+        return np.repeat(self.start[of] - first, counts) + np.arange(counts.sum()), first
+
+    def layers(self, sources: np.ndarray) -> Iterator[np.ndarray]:
+        """The vertices 0, 1, 2, ... hops from the nearest of ``sources``."""
+        seen, front = np.zeros(self.size, bool), sources
+        while len(front):
+            seen[front] = True
+            yield front
+            found = self.near[self.slots(front)[0]]
+            front = np.unique(found[~seen[found]])
+
+    def pairs(self, first: int, words: int = WORDS) -> list[int]:
+        """How many vertices lie 0, 1, 2, ... hops from the 64 * ``words`` sources from place ``first`` on."""
+        sources = np.arange(first, min(first + 64 * words, self.size))
+        at = sources - first
+        seen = np.zeros((self.size, words), np.uint64)
+        seen[sources, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
+        now, marked, every = seen.copy(), np.zeros(self.size, bool), np.bitwise_or.reduce(seen)
+        front, counts = sources, [len(sources)]
+        while True:
+            marked[self.near[self.slots(front)[0]]] = True
+            maybe = np.flatnonzero(marked)
+            marked[maybe] = False
+            maybe = maybe[(seen[maybe] != every).any(axis=1)]
+            if not len(maybe):
+                return counts
+            where, begin = self.slots(maybe)
+            new = np.bitwise_or.reduceat(now[self.near[where]], begin, axis=0) & ~seen[maybe]
+            some = new.any(axis=1)
+            now[front] = 0
+            front, new = maybe[some], new[some]
+            if not len(front):
+                return counts
+            now[front] = new
+            seen[front] |= new
+            counts.append(int(np.bitwise_count(new).sum()))
+
+
+def _held(links: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(pubkey, id) and the edges by id, shared with all tasks; for ``links`` as of ``both_ways`` with at most ``HELD`` edges."""
+    spark = links.sparkSession
+    ship_package(spark)
+    names = links.select(F.col("src").alias("pubkey")).distinct().withColumn("id", (F.row_number().over(Window.orderBy("pubkey")) - 1).cast("int"))
+    names = written(names, "names")
+    ids = lambda c: names.select(F.col("pubkey").alias(c), F.col("id").alias(f"{c}_id"))
+    rows = links.where("src < dst").join(ids("src"), "src").join(ids("dst"), "dst").select("src_id", "dst_id").toArrow()
+    return names, spark.sparkContext.broadcast((rows["src_id"].to_numpy(), rows["dst_id"].to_numpy()))
+
+
+def exact_neighbourhood(edges: DataFrame) -> DataFrame:
+    """(hops, pairs): how many ordered pairs of vertices, each with itself too, lie within so many hops; up to where the number stops growing.
+
+    A graph without edges has no rows.
+    """
+    spark, links = edges.sparkSession, written(both_ways(edges), "links")
+    total = links.count() // 2
+    if total == 0:
+        return spark.createDataFrame([], "hops long, pairs long")
+    if total > HELD:
+        counts = _pairs_by_joins(links)
+    else:
+        names, shared = _held(links)
+        groups = -(-names.count() // (64 * WORDS))
+        tasks = min(groups, 4 * spark.sparkContext.defaultParallelism)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Graph(*shared.value)
+            for batch in batches:
+                for group in batch["id"].to_pylist():
+                    counts = found.pairs(64 * WORDS * group)
+                    yield pa.RecordBatch.from_pydict({"hops": list(range(len(counts))), "pairs": counts})
+
+        dealt = spark.range(0, groups, 1, tasks)
+        counts = dealt.mapInArrow(run, "hops long, pairs long").groupBy("hops").agg(F.sum("pairs").alias("pairs"))
+    return counts.select("hops", F.sum("pairs").over(Window.orderBy("hops")).alias("pairs"))  # a row for each hop
+
+
+def _pairs_by_joins(links: DataFrame) -> DataFrame:
+    """(hops, pairs) at just so many hops; the sources in batches of some ``PAIRS`` pairs, a written table for each hop of a batch."""
+    vertices = written(links.select(F.col("src").alias("pubkey")).distinct(), "vertices")
+    size = vertices.count()
+    batches = -(-size * size // PAIRS)
+    counts: dict[int, int] = {}
+    for batch in range(batches):
+        own = vertices.where(F.pmod(F.xxhash64("pubkey"), F.lit(batches)) == batch)
+        for k, front in enumerate(_fronts(links, own)):
+            counts[k] = counts.get(k, 0) + front.count()
+    return links.sparkSession.createDataFrame(sorted(counts.items()), "hops long, pairs long")
+
+
 def distance_summary(near: DataFrame, share: float = 0.9) -> DataFrame:
     """One row from (hops, pairs): pairs that reach each other, their mean distance, and the hops within which ``share`` of them lie, interpolated."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("hops", "pairs"))), lambda x: x["pairs"].cast("double"))  # a row for each hop
@@ -55,27 +201,58 @@ def distance_summary(near: DataFrame, share: float = 0.9) -> DataFrame:
     return one.select(F.col("all").cast("long").alias("pairs"), F.try_divide(total, F.col("all")).alias("mean_hops"), effective.alias("effective_diameter"))
 
 
+def _fronts(edges: DataFrame, sources: DataFrame) -> Iterator[DataFrame]:
+    """For 0, 1, 2, ... hops the written (source, pubkey) just so many hops apart; ``edges`` as of ``both_ways``."""
+    front, before = written(sources.select(F.col("pubkey").alias("source"), "pubkey"), "hops"), None
+    while not front.isEmpty():
+        yield front
+        step = front.join(edges, front.pubkey == edges.src).select("source", F.col("dst").alias("pubkey")).distinct()
+        # a neighbour is one hop nearer, as near, or new: only the last two tables can hold it
+        known = front if before is None else front.unionByName(before)
+        front, before = written(step.join(known, ["source", "pubkey"], "left_anti"), "hops"), front
+
+
 def hops_from(edges: DataFrame, source: str, most: int = 100_000) -> DataFrame:
     """(pubkey, hops) of all that ``source`` reaches; ``edges`` as of ``both_ways``; a written table for each hop, which is joined along the edges."""
-    front = written(edges.where(F.col("src") == source).select(F.col("src").alias("pubkey"), F.lit(0).alias("hops")).distinct(), "hops")
-    seen, before = front, None
-    for k in range(1, most + 1):
-        step = front.join(edges, front.pubkey == edges.src).select(F.col("dst").alias("pubkey")).distinct()
-        # a neighbour is one hop nearer, as near, or new: only the last two tables can hold it
-        known = front.select("pubkey") if before is None else front.select("pubkey").unionByName(before.select("pubkey"))
-        new = written(step.join(known, "pubkey", "left_anti").select("pubkey", F.lit(k).alias("hops")), "hops")
-        if new.isEmpty():
-            return seen
-        seen, before, front = seen.unionByName(new), front, new
-    raise RuntimeError(f"vertices lie beyond {most} hops")
+    seen = []
+    for k, front in enumerate(_fronts(edges, edges.where(F.col("src") == source).select(F.col("src").alias("pubkey")).distinct())):
+        if k > most:
+            raise RuntimeError(f"vertices lie beyond {most} hops")
+        seen.append(front.select("pubkey", F.lit(k).alias("hops")))
+    return reduce(DataFrame.unionByName, seen)
+
+
+def _swept(found: DataFrame) -> DataFrame:
+    """(pubkey, low, high): bounds of eccentricities from (source, e, pubkey, hops), e being the source's own."""
+    h, e = F.col("hops"), F.col("e")
+    return found.groupBy("pubkey").agg(F.max(F.greatest(h, e - h)).alias("near"), F.min(e + h).alias("far"))
+
+
+def _sweeps_held(names: DataFrame, shared: Broadcast, sources: list[str]) -> DataFrame:
+    """(source, e, pubkey, hops) of what each source reaches, a task for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
+        for batch in batches:
+            for source in batch["id"].to_pylist():
+                graph = graph or Graph(*shared.value)
+                layers = list(graph.layers(graph.place[[source]]))
+                for start in range(0, len(layers), 1024):
+                    some = layers[start : start + 1024]
+                    reached = np.concatenate(some)
+                    hops = np.repeat(np.arange(start, start + len(some), dtype=np.int32), [len(x) for x in some])
+                    yield pa.RecordBatch.from_pydict({"source": np.full(len(hops), source, np.int32), "e": np.full(len(hops), len(layers) - 1, np.int32), "id": graph.vertex[reached], "hops": hops})
+
+    own = names.where(F.col("pubkey").isin(sources)).select("id").repartition(len(sources), "id")
+    return own.mapInArrow(run, "source int, e int, id int, hops int").join(names, "id").drop("id")
 
 
 def diameter(edges: DataFrame, most_sweeps: int = 1000) -> DataFrame:
     """One row on the largest component (ties: the least name): its vertices, exact diameter, and the sweeps that it took.
 
-    After a sweep from v of eccentricity e, a vertex d hops away has one from max(d, e - d) to e + d. The next sweep goes
-    in turn from the vertex that may be the most eccentric and from the one that may be the least (ties: more edges, then
-    the least name). A graph without edges has no row.
+    After a sweep from v of eccentricity e, a vertex d hops away has one from max(d, e - d) to e + d. The next sweeps go
+    from the vertices that may be the most eccentric and from those that may be the least (ties: more edges, then the
+    least name), side by side if tasks can hold the graph, else in turn. A graph without edges has no row.
     """
     from whisperlake.operators.components import components
 
@@ -87,18 +264,23 @@ def diameter(edges: DataFrame, most_sweeps: int = 1000) -> DataFrame:
         return spark.createDataFrame([], shape)
     own = named.where(F.col("component") == main["component"]).select(F.col("node").alias("src"))
     links = written(links.join(own, "src", "left_semi"), "links")
+    held = _held(links) if links.count() // 2 <= HELD else None
     bounds = links.groupBy(F.col("src").alias("pubkey")).agg(F.count(F.lit(1)).alias("degree")).select("pubkey", "degree", F.lit(0).alias("low"), F.lit(1 << 30).alias("high"))
-    bounds, best = written(bounds, "bounds"), 0
-    for sweep in range(1, most_sweeps + 1):
-        wide = [F.desc("high")] if sweep % 2 else [F.asc("low")]
-        start = bounds.where(F.col("high") > best).orderBy(*wide, F.desc("degree"), "pubkey").first()
-        if start is None:
-            return spark.createDataFrame([(main["n"], best, sweep - 1)], shape)
-        far = written(hops_from(links, start["pubkey"]), "sweep")
-        e = far.agg(F.max("hops")).first()[0]
-        low = F.greatest("low", "hops", F.lit(e) - F.col("hops"))
-        tight = bounds.join(far, "pubkey").select("pubkey", "degree", low.alias("low"), F.least("high", F.lit(e) + F.col("hops")).alias("high"))
-        tight = tight.withColumn("high", F.when(F.col("pubkey") == start["pubkey"], F.lit(e)).otherwise(F.col("high")))
+    bounds, best, sweeps, turn = written(bounds, "bounds"), 0, 0, 0
+    while sweeps < most_sweeps:
+        able, k = bounds.where(F.col("high") > best), SIDE // 2 if held and sweeps else 1
+        wide, narrow = (able.orderBy(by, F.desc("degree"), "pubkey").limit(k).select("pubkey") for by in (F.desc("high"), F.asc("low")))
+        chosen = wide.unionByName(narrow) if k > 1 else narrow if turn % 2 else wide
+        starts = sorted({r["pubkey"] for r in chosen.collect()})
+        if not starts:
+            return spark.createDataFrame([(main["n"], best, sweeps)], shape)
+        if held:
+            swept = _sweeps_held(*held, starts)
+        else:
+            far = written(hops_from(links, starts[0]), "sweep")
+            swept = far.select(F.lit(starts[0]).alias("source"), F.lit(far.agg(F.max("hops")).first()[0]).alias("e"), "pubkey", "hops")
+        tight = bounds.join(_swept(swept), "pubkey").select("pubkey", "degree", F.greatest("low", "near").alias("low"), F.least("high", "far").alias("high"))
         bounds = written(tight, "bounds")
         best = max(best, bounds.agg(F.max("low")).first()[0])
+        sweeps, turn = sweeps + len(starts), turn + 1
     raise RuntimeError(f"the diameter is not settled after {most_sweeps} sweeps")
