@@ -239,6 +239,12 @@ def test_neighbourhood_of_more_than_256_hops(spark, tmp_path):
     assert [tuple(r) for r in got] == [(t, 300 + 2 * sum(300 - k for k in range(1, t + 1))) for t in range(300)]
 
 
+def test_distances_of_more_than_256_hops(spark, tmp_path):
+    """This was an error."""
+    got = library.QUERIES["g7_distances"](spark, chained(spark, tmp_path, 300)).collect()
+    assert [tuple(r) for r in got] == [(300 * 299, round(301 / 3, 6))]
+
+
 def test_sketched_neighbourhood_is_close(spark):
     """Balls of up to 3000 vertices in sketches of 256 registers."""
     r = random.Random(5)
