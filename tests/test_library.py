@@ -96,6 +96,31 @@ def test_views_hold_every_row(spark, duck, data):
         assert duck.execute(with_views(f"SELECT count(*) FROM {view}")).fetchone()[0] == n
 
 
+def test_components_take_less_each_round(spark, monkeypatch):
+    """Stars kept every node in every round; nodes without a name and those with loops only are told apart from others."""
+    from whisperlake.operators import components, graph
+
+    rows, plain = [], components.written
+
+    def counted(df, name, *more):
+        found = plain(df, name, *more)
+        rows.append((name, found.count()))
+        return found
+
+    monkeypatch.setattr(components, "written", counted)
+    pairs = [(f"c{k}", f"c{k + 1}") for k in range(999)] + [("x", "y"), ("y", "x"), ("z", "z"), ("w", None)]
+    edges = spark.createDataFrame([(k, a, b, 1) for k, (a, b) in enumerate(pairs)], "scid long, src string, dst string, capacity long")
+    got = graph.graph_stats(edges).first()
+    assert (got.edges, got.nodes, got.components, got.largest) == (1003, 1005, 4, 1000)
+    found = [n for name, n in rows if name == "edges"]
+    assert sum(found) < 2 * found[0] and found[-1] == 0
+    named = {(r.pubkey, r.component, r["size"]) for r in graph.components_of(edges).collect()}
+    assert named == {(f"c{k}", "c0", 1000) for k in range(1000)} | {("x", "x", 2), ("y", "x", 2), ("z", "z", 1), ("w", "w", 1)}
+    got = graph.graph_stats(edges.where("src = 'z' or src is null")).first()
+    assert (got.nodes, got.components, got.largest) == (1, 1, 1)
+    assert graph.graph_stats(edges.limit(0)).first()[:2] == (0, 0)
+
+
 def test_components_against_brute_force(spark):
     """The whole channel view is one component, so several are tried by hand."""
     from whisperlake.operators import graph

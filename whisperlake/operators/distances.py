@@ -19,6 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from whisperlake.operators.components import labels
 from whisperlake.plans.scratch import ship_package, written
 
 #: So many edges of 8 bytes a graph may have to be shared with all tasks (32 MB)
@@ -254,15 +255,13 @@ def diameter(edges: DataFrame, most_sweeps: int = 1000) -> DataFrame:
     from the vertices that may be the most eccentric and from those that may be the least (ties: more edges, then the
     least name), side by side if tasks can hold the graph, else in turn. A graph without edges has no row.
     """
-    from whisperlake.operators.components import components
-
     spark, links = edges.sparkSession, written(both_ways(edges), "links")
     shape = "vertices long, diameter long, sweeps long"
-    named = written(components(links), "classes")
-    main = named.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").first()
+    named = written(labels(links), "classes")
+    main = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).orderBy(F.desc("n"), "least").first()
     if main is None:
         return spark.createDataFrame([], shape)
-    own = named.where(F.col("component") == main["component"]).select(F.col("node").alias("src"))
+    own = named.where(F.col("label") == main["label"]).select(F.col("node").alias("src"))
     links = written(links.join(own, "src", "left_semi"), "links")
     held = _held(links) if links.count() // 2 <= HELD else None
     bounds = links.groupBy(F.col("src").alias("pubkey")).agg(F.count(F.lit(1)).alias("degree")).select("pubkey", "degree", F.lit(0).alias("low"), F.lit(1 << 30).alias("high"))

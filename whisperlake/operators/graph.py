@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whisperlake.functions import age_days, explode_sockets, has_sockets, ip_reachability, net_type, recency_bin, scid_block, scid_out, scid_tx
-from whisperlake.operators.components import components
+from whisperlake.operators.components import labels
 
 
 def build_graph(channels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,17 +71,21 @@ def log_standardize(df: DataFrame, column: str, plus_one: bool = False) -> DataF
 
 def components_of(edges: DataFrame) -> DataFrame:
     """(pubkey, component, size): component is the least pubkey reachable."""
-    found = components(edges.where("src != dst"))
-    loops = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(found, "node", "left_anti").withColumn("component", F.col("node"))
-    every = found.unionByName(loops)
-    return every.join(every.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("node").alias("pubkey"), "component", "size")
+    found = labels(edges)
+    sizes = found.groupBy("label").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("pubkey")).where("pubkey is not null").distinct()
+    loops = ends.join(found.select(F.col("node").alias("pubkey")), "pubkey", "left_anti").select("pubkey", F.col("pubkey").alias("component"), F.lit(1).cast("long").alias("size"))
+    return found.join(sizes, "label").select(F.col("node").alias("pubkey"), "component", "size").unionByName(loops)
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
     """One row on size, degrees and components."""
-    degree = _ends(edges).groupBy("pubkey").agg(F.count(F.lit(1)).alias("degree")).agg(F.count(F.lit(1)).alias("nodes"), F.avg("degree").alias("mean_degree"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.percentile("degree", 0.5).alias("median_degree"))
-    parts = components_of(edges).agg(F.countDistinct("component").alias("components"), F.max("size").alias("largest"))
-    return edges.agg(F.count(F.lit(1)).alias("edges")).crossJoin(degree).crossJoin(parts)
+    degree = _ends(edges).groupBy("pubkey").agg(F.count(F.lit(1)).alias("degree")).agg(F.count(F.lit(1)).alias("nodes"), F.avg("degree").alias("mean_degree"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.percentile("degree", 0.5).alias("median_degree"), F.count("pubkey").alias("named"))
+    found = labels(edges).groupBy("label").agg(F.count(F.lit(1)).alias("size")).agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("linked"), F.max("size").alias("largest"))
+    # a node that has only loops is a component of its own
+    alone = F.col("named") - F.coalesce("linked", F.lit(0))
+    counts = degree.crossJoin(found).withColumns({"components": F.col("parts") + alone, "largest": F.coalesce("largest", F.when(F.col("named") > 0, F.lit(1)).cast("long"))})
+    return edges.agg(F.count(F.lit(1)).alias("edges")).crossJoin(counts.select("nodes", "mean_degree", "min_degree", "max_degree", "median_degree", "components", "largest"))
 
 
 def hops_from(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
