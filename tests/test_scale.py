@@ -207,8 +207,8 @@ def test_exact_neighbourhood(spark, monkeypatch, held):
     """More sources than a task takes at once, several components, and the form for graphs that tasks cannot hold."""
     if not held:
         monkeypatch.setattr(distances, "HELD", 0)
-        monkeypatch.setattr(distances, "PAIRS", 6_000)
-    pairs = made_graph(2, 700 if held else 60, 1900 if held else 150, 40) + [("x", "y"), ("y", "z"), ("x", "x"), ("y", "x")] + [(f"p{k}", f"q{k}") for k in range(10)]
+        monkeypatch.setattr(distances, "PAIRS", 20_000)
+    pairs = made_graph(2, 700 if held else 200, 1900 if held else 500, 40) + [("x", "y"), ("y", "z"), ("x", "x"), ("y", "x")] + [(f"p{k}", f"q{k}") for k in range(20)]
     far = plain_distances(pairs)
     edges = spark.createDataFrame(pairs + [(None, "x")], "src string, dst string")
     top = max(d for own in far.values() for d in own.values())
