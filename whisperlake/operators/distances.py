@@ -1,7 +1,7 @@
 """Distances over a whole graph: how many pairs lie within so many hops, exactly and by sketches (HyperBall), and the exact diameter.
 
-The exact number is quadratic by nature: a search from every vertex. Sources are dealt to tasks, which search from 512 at a
-time, a bit for each, over a graph of at most ``HELD`` edges that all tasks share; larger graphs are searched by joins, a
+The exact number is quadratic by nature: a search from every vertex. Sources are dealt to tasks, over a graph of at most
+``HELD`` edges that all tasks share (``held``), which search from 512 vertices at a time, a bit for each; larger graphs are searched by joins, a
 bounded batch of sources at a time. HyperBall keeps a sketch of the vertices within t hops of each vertex; the ball of t + 1 hops is the union of the
 neighbours' balls, which is one join along the edges and one merge of sketches. The diameter is searched by sweeps, each
 the distances from one vertex: they bound every vertex's eccentricity from both sides, and end the search as soon as no
@@ -16,18 +16,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from whisperlake.operators.components import labels
+from whisperlake.operators.held import WORDS, graph_of
 from whisperlake.plans.scratch import ship_package, written
 
-#: So many edges of 8 bytes a graph may have to be shared with all tasks (32 MB)
-HELD = 1 << 22
+#: So many edges of 8 bytes a graph may have to be shared with all tasks (128 MB)
+HELD = 1 << 24
+#: From so many vertices at most a task counts pairs at once
+SOURCES = 1 << 14
 #: So many pairs of a source and a vertex are kept at once where a graph is searched by joins
 PAIRS = 100_000_000
-#: A search in a task is from 64 * WORDS sources at once
-WORDS = 8
 #: So many sweeps of the search for the diameter go side by side
 SIDE = 8
 
@@ -60,92 +61,15 @@ def neighbourhood(edges: DataFrame, lg: int = 12, most: int = 256) -> DataFrame:
     return spark.createDataFrame([(k, int(n)) for k, n in enumerate(sizes) if n], "hops long, pairs long")
 
 
-class Graph:
-    """Edges of numbered vertices, each once, as lists of neighbours in an order in which neighbours are close: by component, then by hops from its first vertex."""
-
-    def __init__(self, ends: np.ndarray, others: np.ndarray):
-        self.size = int(max(ends.max(), others.max())) + 1
-        self._arrange(ends, others)
-        part = self._parts()
-        depth = np.zeros(self.size, np.int32)
-        for k, reached in enumerate(self.layers(np.flatnonzero(part == np.arange(self.size)))):
-            depth[reached] = k
-        #: the vertex at each place
-        self.vertex = np.lexsort((depth, part)).astype(np.int32)
-        self.place = np.empty(self.size, np.int32)
-        self.place[self.vertex] = np.arange(self.size, dtype=np.int32)
-        self._arrange(self.place[ends], self.place[others])
-
-    def _arrange(self, ends: np.ndarray, others: np.ndarray) -> None:
-        a, b = np.concatenate([ends, others]), np.concatenate([others, ends])
-        self.near = b[np.lexsort((b, a))]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=self.size))])
-
-    def _parts(self) -> np.ndarray:
-        """The least vertex of each one's component."""
-        low = np.arange(self.size)
-        while True:
-            least = np.minimum(low, np.minimum.reduceat(low[self.near], self.start[:-1]))
-            new = low.copy()
-            np.minimum.at(new, low, least)
-            new = np.minimum(new, least)
-            while (new != new[new]).any():
-                new = new[new]
-            if (new == low).all():
-                return low
-            low = new
-
-    def slots(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the neighbours of these vertices stand in ``near``, and where each one's begin among them."""
-        counts = self.start[of + 1] - self.start[of]
-        first = np.cumsum(counts) - counts
-        return np.repeat(self.start[of] - first, counts) + np.arange(counts.sum()), first
-
-    def layers(self, sources: np.ndarray) -> Iterator[np.ndarray]:
-        """The vertices 0, 1, 2, ... hops from the nearest of ``sources``."""
-        seen, front = np.zeros(self.size, bool), sources
-        while len(front):
-            seen[front] = True
-            yield front
-            found = self.near[self.slots(front)[0]]
-            front = np.unique(found[~seen[found]])
-
-    def pairs(self, first: int, words: int = WORDS) -> list[int]:
-        """How many vertices lie 0, 1, 2, ... hops from the 64 * ``words`` sources from place ``first`` on."""
-        sources = np.arange(first, min(first + 64 * words, self.size))
-        at = sources - first
-        seen = np.zeros((self.size, words), np.uint64)
-        seen[sources, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
-        now, marked, every = seen.copy(), np.zeros(self.size, bool), np.bitwise_or.reduce(seen)
-        front, counts = sources, [len(sources)]
-        while True:
-            marked[self.near[self.slots(front)[0]]] = True
-            maybe = np.flatnonzero(marked)
-            marked[maybe] = False
-            maybe = maybe[(seen[maybe] != every).any(axis=1)]
-            if not len(maybe):
-                return counts
-            where, begin = self.slots(maybe)
-            new = np.bitwise_or.reduceat(now[self.near[where]], begin, axis=0) & ~seen[maybe]
-            some = new.any(axis=1)
-            now[front] = 0
-            front, new = maybe[some], new[some]
-            if not len(front):
-                return counts
-            now[front] = new
-            seen[front] |= new
-            counts.append(int(np.bitwise_count(new).sum()))
-
-
-def _held(links: DataFrame) -> tuple[DataFrame, Broadcast]:
-    """(pubkey, id) and the edges by id, shared with all tasks; for ``links`` as of ``both_ways`` with at most ``HELD`` edges."""
+def _held(links: DataFrame) -> tuple[int, Broadcast]:
+    """How many vertices there are, and the edges by their numbers (in order of names), shared with all tasks; for ``links`` as of ``both_ways`` with at most ``HELD`` edges."""
     spark = links.sparkSession
     ship_package(spark)
     names = links.select(F.col("src").alias("pubkey")).distinct().withColumn("id", (F.row_number().over(Window.orderBy("pubkey")) - 1).cast("int"))
     names = written(names, "names")
     ids = lambda c: names.select(F.col("pubkey").alias(c), F.col("id").alias(f"{c}_id"))
     rows = links.where("src < dst").join(ids("src"), "src").join(ids("dst"), "dst").select("src_id", "dst_id").toArrow()
-    return names, spark.sparkContext.broadcast((rows["src_id"].to_numpy(), rows["dst_id"].to_numpy()))
+    return names.count(), spark.sparkContext.broadcast((rows["src_id"].to_numpy(), rows["dst_id"].to_numpy()))
 
 
 def exact_neighbourhood(edges: DataFrame) -> DataFrame:
@@ -160,18 +84,18 @@ def exact_neighbourhood(edges: DataFrame) -> DataFrame:
     if total > HELD:
         counts = _pairs_by_joins(links)
     else:
-        names, shared = _held(links)
-        groups = -(-names.count() // (64 * WORDS))
-        tasks = min(groups, 4 * spark.sparkContext.defaultParallelism)
+        size, shared = _held(links)
+        tasks = 4 * spark.sparkContext.defaultParallelism
+        units = min(-(-size // (64 * WORDS)), max(tasks, -(-size // SOURCES)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = Graph(*shared.value)
             for batch in batches:
-                for group in batch["id"].to_pylist():
-                    counts = found.pairs(64 * WORDS * group)
-                    yield pa.RecordBatch.from_pydict({"hops": list(range(len(counts))), "pairs": counts})
+                for unit in batch["id"].to_pylist():
+                    counts = graph_of(shared).counts(size * unit // units, size * (unit + 1) // units, size)
+                    hops = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_pydict({"hops": hops, "pairs": counts[hops]})
 
-        dealt = spark.range(0, groups, 1, tasks)
+        dealt = spark.range(0, units, 1, min(units, tasks))
         counts = dealt.mapInArrow(run, "hops long, pairs long").groupBy("hops").agg(F.sum("pairs").alias("pairs"))
     return counts.select("hops", F.sum("pairs").over(Window.orderBy("hops")).alias("pairs"))  # a row for each hop
 
@@ -229,23 +153,49 @@ def _swept(found: DataFrame) -> DataFrame:
     return found.groupBy("pubkey").agg(F.max(F.greatest(h, e - h)).alias("near"), F.min(e + h).alias("far"))
 
 
-def _sweeps_held(names: DataFrame, shared: Broadcast, sources: list[str]) -> DataFrame:
-    """(source, e, pubkey, hops) of what each source reaches, a task for each."""
+def _bounds_held(size: int, shared: Broadcast, spark: SparkSession) -> DataFrame:
+    """(pubkey, degree, low, high) of the places of the largest component, with the bounds of a sweep from the end that its layers are counted from."""
+    tasks = spark.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = None
         for batch in batches:
-            for source in batch["id"].to_pylist():
-                graph = graph or Graph(*shared.value)
-                layers = list(graph.layers(graph.place[[source]]))
+            for part in batch["id"].to_pylist():
+                graph = graph_of(shared)
+                first, last = graph.main()
+                a, n = graph.edge[first], graph.edge[last] - graph.edge[first]
+                place = np.arange(a + n * part // tasks, a + n * (part + 1) // tasks)
+                hops, e = np.searchsorted(graph.edge[first : last + 1], place, "right") - 1, last - first - 1
+                rows = {"pubkey": place, "degree": np.diff(graph.start)[place], "low": np.maximum(hops, e - hops), "high": e + hops}
+                yield pa.RecordBatch.from_pydict({k: v.astype(np.int32) for k, v in rows.items()})
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, "pubkey int, degree int, low int, high int")
+
+
+def _sweeps_held(shared: Broadcast, spark: SparkSession, sources: list[int]) -> DataFrame:
+    """(source, e, pubkey, hops) of the places that each source reaches, a task for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                layers = list(graph_of(shared).layers(np.array([sources[k]])))
                 for start in range(0, len(layers), 1024):
                     some = layers[start : start + 1024]
-                    reached = np.concatenate(some)
                     hops = np.repeat(np.arange(start, start + len(some), dtype=np.int32), [len(x) for x in some])
-                    yield pa.RecordBatch.from_pydict({"source": np.full(len(hops), source, np.int32), "e": np.full(len(hops), len(layers) - 1, np.int32), "id": graph.vertex[reached], "hops": hops})
+                    yield pa.RecordBatch.from_pydict({"source": np.full(len(hops), sources[k], np.int32), "e": np.full(len(hops), len(layers) - 1, np.int32), "pubkey": np.concatenate(some).astype(np.int32), "hops": hops})
+
+    return spark.range(0, len(sources), 1, len(sources)).mapInArrow(run, "source int, e int, pubkey int, hops int")
+
+
+def _furthest_held(shared: Broadcast, spark: SparkSession, sources: list[int]) -> int:
+    """The most hops that any of these places has to another, by searches from 64 * ``WORDS`` at once."""
+    groups = -(-len(sources) // (64 * WORDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                yield pa.RecordBatch.from_pydict({"hops": [len(graph_of(shared).pairs(np.array(sources[k::groups]))) - 1]})
 
-    own = names.where(F.col("pubkey").isin(sources)).select("id").repartition(len(sources), "id")
-    return own.mapInArrow(run, "source int, e int, id int, hops int").join(names, "id").drop("id")
+    return spark.range(0, groups, 1, groups).mapInArrow(run, "hops long").agg(F.max("hops")).first()[0]
 
 
 def diameter(edges: DataFrame, most_sweeps: int = 1000) -> DataFrame:
@@ -253,28 +203,38 @@ def diameter(edges: DataFrame, most_sweeps: int = 1000) -> DataFrame:
 
     After a sweep from v of eccentricity e, a vertex d hops away has one from max(d, e - d) to e + d. The next sweeps go
     from the vertices that may be the most eccentric and from those that may be the least (ties: more edges, then the
-    least name), side by side if tasks can hold the graph, else in turn. A graph without edges has no row.
+    least name), side by side if tasks can hold the graph, else in turn. In a graph that tasks hold, the last
+    64 * ``WORDS`` * ``SIDE`` vertices that may still lie further from one are searched from side by side, so many at once
+    as one sweep. A graph without edges has no row.
     """
     spark, links = edges.sparkSession, written(both_ways(edges), "links")
     shape = "vertices long, diameter long, sweeps long"
-    named = written(labels(links), "classes")
-    main = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).orderBy(F.desc("n"), "least").first()
-    if main is None:
+    total = links.count() // 2
+    if total == 0:
         return spark.createDataFrame([], shape)
-    own = named.where(F.col("label") == main["label"]).select(F.col("node").alias("src"))
-    links = written(links.join(own, "src", "left_semi"), "links")
-    held = _held(links) if links.count() // 2 <= HELD else None
-    bounds = links.groupBy(F.col("src").alias("pubkey")).agg(F.count(F.lit(1)).alias("degree")).select("pubkey", "degree", F.lit(0).alias("low"), F.lit(1 << 30).alias("high"))
-    bounds, best, sweeps, turn = written(bounds, "bounds"), 0, 0, 0
+    if total <= HELD:
+        size, shared = _held(links)
+        bounds, sweeps = written(_bounds_held(size, shared, spark), "bounds"), 1
+    else:
+        shared, links = None, _largest(links)
+        bounds = links.groupBy(F.col("src").alias("pubkey")).agg(F.count(F.lit(1)).alias("degree")).select("pubkey", "degree", F.lit(0).alias("low"), F.lit(1 << 30).alias("high"))
+        bounds, sweeps = written(bounds, "bounds"), 0
+    known, turn = bounds.agg(F.count(F.lit(1)).alias("n"), F.max("low").alias("best")).first(), 0
+    vertices, best = known["n"], known["best"]
     while sweeps < most_sweeps:
-        able, k = bounds.where(F.col("high") > best), SIDE // 2 if held and sweeps else 1
+        able = bounds.where(F.col("high") > best)
+        left = able.count()
+        if left == 0:
+            return spark.createDataFrame([(vertices, best, sweeps)], shape)
+        if shared and left <= 64 * WORDS * SIDE:
+            last = sorted(r["pubkey"] for r in able.select("pubkey").collect())
+            return spark.createDataFrame([(vertices, max(best, _furthest_held(shared, spark, last)), sweeps + -(-left // (64 * WORDS)))], shape)
+        k = SIDE // 2 if shared else 1
         wide, narrow = (able.orderBy(by, F.desc("degree"), "pubkey").limit(k).select("pubkey") for by in (F.desc("high"), F.asc("low")))
         chosen = wide.unionByName(narrow) if k > 1 else narrow if turn % 2 else wide
         starts = sorted({r["pubkey"] for r in chosen.collect()})
-        if not starts:
-            return spark.createDataFrame([(main["n"], best, sweeps)], shape)
-        if held:
-            swept = _sweeps_held(*held, starts)
+        if shared:
+            swept = _sweeps_held(shared, spark, starts)
         else:
             far = written(hops_from(links, starts[0]), "sweep")
             swept = far.select(F.lit(starts[0]).alias("source"), F.lit(far.agg(F.max("hops")).first()[0]).alias("e"), "pubkey", "hops")
@@ -283,3 +243,11 @@ def diameter(edges: DataFrame, most_sweeps: int = 1000) -> DataFrame:
         best = max(best, bounds.agg(F.max("low")).first()[0])
         sweeps, turn = sweeps + len(starts), turn + 1
     raise RuntimeError(f"the diameter is not settled after {most_sweeps} sweeps")
+
+
+def _largest(links: DataFrame) -> DataFrame:
+    """The edges of the largest component (ties: the least name), of ``links`` as of ``both_ways``."""
+    named = written(labels(links), "classes")
+    main = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).orderBy(F.desc("n"), "least").first()
+    own = named.where(F.col("label") == main["label"]).select(F.col("node").alias("src"))
+    return written(links.join(own, "src", "left_semi"), "links")
