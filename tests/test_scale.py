@@ -246,6 +246,39 @@ def test_distances_of_more_than_256_hops(spark, tmp_path):
     assert [tuple(r) for r in got] == [(300 * 299, round(301 / 3, 6))]
 
 
+def narrow_graph(seed, n, reach, ring=False):
+    """Numbered ends of edges of a long graph of narrow layers, its numbers shuffled, and how many pairs lie so many hops apart."""
+    r = random.Random(seed)
+    names = r.sample(range(n), n)
+    pairs = {tuple(sorted((names[a], names[min(n - 1, a + k)]))) for a in range(n - 1) for k in (1, *(r.randint(1, reach) for _ in range(2)))}
+    pairs |= {tuple(sorted((names[0], names[-1])))} if ring else set()
+    far = [d for own in plain_distances(sorted(pairs)).values() for d in own.values()]
+    ends = np.array(sorted(pairs), np.int32)
+    return held.Graph(ends[:, 0], ends[:, 1]), np.bincount(far).tolist()
+
+
+@pytest.mark.parametrize("few, patience, reach, ring", [(1, 32, 32, False), (64, 32, 32, False), (4, 1, 32, False), (4, 32, 32, True), (4, 32, 4, True), (4, 32, 3, False)])
+def test_pairs_counted_layer_by_layer(monkeypatch, few, patience, reach, ring):
+    """Sources dealt in uneven parts; kinds that merge soon, late or never; layers too far apart, from which on every vertex is searched from."""
+    for name, value in (("FEW", few), ("PATIENCE", patience), ("REACH", reach)):
+        monkeypatch.setattr(held, name, value)
+    graph, want = narrow_graph(few, 240, 3 if ring else 7, ring)
+    for small in (0, 10_000):  # layer by layer, and from every vertex
+        parts = [graph.counts(a, b, small) for a, b in ((0, 3), (3, 100), (100, 101), (101, 240))]
+        assert np.trim_zeros(sum(np.pad(p, (0, 600 - len(p))) for p in parts), "b").tolist() == want
+
+
+def test_pairs_of_a_long_graph_take_time_in_proportion(monkeypatch):
+    """Searches from every vertex took 64 hops' worth of steps for each vertex here; one search now goes on for all sources of a part."""
+    steps, plain = [], held.Graph._spread
+    monkeypatch.setattr(held.Graph, "_spread", lambda *a: (steps.append(1) or x for x in plain(*a)))
+    ends = np.arange(8191, dtype=np.int32)
+    graph = held.Graph(ends, ends + 1)
+    counts = graph.counts(0, 1000) + graph.counts(1000, 8192)
+    assert np.trim_zeros(counts, "b").tolist() == [8192, *(2 * (8192 - k) for k in range(1, 8192))]
+    assert len(steps) < 8192
+
+
 def test_tasks_hold_the_larger_graphs():
     """The links of 9,000,000 orders were searched by joins, with a job for each of thousands of hops."""
     assert distances.HELD >= 8_779_500

@@ -1,7 +1,8 @@
 """Distances over a whole graph: how many pairs lie within so many hops, exactly and by sketches (HyperBall), and the exact diameter.
 
 The exact number is quadratic by nature: a search from every vertex. Sources are dealt to tasks, over a graph of at most
-``HELD`` edges that all tasks share (``held``), which search from 512 vertices at a time, a bit for each; larger graphs are searched by joins, a
+``HELD`` edges that all tasks share (``held``): long components of narrow layers are counted layer by layer, in time in
+proportion to their length, the others by searches from 512 vertices at a time, a bit for each; larger graphs are searched by joins, a
 bounded batch of sources at a time. HyperBall keeps a sketch of the vertices within t hops of each vertex; the ball of t + 1 hops is the union of the
 neighbours' balls, which is one join along the edges and one merge of sketches. The diameter is searched by sweeps, each
 the distances from one vertex: they bound every vertex's eccentricity from both sides, and end the search as soon as no
@@ -91,7 +92,7 @@ def exact_neighbourhood(edges: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for unit in batch["id"].to_pylist():
-                    counts = graph_of(shared).counts(size * unit // units, size * (unit + 1) // units, size)
+                    counts = graph_of(shared).counts(size * unit // units, size * (unit + 1) // units)
                     hops = np.flatnonzero(counts)
                     yield pa.RecordBatch.from_pydict({"hops": hops, "pairs": counts[hops]})
 
