@@ -298,6 +298,21 @@ def test_diameter_of_a_long_graph_is_few_sweeps(spark):
     assert (got.vertices, got.diameter) == (6000, want) and len(rounds) <= 2
 
 
+def test_distances_of_a_long_graph_are_counted_layer_by_layer(spark, monkeypatch, tmp_path):
+    """A worker searched from each of the vertices; it now does for no more than the pairs of a part with what lies behind it."""
+
+    def no_searches(shared):
+        from whisperlake.operators.held import graph_of
+
+        found = graph_of(shared)
+        found.pairs = None
+        return found
+
+    monkeypatch.setattr(distances, "graph_of", no_searches)
+    got = library.QUERIES["g7_distances"](spark, chained(spark, tmp_path, 5000)).collect()
+    assert [tuple(r) for r in got] == [(5000 * 4999, round(5001 / 3, 6))]
+
+
 def test_sketched_neighbourhood_is_close(spark):
     """Balls of up to 3000 vertices in sketches of 256 registers."""
     r = random.Random(5)
